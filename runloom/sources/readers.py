@@ -47,7 +47,7 @@ def state_columns(state: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     return state.select("exp_id", *[F.try_variant_get("state", f"$.{f}", kind).alias(f) for f, kind in fields.items()])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def yaml_to_json(bodies: pd.Series) -> pd.Series:
     """YAML documents as JSON text, NULL for unreadable ones."""
     import yaml
@@ -75,9 +75,10 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    where = F.col(FILE_PATH)
     return reader.load(path).select(
-        "path", parent_name(F.col("path")).alias("dir_name"), F.substring_index("path", "/", -1).alias("file_name"),
-        F.col("modificationTime").alias("mtime"), "length")
+        where.alias("path"), parent_name(where).alias("dir_name"), F.col("_metadata.file_name").alias("file_name"),
+        F.col(FILE_TIME).alias("mtime"), F.col("_metadata.file_size").alias("length"))
 
 
 def newest_file_per_dir(files: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def read_eval_rows_mixed(spark: SparkSession, path: str, columns: Sequence[str],
 
     schema = ", ".join(["path string", f"`{token}` string", *[f"`{c}` double" for c in columns]])
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", glob).load(path)
+        "pathGlobFilter", glob).load(path).select(F.col(FILE_PATH).alias("path"), "content")
     if newest_only:
         files = files.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
 

@@ -1,2 +1,2 @@
 from workload.base import ORACLES, QUERIES
-from workload import documents, names, scopes
+from workload import runs, training, logs

@@ -121,10 +121,10 @@ def split_of(spark, sf):
 
 
 @query("""SELECT p_partkey AS key, CASE WHEN length(t) > 50 THEN t[1:47] || '...' ELSE t END AS short
-  FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' - ' || p_name || repeat(' x', CAST(p_size / 4 AS BIGINT)) AS t FROM part)""")
+  FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' - ' || p_name || repeat(' x', p_size // 4) AS t FROM part)""")
 def short_desc(spark, sf):
     long = text(c("p_name"), " ", c("p_brand"), " ", c("p_type"), " - ", c("p_name"),
-                F.repeat(F.lit(" x"), F.round(c("p_size") / 4).cast("int")))
+                F.repeat(F.lit(" x"), F.floor(c("p_size") / 4).cast("int")))
     return table(spark, sf, "part").select(c("p_partkey").alias("key"), N.short_text(long).alias("short"))
 
 

@@ -51,7 +51,7 @@ def scope_weights(spark, sf):
     return loose.join(strict, "exp_id")
 
 
-# Suppliers of even nations have no overall scope.
+# Suppliers with a low balance have no overall scope.
 HEAD = f"""(SELECT m.* FROM ({MEANS}) m JOIN supplier ON s_suppkey = exp_id WHERE scope <> 'all' OR s_acctbal > 3000)"""
 
 
@@ -69,7 +69,7 @@ def scope_headline(spark, sf):
                        F.array_join(F.array_sort(F.map_keys("scopes")), ",").alias("scopes"))
 
 
-@query("""SELECT c_custkey AS exp_id, CAST(coalesce(n, 0) AS BIGINT) AS total_scenarios, round(s, 2) AS primary_score FROM customer LEFT JOIN
+@query("""SELECT c_custkey AS exp_id, CAST(coalesce(n, 0) AS BIGINT) AS total_scenarios, round(s, 6) AS primary_score FROM customer LEFT JOIN
   (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey""")
 def scope_empty_records(spark, sf):
     rows = table(spark, sf, "orders").filter(c("o_orderstatus") == "F").select(
@@ -77,7 +77,7 @@ def scope_empty_records(spark, sf):
     rules = ScopeRules()
     head = S.headline(S.scope_means(rows, rules), rules)
     ids = table(spark, sf, "customer").select(c("c_custkey").alias("exp_id"))
-    return S.with_empty(ids, head).select("exp_id", "total_scenarios", F.round("primary_score", 2).alias("primary_score"))
+    return S.with_empty(ids, head).select("exp_id", "total_scenarios", F.round("primary_score", 6).alias("primary_score"))
 
 
 STATUS = f"(SELECT *, CASE WHEN tax < 0.04 THEN 'FAILED' WHEN score > 0 THEN 'SUCCESS' ELSE 'UNKNOWN' END AS status FROM ({MEANS}))"

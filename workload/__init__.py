@@ -1,2 +1,2 @@
 from workload.base import ORACLES, QUERIES
-from workload import joins, consistency
+from workload import pruning, grids

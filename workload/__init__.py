@@ -1,2 +1,2 @@
 from workload.base import ORACLES, QUERIES
-from workload import pruning, grids
+from workload import capacity, records

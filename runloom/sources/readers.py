@@ -19,11 +19,19 @@ FILE_TIME = "_metadata.file_modification_time"
 
 
 def _texts(spark: SparkSession, path: str, whole: bool, glob: str | None) -> DataFrame:
-    reader = (spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-              .option("wholetext", str(whole).lower()))
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path)
+    return reader.text(path, wholetext=whole)
+
+
+def _plain(escaped: Column) -> Column:
+    """A percent-escaped path or partition value as it was."""
+    return F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+
+
+def file_path() -> Column:
+    return _plain(F.col(FILE_PATH))
 
 
 def _json_objects(spark: SparkSession, path: str, value_type: str, whole: bool, glob: str | None) -> DataFrame:
@@ -63,11 +71,15 @@ def yaml_to_json(bodies: pd.Series) -> pd.Series:
     return bodies.map(convert)
 
 
-def read_configs(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame:
-    """Configurations (exp_id, config VARIANT), the id being the file's stem."""
-    texts = _texts(spark, path, True, glob).select("value", F.col(FILE_PATH).alias("path"))
-    return texts.select(file_stem(F.col("path")).alias("exp_id"),
-                        F.try_parse_json(yaml_to_json("value")).alias("config"))
+def read_configs(spark: SparkSession, path: str, glob: str = "*.yaml", partition_key: str | None = None) -> DataFrame:
+    """Configurations (exp_id, config VARIANT), the id being the file's stem.
+
+    With ``partition_key`` it is the value of the ``key=value`` folder the file lies in.
+    """
+    texts = _texts(spark, path, True, glob).select("value", file_path().alias("path"))
+    where = F.col("path")
+    ident = dir_of(where, partition_key) if partition_key else file_stem(where)
+    return texts.select(ident.alias("exp_id"), F.try_parse_json(yaml_to_json("value")).alias("config"))
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -75,7 +87,7 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    where = F.col(FILE_PATH)
+    where = file_path()
     return reader.load(path).select(
         where.alias("path"), parent_name(where).alias("dir_name"), F.col("_metadata.file_name").alias("file_name"),
         F.col(FILE_TIME).alias("mtime"), F.col("_metadata.file_size").alias("length"))
@@ -92,7 +104,7 @@ def dir_of(path: Column, partition_key: str | None = None) -> Column:
     name = parent_name(path)
     if partition_key is None:
         return name
-    return F.url_decode(F.regexp_replace(name, rf"^\Q{partition_key}=\E", ""))
+    return _plain(F.regexp_replace(name, rf"^\Q{partition_key}=\E", ""))
 
 
 def read_eval_rows(spark: SparkSession, path: str, schema: str | T.StructType, newest_only: bool = True,
@@ -104,7 +116,7 @@ def read_eval_rows(spark: SparkSession, path: str, schema: str | T.StructType, n
     """
     rows = (spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true")
             .option("pathGlobFilter", glob).csv(path)
-            .select("*", F.col(FILE_PATH).alias("path")))
+            .select("*", file_path().alias("path")))
     if newest_only:
         rows = rows.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
     return rows.withColumn("dir_name", dir_of(F.col("path"), partition_key)).drop("path")
@@ -120,7 +132,7 @@ def read_eval_rows_mixed(spark: SparkSession, path: str, columns: Sequence[str],
 
     schema = ", ".join(["path string", f"`{token}` string", *[f"`{c}` double" for c in columns]])
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", glob).load(path).select(F.col(FILE_PATH).alias("path"), "content")
+        "pathGlobFilter", glob).load(path).select(file_path().alias("path"), "content")
     if newest_only:
         files = files.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
 
@@ -142,13 +154,13 @@ def read_json_results(spark: SparkSession, path: str, schema: str | T.StructType
                       glob: str = "*.json") -> DataFrame:
     return (spark.read.schema(schema).option("multiLine", str(multi_line).lower())
             .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path)
-            .select("*", F.col(FILE_PATH).alias("path")))
+            .select("*", file_path().alias("path")))
 
 
 def read_logs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole log texts with path and modification time; bad bytes become replacement characters."""
     return _texts(spark, path, True, glob).select(
-        F.col(FILE_PATH).alias("path"), F.col(FILE_TIME).alias("mtime"), "value")
+        file_path().alias("path"), F.col(FILE_TIME).alias("mtime"), "value")
 
 
 def read_scalars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -209,12 +221,13 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 REQUIRED_ANALYSIS_FIELDS = ["name", "exp_config", "checkpoint"]
 
 
-def read_analysis_definition(spark: SparkSession, path: str, glob: str = "*.yaml", strict: bool = False) -> DataFrame:
+def read_analysis_definition(spark: SparkSession, path: str, glob: str | None = "*.yaml", strict: bool = False,
+                             whole: bool = True) -> DataFrame:
     """Experiments of analysis definitions, one row each; missing required fields are named in ``error``.
 
-    ``strict`` fails the query instead.
+    ``strict`` fails the query instead. ``whole=False`` reads one definition per line.
     """
-    texts = _texts(spark, path, True, glob).select("value", F.col(FILE_PATH).alias("path"))
+    texts = _texts(spark, path, whole, glob).select("value", file_path().alias("path"))
     body = texts.select("path", F.try_parse_json(yaml_to_json("value")).alias("d"))
     items = body.select(
         "path", F.try_variant_get("d", "$.pipeline_name", "string").alias("analysis"),

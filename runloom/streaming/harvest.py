@@ -4,34 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runloom.operators.attempts import build_summaries
 from runloom.operators.runs import skip_stored
 
 
-def _stored(df: DataFrame, path: str, schema) -> DataFrame:
+def _folder(batch: DataFrame, path: str, batch_id: int) -> tuple[str, Column]:
+    """Folder of one micro-batch, and the condition for rows stored before it.
+
+    A batch repeated after a failure overwrites its own folder only. The query's id is part of
+    the name, so a query started with new progress cannot touch an older one's batches.
+    """
+    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+    earlier = (F.col("query") != query_id) | (F.col("batch") < batch_id)
+    return f"{path}/query={query_id}/batch={batch_id}", earlier
+
+
+def _stored(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
     """The table at ``path``, or an empty one before the first batch."""
     spark = df.sparkSession
-    reader = spark.read.schema(schema)
+    full = T.StructType([*schema.fields, T.StructField("query", T.StringType()), T.StructField("batch", T.LongType())])
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    return reader.parquet(path) if exists else spark.createDataFrame([], schema)
+    return spark.read.schema(full).parquet(path) if exists else spark.createDataFrame([], full)
 
 
 def harvest(stream: DataFrame, to_runs: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
             key: str = "run_id") -> None:
-    """Turn new rows into run records and append those whose key is not stored.
-
-    Each batch writes its own ``batch=`` folder, overwritten if the batch is repeated after a
-    failure, and compares with the folders of earlier batches only.
-    """
+    """Turn the rows that are there into run records and append those whose key is not stored."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         runs = to_runs(batch)
-        earlier = _stored(batch, path, runs.schema.add("batch", "bigint")).filter(F.col("batch") < batch_id)
-        skip_stored(runs, earlier, key).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        target, earlier = _folder(batch, path, batch_id)
+        stored = _stored(batch, path, runs.schema).filter(earlier)
+        skip_stored(runs, stored, key).write.mode("overwrite").parquet(target)
 
     (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
@@ -45,17 +54,20 @@ def materialise_summaries(stream: DataFrame, runs_path: str, summaries_path: str
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
-        stored = _stored(batch, runs_path, batch.schema.add("batch", "bigint")).filter(F.col("batch") <= batch_id)
-        touched = batch.select(group).distinct()
-        summaries = build_summaries(stored.join(touched, group, "left_semi"), group=group, **columns)
-        summaries.write.mode("overwrite").parquet(f"{summaries_path}/batch={batch_id}")
+        target, earlier = _folder(batch, runs_path, batch_id)
+        batch.write.mode("overwrite").parquet(target)
+        own = batch.sparkSession.read.schema(batch.schema).parquet(target)
+        before = _stored(batch, runs_path, batch.schema).filter(earlier).select(*batch.columns)
+        touched = own.select(group).distinct()
+        runs = before.join(touched, group, "left_semi").unionByName(own)
+        summaries = build_summaries(runs, group=group, **columns).withColumn("updated_at", F.current_timestamp())
+        summaries.write.mode("overwrite").parquet(_folder(batch, summaries_path, batch_id)[0])
 
     (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
 def current_summaries(summaries: DataFrame, group: str = "attempt_group_id") -> DataFrame:
-    others = [c for c in summaries.columns if c not in (group, "batch")]
-    return (summaries.groupBy(group).agg(F.max_by(F.struct(*others), "batch").alias("_s"))
-            .select(group, "_s.*"))
+    others = [c for c in summaries.columns if c not in (group, "query", "batch")]
+    latest = F.max_by(F.struct(*others), F.struct("updated_at", "batch"))
+    return summaries.groupBy(group).agg(latest.alias("_s")).select(group, "_s.*")

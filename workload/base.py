@@ -46,3 +46,13 @@ def text(*parts: Column | str) -> Column:
 
 def c(name: str) -> Column:
     return F.col(name)
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream, whether the table is one file or a folder of files."""
+    folder, file = sf_dir.rstrip("/"), f"{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{file}")
+    return reader.option("pathGlobFilter", file).parquet(folder)

@@ -39,6 +39,11 @@ def rounded(digits: int, *columns: str) -> list[Column]:
     return [F.round(c, digits).alias(c) for c in columns]
 
 
+def exact_average(average: str, count: str) -> Column:
+    """Average of values in cents, free of the order they were summed in."""
+    return (F.round(F.col(average) * F.col(count), 2) / F.col(count)).alias(average)
+
+
 def text(*parts: Column | str) -> Column:
     """Concatenation of literals and columns as text."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

@@ -8,7 +8,7 @@ from runloom.operators import attempts as A
 from runloom.operators import runs as R
 from runloom.session import shared_dir
 from runloom.streaming import follow, harvest, telemetry
-from workload.base import c, query, stream_of, table, text
+from workload.base import c, exact_average, query, stream_of, table, text
 from workload.runs import ATTEMPTS, RUN_ID, RUNS, SCOPES
 
 
@@ -40,7 +40,7 @@ def stream_summaries(spark, sf):
     return current.select("attempt_group_id", "attempts_count", "latest_attempt_id", F.round("mean_score", 6).alias("mean_score"))
 
 
-@query("""SELECT event_type AS device, strftime(w, '%Y-%m-%d %H:%M') AS window_start, round(avg(value), 6) AS avg_value, max(value) AS max_value, CAST(count(*) AS BIGINT) AS samples
+@query("""SELECT event_type AS device, strftime(w, '%Y-%m-%d %H:%M') AS window_start, round(sum(value), 2) / count(*) AS avg_value, max(value) AS max_value, CAST(count(*) AS BIGINT) AS samples
   FROM (SELECT *, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS w, max(ts) OVER () AS last FROM events)
   WHERE w + INTERVAL '6 hours' <= date_trunc('millisecond', last) - INTERVAL '10 minutes' GROUP BY event_type, w""")
 def stream_telemetry(spark, sf):
@@ -48,15 +48,15 @@ def stream_telemetry(spark, sf):
     samples = stream_of(spark, sf, "events").select(c("ts").cast("timestamp").alias("ts"), c("event_type").alias("device"), "value")
     telemetry.append_windows(telemetry.windowed(samples, "ts", "device", "value", "6 hours", "10 minutes"), path, checkpoint)
     rows = spark.read.parquet(path)
-    return rows.select("device", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), F.round("avg_value", 6).alias("avg_value"), "max_value", "samples")
+    return rows.select("device", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), exact_average("avg_value", "samples"), "max_value", "samples")
 
 
-@query("""SELECT event_type AS device, strftime(time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M') AS window_start, round(avg(value), 6) AS avg_value,
+@query("""SELECT event_type AS device, strftime(time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M') AS window_start, round(sum(value), 2) / count(*) AS avg_value,
   max(value) AS max_value, CAST(count(*) AS BIGINT) AS samples FROM events GROUP BY 1, 2""")
 def telemetry_windows(spark, sf):
     samples = table(spark, sf, "events").select(c("ts").cast("timestamp").alias("ts"), c("event_type").alias("device"), "value")
     rows = telemetry.windowed(samples, "ts", "device", "value", "1 hour")
-    return rows.select("device", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), F.round("avg_value", 6).alias("avg_value"), "max_value", "samples")
+    return rows.select("device", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), exact_average("avg_value", "samples"), "max_value", "samples")
 
 
 @query("""SELECT line, CAST(count(*) AS BIGINT) AS times FROM (SELECT unnest(string_split(text, chr(10))) AS line, text FROM documents) WHERE line <> '' GROUP BY 1""")

@@ -68,11 +68,11 @@ def parse_training_log(text: Column) -> Column:
     )
 
 
-def last_lines(text: Column, n: int = 50) -> Column:
-    """The last ``n`` lines with their 1-based line numbers, in file order."""
-    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
-    total = F.size(lines)
-    first = F.greatest(total - n + 1, F.lit(1))
-    return F.transform(
-        F.slice(lines, first, F.lit(n)),
-        lambda line, i: F.struct((first + i).cast("bigint").alias("line_no"), line.alias("line")))
+def last_lines(text: Column, n: int = 50) -> tuple[Column, Column]:
+    """The last ``n`` lines as an array, and the number of all lines.
+
+    Only the tail of the text is split.
+    """
+    body = F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    total = F.length(body) - F.length(F.replace(body, F.lit("\n"))) + 1
+    return F.split(F.substring_index(body, "\n", -n), "\n"), total

@@ -85,15 +85,23 @@ def parent_name(path: Column) -> Column:
 
 
 def file_stem(path: Column) -> Column:
-    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+    """File name without its last suffix; a leading dot is no suffix."""
+    name = file_name(path)
+    cut = F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1
+    return F.when(cut > 0, F.substring(name, F.lit(1), cut)).otherwise(name)
 
 
 def number_in_name(path: Column, style: str = "resolver", missing: int | None = -1) -> Column:
-    """Epoch or step number of a file name by the first matching pattern of ``style``."""
-    stem = file_stem(path)
-    tries = [_blank_to_null(F.regexp_extract(stem, "(?i)" + p, 1)).try_cast("bigint")
-             for p in EPOCH_PATTERNS[style]]
-    return F.coalesce(*tries, F.lit(missing).cast("bigint"))
+    """Epoch or step number of a file name by the first matching pattern of ``style``.
+
+    The patterns are alternatives of one expression that starts at the beginning, so an earlier
+    pattern anywhere in the name wins over a later one, in a single pass.
+    """
+    patterns = EPOCH_PATTERNS[style]
+    anywhere = "|".join(f".*?{p}" for p in patterns)
+    groups = "".join(f"${i}" for i in range(1, len(patterns) + 1))
+    digits = F.regexp_replace(file_stem(path), f"(?is)^(?:{anywhere}|).*$", groups)
+    return F.coalesce(_blank_to_null(digits).try_cast("bigint"), F.lit(missing).cast("bigint"))
 
 
 def epoch_in_path(path: Column) -> Column:

@@ -25,16 +25,16 @@ def job_state(code: Column, other: Column | None = None) -> Column:
 
 def duration_hours(text: Column) -> Column:
     """``D-HH:MM:SS``, ``D-HH:MM``, ``D-HH``, ``HH:MM:SS``, ``MM:SS`` or minutes, as hours; bad text gives 0."""
-    dash = F.instr(text, "-") > 0
+    at = F.instr(text, "-")
+    dash = at > 0
     days = F.when(dash, F.substring_index(text, "-", 1).try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    clock = F.when(dash, F.regexp_replace(text, "^[^-]*-", "")).otherwise(text)
-    parts = F.split(clock, ":")
+    clock = F.substring(text, at + 1, F.length(text))
 
     def part(i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i)).try_cast("bigint").cast("double")
+        return F.split_part(clock, F.lit(":"), F.lit(i)).try_cast("bigint").cast("double")
 
-    n = F.size(parts)
-    plain = F.try_element_at(parts, F.lit(1)).try_cast("double")
+    n = F.length(clock) - F.length(F.replace(clock, F.lit(":"))) + 1
+    plain = clock.try_cast("double")
     hours = (
         F.when(n == 3, days * 24 + part(1) + part(2) / 60 + part(3) / 3600)
         .when((n == 2) & dash, days * 24 + part(1) + part(2) / 60)

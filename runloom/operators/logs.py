@@ -35,4 +35,8 @@ def parsed_training(logs: DataFrame, text: str = "value") -> DataFrame:
 
 def tail_lines(logs: DataFrame, n: int = 50, text: str = "value", key: str = "path") -> DataFrame:
     """Last ``n`` lines of every log; cut inside the row, so nothing is sorted or shuffled."""
-    return logs.select(key, F.explode(last_lines(F.col(text), n)).alias("_l")).select(key, "_l.*")
+    lines, total = last_lines(F.col(text), n)
+    cut = logs.select(key, lines.alias("_lines"), total.alias("_total"))
+    numbered = cut.select(key, (F.col("_total") - F.size("_lines")).alias("_before"),
+                          F.posexplode("_lines").alias("_i", "line"))
+    return numbered.select(key, (F.col("_before") + F.col("_i") + 1).cast("bigint").alias("line_no"), "line")

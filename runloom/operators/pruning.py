@@ -85,11 +85,13 @@ def validity(dirs: DataFrame, files: DataFrame, evals: DataFrame | None = None,
 
 def prune_all(checked: DataFrame, keep_n: int = 1, name: str = "dir_name") -> DataFrame:
     """Invalid directories first, then duplicates among the valid ones: action and reason per directory."""
-    invalid = checked.filter(~F.col("valid")).select(
-        name, F.lit("prune").alias("action"), F.lit("invalid").alias("reason"))
-    rest = label_duplicates(checked.filter("valid").select(name), keep_n, name).select(
-        name, "action", F.when(F.col("action") == "prune", "duplicate").otherwise("").alias("reason"))
-    return invalid.unionByName(rest)
+    split = base_and_stamp(F.col(name))
+    named = checked.select(name, "valid", split["base"].alias("_base"), split["stamp"].alias("_stamp"))
+    kept = top_per_group(named.filter("valid"), ["_base"], [F.col("_stamp").desc_nulls_last(), F.col(name)], keep_n)
+    labelled = named.join(kept.select(name, F.lit(True).alias("_kept")), name, "left")
+    return labelled.select(
+        name, F.when(F.col("_kept"), "keep").otherwise("prune").alias("action"),
+        F.when(F.col("_kept"), "").when(F.col("valid"), "duplicate").otherwise("invalid").alias("reason"))
 
 
 def prune_statistics(actions: DataFrame, sizes: DataFrame | None = None, name: str = "dir_name") -> DataFrame:

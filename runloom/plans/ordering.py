@@ -36,23 +36,27 @@ def ordered_position(df: DataFrame, group: Sequence[str], order: Sequence[Column
     """1-based position of every row in its group.
 
     ``blocks`` are non-null columns, coarse to fine, each non-decreasing along ``order`` among
-    rows equal in the coarser ones: e.g. day, then second, then id range. The windows run over
-    one coarse block's finer blocks, or over the rows of one finest block, never over a group.
+    rows equal in the coarser ones: e.g. day, then second, then id range. Windows run over the
+    coarse blocks of a group, over the finer blocks of one coarse block, or over the rows of one
+    finest block, never over the rows of a group. Rows are shuffled once, by group and block.
     """
     group = list(group)
     names = [f"_block_{i}" for i in range(len(blocks))]
     keyed = df.withColumns({name_: column for name_, (_, column) in zip(names, blocks)})
     sizes = keyed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.withColumn("_before", F.lit(0).cast("bigint"))
-    for depth, block in enumerate(names):
-        inside = group + names[:depth]
-        window = (Window.partitionBy(*inside).orderBy(block)
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        level = (sizes.groupBy(*inside, block).agg(F.sum("_size").alias("_block_size"))
-                 .withColumn("_step", F.coalesce(F.sum("_block_size").over(window), F.lit(0)))
-                 .drop("_block_size"))
-        offsets = (offsets.join(level, [*inside, block])
-                   .withColumn("_before", F.col("_before") + F.col("_step")).drop("_step"))
+
+    def running(inside: list[str], along: list[str]) -> Column:
+        window = Window.partitionBy(*inside).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_size").over(window), F.lit(0))
+
+    coarse = [*group, names[0]]
+    if len(names) == 1:
+        offsets = sizes.withColumn("_before", running(group, names))
+    else:
+        inner = sizes.withColumn("_before", running(coarse, names[1:]))
+        outer = (sizes.groupBy(*coarse).agg(F.sum("_size").alias("_size"))
+                 .withColumn("_outer", running(group, names[:1])).drop("_size"))
+        offsets = inner.join(outer, coarse).withColumn("_before", F.col("_before") + F.col("_outer")).drop("_outer")
     keys = group + names
     window = Window.partitionBy(*keys).orderBy(*order)
     return (keyed.join(offsets.drop("_size"), keys)
@@ -69,7 +73,7 @@ def time_blocks(stamp: str, seq: str, width: int = 1 << 20) -> list[tuple[str, C
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median",
                  bins: int = 4096, levels: int = 2) -> DataFrame:
-    """Exact median of ``value`` per group without gathering a group.
+    """Exact median of ``value`` per (non-null) group without gathering a group.
 
     Each level cuts the current value range of a group into equal-width bins and keeps the bin
     that holds the wanted rank; the bin's own smallest and largest value are the next range.

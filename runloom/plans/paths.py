@@ -48,10 +48,23 @@ def field(df: DataFrame, path: str, as_type: str = "string", doc: str = "doc") -
         return column if kind.simpleString() == as_type else column.try_cast(as_type)
     if doc not in df.columns:
         return F.lit(None).cast(as_type)
-    body = F.col(doc)
     if isinstance(df.schema[doc].dataType, T.StringType):
-        body = F.try_parse_json(body)
-    return F.try_variant_get(body, "$." + ".".join(segments), as_type)
+        return _json_text_field(doc, segments, as_type)
+    return F.try_variant_get(F.col(doc), "$." + ".".join(segments), as_type)
+
+
+def _json_text_field(doc: str, segments: list[str], as_type: str) -> Column:
+    """Parse only the wanted path out of JSON text.
+
+    The parser skips all other fields and is strict: "3" or true is not a number.
+    """
+    kind: T.DataType = T.DataType.fromDDL(as_type)
+    for segment in reversed(segments):
+        kind = T.StructType([T.StructField(segment, kind)])
+    column = F.from_json(F.col(doc), kind)
+    for segment in segments:
+        column = column[segment]
+    return column
 
 
 def numeric_field(df: DataFrame, path: str, doc: str = "doc") -> Column:
@@ -67,10 +80,9 @@ def numeric_field(df: DataFrame, path: str, doc: str = "doc") -> Column:
         return field(df, path, "double", doc)
     if doc not in df.columns:
         return F.lit(None).cast("double")
-    body = F.col(doc)
     if isinstance(df.schema[doc].dataType, T.StringType):
-        body = F.try_parse_json(body)
+        return _json_text_field(doc, segments, "double")
     at = "$." + ".".join(segments)
-    kind = F.schema_of_variant(F.try_variant_get(body, at, "variant"))
+    kind = F.schema_of_variant(F.try_variant_get(F.col(doc), at, "variant"))
     is_number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    return F.when(is_number, F.try_variant_get(body, at, "double"))
+    return F.when(is_number, F.try_variant_get(F.col(doc), at, "double"))

@@ -96,8 +96,8 @@ def duration_of(spark, sf):
     limit = (F.when(flag == "A", text(c("l_linenumber"), "-", c("l_suppkey") % 24, ":30:15"))
              .when(flag == "N", F.when(closed, text(c("l_suppkey"), ":05:00")).otherwise(text(c("l_linenumber"), ":09")))
              .otherwise(F.when(closed, c("l_suppkey").cast("string")).otherwise("soon")))
-    return table(spark, sf, "lineitem").select(
-        c("l_orderkey").alias("key"), c("l_linenumber").alias("line"), F.round(duration_hours(limit), 9).alias("hours"))
+    rows = table(spark, sf, "lineitem").select(c("l_orderkey").alias("key"), c("l_linenumber").alias("line"), limit.alias("limit"))
+    return rows.select("key", "line", F.round(duration_hours(c("limit")), 9).alias("hours"))
 
 
 @query("""SELECT event_id AS key, CASE event_type WHEN 'error' THEN '-' WHEN 'view' THEN strftime(ts, '%Y%m%d')

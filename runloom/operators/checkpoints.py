@@ -37,6 +37,11 @@ def resolve(files: DataFrame, strategy: str = "mtime", by: Sequence[str] = ("exp
     return files.groupBy(*by).agg(F.max_by(F.col(path), rank).alias(path))
 
 
+def resolve_all(files: DataFrame, by: Sequence[str] = ("exp_id",), path: str = "path", mtime: str = "mtime") -> DataFrame:
+    """All files, newest first within their group (one range sort)."""
+    return files.orderBy(*by, F.col(mtime).desc(), F.col(path))
+
+
 def strategy_rank(path: Column, mtime: Column, strategy: str) -> Column:
     if strategy == "name_epoch":
         return F.struct(number_in_name(path, "resolver"), mtime, path)

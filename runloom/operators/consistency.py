@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.merging import override_map
+from runloom.functions.names import id_candidates, id_prefixes
 from runloom.session import shared_dir
 
 
@@ -22,27 +23,35 @@ def experiment_records(state: DataFrame, configs: DataFrame, key: str = "exp_id"
     return joined.select(key, override_map(config, F.col("state")).alias("record"))
 
 
-def consistency_flags(state: DataFrame, configs: DataFrame, paths: DataFrame, key: str = "exp_id",
-                      path_fields: Sequence[str] = ("train_script_path", "eval_script_path"),
-                      embedded: str = "has_config_copy") -> DataFrame:
-    """One row per known id with a flag per kind of drift.
+PATH_FIELDS = ("train_script_path", "eval_script_path")
+
+
+def broken_fields(state: DataFrame, paths: DataFrame, key: str = "exp_id",
+                  path_fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
+    """Per id the path fields (``broken``) that point to no existing file.
 
-    ``paths`` lists existing files (column ``path``). Script paths are unpivoted, checked by one
-    anti-join and folded back, so the file list is read once.
+    The path columns are unpivoted without their empty values and checked by one anti-join, so
+    the file list is read once and missing paths never meet as one join key.
     """
+    pairs = F.array(*[F.struct(F.lit(p).alias("field"), F.col(p).alias("path")) for p in path_fields])
+    used = state.select(key, F.explode(pairs).alias("_p")).select(key, "_p.*")
+    gone = used.filter(F.coalesce("path", F.lit("")) != "").join(paths.select("path"), "path", "left_anti")
+    return gone.groupBy(key).agg(F.collect_set("field").alias("broken"))
+
+
+def consistency_flags(state: DataFrame, configs: DataFrame, paths: DataFrame, key: str = "exp_id",
+                      path_fields: Sequence[str] = PATH_FIELDS, embedded: str = "has_config_copy") -> DataFrame:
+    """One row per known id with a flag per kind of drift. ``paths`` lists existing files (``path``)."""
     both = (state.withColumn("_state", F.lit(True))
             .join(configs.select(key, F.lit(True).alias("_config")), key, "full_outer"))
-    used = state.select(key, F.explode(F.array(*[F.col(p) for p in path_fields])).alias("path"))
-    broken = (used.filter(F.coalesce(F.col("path"), F.lit("")) != "").join(paths.select("path"), "path", "left_anti")
-              .select(key).distinct().withColumn("_broken", F.lit(True)))
-    joined = both.join(broken, key, "left")
+    joined = both.join(broken_fields(state, paths, key, path_fields), key, "left")
     in_state, in_config = F.col("_state").isNotNull(), F.col("_config").isNotNull()
     return joined.select(
         key,
         (in_state & ~in_config).alias("missing_config"),
         (~in_state & in_config).alias("orphan_config"),
         F.coalesce(F.col(embedded), F.lit(False)).alias("stale_copy"),
-        F.coalesce("_broken", F.lit(False)).alias("broken_path"))
+        F.col("broken").isNotNull().alias("broken_path"))
 
 
 ISSUES = ["missing_config", "orphan_config", "stale_copy", "broken_path"]
@@ -99,7 +108,7 @@ def rename_errors(renames: DataFrame, state: DataFrame, key: str = "exp_id") ->
 
 
 def apply_renames(state: DataFrame, renames: DataFrame, key: str = "exp_id",
-                  text_fields: Sequence[str] = ("train_script_path", "eval_script_path")) -> DataFrame:
+                  text_fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
     """State under the new ids, the old id replaced inside path texts. Validate first."""
     joined = state.join(renames.select(F.col("old_id").alias(key), "new_id"), key, "left")
     renamed = F.col("new_id").isNotNull()
@@ -109,7 +118,7 @@ def apply_renames(state: DataFrame, renames: DataFrame, key: str = "exp_id",
 
 
 def bulk_rename(state: DataFrame, renames: DataFrame, key: str = "exp_id",
-                text_fields: Sequence[str] = ("train_script_path", "eval_script_path")) -> DataFrame:
+                text_fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
     """All-or-nothing rename: written as a new version only when the map is valid."""
     problems = rename_errors(renames, state, key).limit(20).collect()
     if problems:
@@ -124,8 +133,6 @@ def rename_dirs(dirs: DataFrame, renames: DataFrame, name: str = "dir_name") ->
 
     Related: the id itself, the id followed by ``_`` or ``-``, or the id as a ``_``-delimited part.
     """
-    from runloom.functions.names import id_candidates, id_prefixes
-
     candidates = F.array_union(id_candidates(F.col(name)), F.coalesce(
         F.filter(id_prefixes(F.col(name)),
                  lambda p: F.substring(F.col(name), F.length(p) + 1, F.lit(1)).isin("", "_", "-")),
@@ -135,15 +142,11 @@ def rename_dirs(dirs: DataFrame, renames: DataFrame, name: str = "dir_name") ->
 
 
 def repaired_state(state: DataFrame, flags: DataFrame, paths: DataFrame, key: str = "exp_id",
-                   path_fields: Sequence[str] = ("train_script_path", "eval_script_path"),
-                   embedded: str = "has_config_copy") -> DataFrame:
+                   path_fields: Sequence[str] = PATH_FIELDS, embedded: str = "has_config_copy") -> DataFrame:
     """State after repair: copies stripped, orphans registered as ``unknown``, broken paths NULL."""
-    fixed = state
-    for field in path_fields:
-        known = paths.select(F.col("path").alias(field), F.lit(True).alias("_ok")).distinct()
-        fixed = (fixed.join(known, field, "left")
-                 .withColumn(field, F.when(F.col("_ok"), F.col(field))).drop("_ok"))
-    fixed = fixed.withColumn(embedded, F.lit(False)).select(*state.columns)
+    joined = state.join(broken_fields(state, paths, key, path_fields), key, "left")
+    cleared = {f: F.when(~F.coalesce(F.array_contains("broken", f), F.lit(False)), F.col(f)) for f in path_fields}
+    fixed = joined.withColumns(cleared).withColumn(embedded, F.lit(False)).select(*state.columns)
     added = flags.filter("orphan_config").select(key, F.lit("unknown").alias("status"))
     return fixed.unionByName(added, allowMissingColumns=True)
 
@@ -174,15 +177,22 @@ def missing_artifacts(ids: DataFrame, registered: DataFrame, present: DataFrame,
 def missing_fields(configs: DataFrame, required: Sequence[str], paths: DataFrame, name: str = "name") -> DataFrame:
     """Per configuration (a ``fields`` map): required fields that are absent or point to no file."""
     wanted = F.array(*[F.lit(f) for f in required])
-    needed = configs.select(name, F.col("fields"), F.explode(wanted).alias("field")).withColumn(
-        "path", F.nullif(F.try_element_at("fields", F.col("field")), F.lit("")))
-    checked = needed.join(paths.select("path", F.lit(True).alias("_ok")).distinct(), "path", "left")
+    needed = configs.select(name, "fields", F.explode(wanted).alias("field")).select(
+        name, "field", F.coalesce(F.try_element_at("fields", F.col("field")), F.lit("")).alias("pattern"))
+    absent = needed.filter("pattern = ''").withColumn(
+        "reason", F.concat(F.lit("field '"), F.col("field"), F.lit("' missing")))
     quoted = F.when(F.col("field").isin("checkpoint", "exp_config"), F.col("field")).otherwise(
         F.concat(F.lit("'"), F.col("field"), F.lit("'")))
-    reason = (F.when(F.col("path").isNull(), F.concat(F.lit("field '"), F.col("field"), F.lit("' missing")))
-              .when(F.col("_ok").isNull(), F.concat(quoted, F.lit(" not found"))))
-    return (checked.withColumn("reason", reason).filter("reason IS NOT NULL")
-            .select(name, "field", "reason", F.coalesce("path", F.lit("")).alias("pattern")))
+    unknown = (needed.filter("pattern <> ''").join(paths.select(F.col("path").alias("pattern")), "pattern", "left_anti")
+               .withColumn("reason", F.concat(quoted, F.lit(" not found"))))
+    return absent.unionByName(unknown).select(name, "field", "reason", "pattern")
+
+
+def reevaluation_plan(requested: DataFrame, state: DataFrame, key: str = "exp_id") -> DataFrame:
+    """Requested ids as ``planned``, or ``skipped`` when they are not registered."""
+    known = state.select(key, F.lit(True).alias("_s")).distinct()
+    return requested.join(known, key, "left").withColumn(
+        "outcome", F.when(F.col("_s"), "planned").otherwise("skipped")).drop("_s")
 
 
 def validation_report(ids: DataFrame, missing: DataFrame, key: str = "exp_id") -> DataFrame:

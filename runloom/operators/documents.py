@@ -126,7 +126,7 @@ def metric_statistics(df: DataFrame, metrics: Sequence[str], doc: str = "doc", w
         F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"))
     if not with_median:
         return summary
-    return summary.join(exact_median(values, ["metric"], "value"), "metric")
+    return summary.join(exact_median(values, ["metric"], "value", groups_at_most=len(metrics)), "metric")
 
 
 def group_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

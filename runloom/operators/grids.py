@@ -78,18 +78,18 @@ def inject_registry(points: DataFrame, registry: DataFrame, param: str, config:
 def missing_prerequisites(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Registry entries whose path matches no file; ``*`` and ``?`` in a path are wildcards.
 
-    Plain paths are an anti-join. Wildcard paths are joined on their folder, the pattern tested
-    within it.
+    Plain paths are an anti-join. Distinct wildcard paths are anti-joined within their folder,
+    the pattern being the join's condition: a match ends the search and no pairs are kept.
     """
     wild = F.col("path").rlike(r"[*?]")
     folder = F.regexp_replace(F.col("path"), r"/[^/]*$", "")
     plain = registry.filter(~wild).join(files.select("path"), "path", "left_anti").select("value", "path")
     like = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         F.col("path"), r"([\\%_])", r"\\$1"), r"\*", "%"), r"\?", "_")
-    patterns = registry.filter(wild).select("value", "path", folder.alias("_dir"), like.alias("_like"))
-    listed = files.select(F.col("path").alias("_file"), folder.alias("_dir"))
-    hits = (patterns.join(listed, "_dir").filter(F.expr("_file LIKE _like")).select("value").distinct())
-    return plain.unionByName(patterns.join(hits, "value", "left_anti").select("value", "path"))
+    patterns = registry.filter(wild).select("path").distinct().withColumns({"_dir": folder, "_like": like})
+    listed = files.select(F.col("path").alias("_file"), folder.alias("_file_dir"))
+    unmatched = patterns.join(listed, F.expr("_dir = _file_dir AND _file LIKE _like"), "left_anti").select("path")
+    return plain.unionByName(registry.join(unmatched, "path", "left_semi").select("value", "path"))
 
 
 def status_grid(points: DataFrame, state: DataFrame, exp_id: str = "exp_id", status: str = "status") -> DataFrame:

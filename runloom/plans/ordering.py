@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Two rows of about 60 bytes a group: at most some 1 MB is broadcast.
+BROADCAST_GROUPS = 10_000
 GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -72,15 +74,20 @@ def time_blocks(stamp: str, seq: str, width: int = 1 << 20) -> list[tuple[str, C
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median",
-                 bins: int = 4096, levels: int = 2) -> DataFrame:
+                 bins: int = 4096, levels: int = 2, groups_at_most: int | None = None) -> DataFrame:
     """Exact median of ``value`` per (non-null) group without gathering a group.
 
+    ``groups_at_most`` is the caller's proof that there are few groups: the wanted ranges (two
+    rows a group) are then broadcast, and the values are never shuffled. Otherwise Spark decides
+    by size.
+
     Each level cuts the current value range of a group into equal-width bins and keeps the bin
     that holds the wanted rank; the bin's own smallest and largest value are the next range.
     """
     group = list(group)
-    # Without a group all rows share one constant key, joined against a one-row table.
+    # Without a group all rows share one constant key, joined against two rows.
     keyed = df.withColumn("_all", F.lit(1))
+    small = F.broadcast if not group or (groups_at_most or BROADCAST_GROUPS + 1) <= BROADCAST_GROUPS else (lambda t: t)
     keys = [*group, "_all"]
     rows = keyed.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
     targets = (
@@ -105,13 +112,13 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "m
         bin_no = F.when(width <= 0, 0).otherwise(
             F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width * bins)))
         counted = (
-            rows.join(targets, keys).filter("_x >= _lo AND _x <= _hi")
+            rows.join(small(targets), keys).filter("_x >= _lo AND _x <= _hi")
             .withColumn("_bin", bin_no)
             .groupBy(*keys, "_rank", "_below", "_bin")
             .agg(F.count(F.lit(1)).alias("_in"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         )
         targets = wanted(counted, "_bin").select(*keys, "_rank", "_lo", "_hi", "_below")
-    counted = (rows.join(targets, keys).filter("_x >= _lo AND _x <= _hi")
+    counted = (rows.join(small(targets), keys).filter("_x >= _lo AND _x <= _hi")
                .groupBy(*keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_in")))
     picked = wanted(counted, "_x")
     return picked.groupBy(*keys).agg(F.avg("_x").alias(name)).drop("_all")

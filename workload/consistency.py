@@ -88,6 +88,11 @@ def register_forced(spark, sf):
     return K.created_rows(outcomes).select("exp_id", "status", "run_id")
 
 
+@query("""SELECT event_id AS exp_id, CASE WHEN event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') THEN 'planned' ELSE 'skipped' END AS outcome FROM events""")
+def reevaluation_plan(spark, sf):
+    return K.reevaluation_plan(candidates(spark, sf), state(spark, sf).filter(c("status") != "P"))
+
+
 def renames(spark, sf):
     """Customers in credit get a new id; the target of some is taken."""
     return table(spark, sf, "customer").filter("c_acctbal > 0").select(

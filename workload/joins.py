@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runloom.functions import names as N
 from runloom.functions.merging import layered, layered_maps, override_map
 from runloom.operators import consistency as K
 from runloom.operators import jobs as J
@@ -48,6 +49,20 @@ def job_name_join(spark, sf):
     return J.jobs_by_name(queue(spark, sf), experiments(spark, sf)).select("job_id", "exp_id")
 
 
+@query(f"""SELECT o_orderkey AS key, {DIR} AS name FROM orders WHERE {DIR} = 'C7' OR {DIR} LIKE 'C7\\_%' ESCAPE '\\'
+  OR {DIR} LIKE '%\\_C7' ESCAPE '\\' OR {DIR} LIKE '%\\_C7\\_%' ESCAPE '\\'""")
+def strict_id_filter(spark, sf):
+    tail = F.when(c("o_orderpriority") < "3", "-b").otherwise(text("_", c("o_orderkey")))
+    dirs = table(spark, sf, "orders").select(
+        c("o_orderkey").alias("key"), text("eval_C", c("o_custkey"), "_", c("o_orderstatus"), tail).alias("name"))
+    return dirs.filter(N.is_name_of(c("name"), F.lit("C7")))
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, {JOB} AS name FROM orders WHERE {JOB} = 'C7' OR (starts_with({JOB}, 'C7') AND ({JOB})[3:3] IN ('_', '-', '.'))""")
+def job_name_filter(spark, sf):
+    return queue(spark, sf).filter(N.is_job_of(c("name"), F.lit("C7"))).select("job_id", "name")
+
+
 def state_with_jobs(spark, sf):
     """Customers with a training job, an evaluation job and a list of further ones."""
     key = c("c_custkey")

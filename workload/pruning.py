@@ -164,6 +164,12 @@ def ckpt_best(spark, sf):
     return C.highest_epoch(files)
 
 
+@query(f"SELECT exp_id, path, strftime(mtime, '%Y-%m-%d') AS day FROM {CK} WHERE f = 'N' ORDER BY exp_id, mtime DESC, path")
+def ckpt_all(spark, sf):
+    files = checkpoint_files(spark, sf).filter(F.endswith("path", F.lit(".ckpt")))
+    return C.resolve_all(files).select("exp_id", "path", F.date_format("mtime", "yyyy-MM-dd").alias("day"))
+
+
 def registry(spark, sf):
     return table(spark, sf, "lineitem").select(
         c("l_partkey").alias("exp_id"), c("l_orderkey") * 10 + c("l_linenumber"), text("reg/", c("l_orderkey"), "/", c("l_linenumber")).alias("path"),

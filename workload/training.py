@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runloom.operators import training as T
+from runloom.session import shared_dir
+from runloom.sources.exports import write_table
 from workload.base import c, query, table
 
 TAGS = {"click": "train_loss", "view": "val/loss", "error": "loss", "purchase": "epoch", "signup": "lr"}
@@ -71,6 +73,14 @@ def train_eval_outer(spark, sf):
     return merged.select("exp_id", "train_loss_last", "epochs", F.round("score", 6).alias("score"), "eval_nc")
 
 
+@query(f"""SELECT t.exp_id, train_loss_last, epochs FROM ({_training_sql()}) t""")
+def training_export(spark, sf):
+    path = shared_dir(spark, "training")
+    write_table(T.training_summary(T.scalar_summary(scalars(spark, sf))), path)
+    rows = spark.read.option("header", "true").csv(path)
+    return rows.select(c("exp_id").cast("bigint"), c("train_loss_last").cast("double"), c("epochs").cast("bigint"))
+
+
 @query("""SELECT user_id AS exp_id, max(CASE WHEN event_type = 'click' THEN value END) AS navtest_pdms,
   max(CASE WHEN event_type = 'view' THEN value END) AS navhard_pdms, max(CASE WHEN event_type = 'error' THEN value END) AS pdms
   FROM events WHERE event_type <> 'signup' GROUP BY 1""")

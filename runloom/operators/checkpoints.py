@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,18 +14,34 @@ from runloom.session import shared_dir
 
 # Checkpoint file names, "best" ones in order of preference.
 BEST_NAMES = ["checkpoint_best.pth", "best_checkpoint.pth", "model_best.pth"]
-LATEST_NAMES = r"^(checkpoint_latest\.pth|latest_checkpoint\.pth|checkpoint_.*\.pth|epoch_.*\.pth|.*\.ckpt)$"
-EVAL_FILE_PATTERNS = [r"\.ckpt$", r"\.pth$", r"best", r"\.safetensors$"]
+LATEST_NAMES = ["latest_checkpoint.pth"]
+LATEST_STARTS = ["checkpoint_", "epoch_"]
+LATEST_END = ".pth"
+LATEST_ANY_END = ".ckpt"
+
+
+def is_latest_name(name: Column) -> Column:
+    started = functools.reduce(Column.__or__, [F.startswith(name, F.lit(s)) for s in LATEST_STARTS])
+    return (started & F.endswith(name, F.lit(LATEST_END))) | F.endswith(name, F.lit(LATEST_ANY_END)) | name.isin(LATEST_NAMES)
+
+
+def evaluation_file_kind(name: Column) -> Column:
+    """Rank of the file forms an evaluation may load, the preferred one first; NULL for others."""
+    forms = [F.endswith(name, F.lit(".ckpt")), F.endswith(name, F.lit(".pth")), F.contains(name, F.lit("best")),
+             F.endswith(name, F.lit(".safetensors"))]
+    return F.coalesce(*[F.when(form, F.lit(rank)) for rank, form in enumerate(forms)])
 
 
 def latest_or_best(files: DataFrame, by: Sequence[str] = ("exp_id",), path: str = "path", mtime: str = "mtime") -> DataFrame:
     """Per experiment a "best" file if there is one, else the newest checkpoint: path, epoch, type."""
-    name = file_name(F.col(path))
+    name = F.col("_name")
     rank = F.coalesce(*[F.when(name == b, F.lit(len(BEST_NAMES) - i)) for i, b in enumerate(BEST_NAMES)],
-                      F.when(name.rlike(LATEST_NAMES), F.lit(0)))
-    usable = files.withColumn("_rank", rank).filter("_rank IS NOT NULL")
-    picked = usable.groupBy(*by).agg(
-        F.max_by(F.struct(path, "_rank"), F.struct("_rank", mtime, path)).alias("_c"))
+                      F.when(is_latest_name(name), F.lit(0)), F.lit(-1))
+    ranked = files.withColumn("_name", file_name(F.col(path))).withColumn("_rank", rank)
+    # Other files rank below all and drop out after the aggregation: a filter in front of it would
+    # evaluate the name rules once more per row.
+    picked = ranked.groupBy(*by).agg(
+        F.max_by(F.struct(path, "_rank"), F.struct("_rank", mtime, path)).alias("_c")).filter("_c._rank >= 0")
     chosen = F.col(f"_c.{path}")
     return picked.select(*by, chosen.alias(path), number_in_name(chosen, "core", None).alias("epoch"),
                          F.when(F.col("_c._rank") > 0, "best").otherwise("latest").alias("type"))
@@ -82,10 +99,11 @@ def for_evaluation(ids: DataFrame, registry: DataFrame, eval_configs: DataFrame,
                        F.nullif(F.col("agent_checkpoint_path"), F.lit("")))
     cfg = (eval_configs.withColumn("_p", named).filter("_p IS NOT NULL")
            .groupBy(key).agg(F.min_by("_p", "position").alias("_config")))
-    name = file_name(F.col("path"))
-    kind = F.coalesce(*[F.when(name.rlike(p), F.lit(i)) for i, p in enumerate(EVAL_FILE_PATTERNS)])
-    glob = (files.withColumn("_k", kind).filter("_k IS NOT NULL").groupBy(key)
-            .agg(F.max_by("path", F.struct(-F.col("_k"), number_in_name(F.col("path")), F.col("path"))).alias("_glob")))
+    # Other files come last in the order and give no path.
+    kind = F.col("_k")
+    rank = F.struct(-F.coalesce(kind, F.lit(99)), number_in_name(F.col("path")), F.col("path"))
+    glob = (files.withColumn("_name", file_name(F.col("path"))).withColumn("_k", evaluation_file_kind(F.col("_name")))
+            .groupBy(key).agg(F.max_by(F.when(kind.isNotNull(), F.col("path")), rank).alias("_glob")))
     joined = ids.select(key).join(reg, key, "left").join(cfg, key, "left").join(glob, key, "left")
     chosen = F.coalesce("_registry", "_config", "_glob")
     epoch = number_in_name(chosen)

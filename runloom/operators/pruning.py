@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,24 @@ from runloom.functions.names import base_and_stamp, id_suffixes
 from runloom.plans.ordering import top_per_group
 
 # Names that count as checkpoints and as results.
-CHECKPOINT_NAMES = r"^((checkpoint|model).*\.(pth|pt)|.*\.ckpt)$"
-RESULT_NAMES = r"^(results\.json|metrics\.json|eval_results\.json|.*_results\.json|metrics\.txt|results\.txt)$"
+CHECKPOINT_STARTS = ["checkpoint", "model"]
+CHECKPOINT_ENDS = [".pth", ".pt"]
+CHECKPOINT_ANY_END = ".ckpt"
+RESULT_NAMES = ["results.json", "metrics.json", "eval_results.json", "metrics.txt", "results.txt"]
+RESULT_END = "_results.json"
+
+
+def any_of(test, text: Column, values: list[str]) -> Column:
+    return functools.reduce(Column.__or__, [test(text, F.lit(v)) for v in values])
+
+
+def is_checkpoint_name(name: Column) -> Column:
+    named = any_of(F.startswith, name, CHECKPOINT_STARTS) & any_of(F.endswith, name, CHECKPOINT_ENDS)
+    return named | F.endswith(name, F.lit(CHECKPOINT_ANY_END))
+
+
+def is_result_name(name: Column) -> Column:
+    return name.isin(RESULT_NAMES) | F.endswith(name, F.lit(RESULT_END))
 
 
 def label_duplicates(dirs: DataFrame, keep_n: int = 1, name: str = "dir_name") -> DataFrame:
@@ -62,10 +80,10 @@ def validity(dirs: DataFrame, files: DataFrame, evals: DataFrame | None = None,
     File tables hold (dir_name, file_name, length) of everything below a directory.
     """
     file = F.col("file_name")
-    good = file.rlike(CHECKPOINT_NAMES)
+    good = is_checkpoint_name(file)
     if required_epochs is not None:
         good = good & file.rlike(rf"(epoch_|e){int(required_epochs)}(?!\d)")
-    result = file.rlike(RESULT_NAMES) & (F.col("length") > 0)
+    result = is_result_name(file) & (F.col("length") > 0)
     own = files.groupBy(name).agg(F.bool_or(good).alias("_ckpt"), F.bool_or(result).alias("_res"))
     checked = dirs.join(own, name, "left")
     has_result = F.coalesce("_res", F.lit(False))

@@ -16,9 +16,16 @@ from pyspark.sql import functions as F
 
 # Two rows of about 60 bytes a group: at most some 1 MB is broadcast.
 BROADCAST_GROUPS = 10_000
+# Above the first size one narrowing of the value range pays, above the second one two do.
+NARROWING_BYTES = (1 << 26, 1 << 38)
 GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate of a plan; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1,
                   blocks: Sequence[tuple[str, Column]] = ()) -> DataFrame:
     """The first ``n`` rows of each group in ``order`` (which must break ties)."""
@@ -74,17 +81,20 @@ def time_blocks(stamp: str, seq: str, width: int = 1 << 20) -> list[tuple[str, C
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median",
-                 bins: int = 4096, levels: int = 2, groups_at_most: int | None = None) -> DataFrame:
+                 bins: int = 4096, levels: int | None = None, groups_at_most: int | None = None) -> DataFrame:
     """Exact median of ``value`` per (non-null) group without gathering a group.
 
     ``groups_at_most`` is the caller's proof that there are few groups: the wanted ranges (two
     rows a group) are then broadcast, and the values are never shuffled. Otherwise Spark decides
     by size.
 
+    ``levels`` follows the estimated input size unless given: small inputs need no narrowing.
     Each level cuts the current value range of a group into equal-width bins and keeps the bin
     that holds the wanted rank; the bin's own smallest and largest value are the next range.
     """
     group = list(group)
+    if levels is None:
+        levels = sum(estimated_bytes(df.select(*group, value)) > limit for limit in NARROWING_BYTES)
     # Without a group all rows share one constant key, joined against two rows.
     keyed = df.withColumn("_all", F.lit(1))
     small = F.broadcast if not group or (groups_at_most or BROADCAST_GROUPS + 1) <= BROADCAST_GROUPS else (lambda t: t)

@@ -96,17 +96,17 @@ def test_compare_keeps_the_requested_order(spark):
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.one_of(st.floats(-1e9, 1e9), st.sampled_from([0.0, 1.0, 1e-300, 1e300])), min_size=1, max_size=60), st.integers(2, 5))
-def test_median_is_exact(spark, values, bins):
+@given(st.lists(st.one_of(st.floats(-1e9, 1e9), st.sampled_from([0.0, 1.0, 1e-300, 1e300])), min_size=1, max_size=60), st.integers(2, 5), st.integers(0, 3))
+def test_median_is_exact(spark, values, bins, levels):
     df = spark.createDataFrame([(v, "g") for v in values], "v double, g string")
-    got = exact_median(df, ["g"], "v", bins=bins).first()["median"]
+    got = exact_median(df, ["g"], "v", bins=bins, levels=levels).first()["median"]
     assert got == pytest.approx(statistics.median(values))
 
 
 def test_median_with_a_dominant_value_and_group(spark):
     rows = [("hot", 7.0)] * 3000 + [("hot", float(i)) for i in range(2000)] + [("cold", 1.0), ("cold", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v", bins=8).collect()}
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v", bins=8, levels=2).collect()}
     assert got == {"hot": statistics.median(v for g, v in rows if g == "hot"), "cold": 1.5}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.ids import attempt_group_id
-from runloom.plans.ordering import ordered_position, time_blocks
+from runloom.plans.ordering import SMALL_BYTES, ordered_position, time_blocks
 
 
 def with_group(runs: DataFrame, keys: Sequence[Column], exp_id: str = "exp_id") -> DataFrame:
@@ -16,12 +16,12 @@ def with_group(runs: DataFrame, keys: Sequence[Column], exp_id: str = "exp_id")
 
 
 def assign_orders(runs: DataFrame, stamp: str = "attempt_timestamp", seq: str = "seq",
-                  group: str = "attempt_group_id", block: int = 1 << 20) -> DataFrame:
+                  group: str = "attempt_group_id", block: int = 1 << 20, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """1-based attempt order per group by time stamp text (missing first), then ``seq``."""
     return ordered_position(
         runs.filter(F.col(group).isNotNull()), [group],
         [F.coalesce(F.col(stamp), F.lit("")), F.col(seq)],
-        time_blocks(stamp, seq, block), "attempt_order")
+        time_blocks(stamp, seq, block), "attempt_order", small_bytes)
 
 
 def build_summaries(runs: DataFrame, score: str = "avg_score", stamp: str = "attempt_timestamp", seq: str = "seq",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.names import file_name, number_in_name
-from runloom.plans.ordering import ordered_position
+from runloom.plans.ordering import SMALL_BYTES, ordered_position
 from runloom.session import shared_dir
 
 # Checkpoint file names, "best" ones in order of preference.
@@ -115,14 +115,14 @@ def for_evaluation(ids: DataFrame, registry: DataFrame, eval_configs: DataFrame,
 
 
 def number_resumes(requests: DataFrame, sources: DataFrame, source: str = "source_id", seq: str = "seq",
-                   block: int = 1 << 20) -> DataFrame:
+                   block: int = 1 << 20, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Ids ``{root}_resume{n}`` for a batch of resume requests.
 
     ``n`` continues the source's ``resume_count``; the root is the source's own
     ``resume_from_exp_id`` when it was itself resumed.
     """
     blocks = [("range", F.floor(F.col(seq) / block))]
-    numbered = ordered_position(requests, [source], [F.col(seq)], blocks, "_n")
+    numbered = ordered_position(requests, [source], [F.col(seq)], blocks, "_n", small_bytes)
     facts = sources.select(F.col("exp_id").alias(source), "resume_count", "resume_from_exp_id")
     n = (F.coalesce("resume_count", F.lit(0)) + F.col("_n")).cast("bigint")
     root = F.coalesce(F.nullif(F.col("resume_from_exp_id"), F.lit("")), F.col(source))

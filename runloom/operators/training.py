@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.plans.ordering import ordered_position
+from runloom.plans.ordering import SMALL_BYTES, ordered_position
 
 # Tags that can hold a metric, in order of preference.
 PREFERRED_TAGS = {
@@ -28,9 +28,9 @@ def scalar_summary(scalars: DataFrame, by: Sequence[str] = ("exp_id", "tag"), st
 
 
 def scalar_series(scalars: DataFrame, by: Sequence[str] = ("exp_id", "tag"), step: str = "step",
-                  block: int = 1 << 20) -> DataFrame:
+                  block: int = 1 << 20, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Every point with its 0-based position in step order (the ordered series, one row a point)."""
-    numbered = ordered_position(scalars, by, [F.col(step)], [("range", F.floor(F.col(step) / block))], "_position")
+    numbered = ordered_position(scalars, by, [F.col(step)], [("range", F.floor(F.col(step) / block))], "_position", small_bytes)
     return numbered.withColumn("position", F.col("_position") - 1).drop("_position")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 # Two rows of about 60 bytes a group: at most some 1 MB is broadcast.
 BROADCAST_GROUPS = 10_000
+# A table this small can be one task's work.
+SMALL_BYTES = 1 << 24
 # Above the first size one narrowing of the value range pays, above the second one two do.
 NARROWING_BYTES = (1 << 26, 1 << 38)
 GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -41,15 +43,22 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def ordered_position(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                     blocks: Sequence[tuple[str, Column]], name: str = "position") -> DataFrame:
+                     blocks: Sequence[tuple[str, Column]], name: str = "position",
+                     small_bytes: int = SMALL_BYTES) -> DataFrame:
     """1-based position of every row in its group.
 
+    A table of at most ``small_bytes`` (estimated) is numbered by a plain window, as even a group
+    that is the whole table fits one task. Any larger table goes through the blocks.
+
     ``blocks`` are non-null columns, coarse to fine, each non-decreasing along ``order`` among
     rows equal in the coarser ones: e.g. day, then second, then id range. Windows run over the
     coarse blocks of a group, over the finer blocks of one coarse block, or over the rows of one
     finest block, never over the rows of a group. Rows are shuffled once, by group and block.
     """
     group = list(group)
+    if estimated_bytes(df) <= small_bytes:
+        window = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     names = [f"_block_{i}" for i in range(len(blocks))]
     keyed = df.withColumns({name_: column for name_, (_, column) in zip(names, blocks)})
     sizes = keyed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_size"))

@@ -88,7 +88,7 @@ def test_attempts(spark):
     df = spark.createDataFrame([("E", "r1", 0.7, "20260101_120000", 1, "g"), ("E", "r2", 0.85, "20260102_120000", 0, "g"), ("E", "r0", None, None, 5, "g"),
                                 ("E", "r3", 0.85, "20260103_120000", 9, "g"), ("E", "zz", 1.0, "x", 9, None)],
                                "exp_id string, run_id string, avg_score double, attempt_timestamp string, seq int, attempt_group_id string")
-    orders = {r["run_id"]: r["attempt_order"] for r in attempts.assign_orders(df).collect()}
+    orders = {r["run_id"]: r["attempt_order"] for r in (attempts.assign_orders(df).collect() + attempts.assign_orders(df, small_bytes=0).collect())}
     assert orders == {"r0": 1, "r1": 2, "r2": 3, "r3": 4}
     s = attempts.build_summaries(df).first()
     assert (s["attempts_count"], s["best_attempt_id"], s["latest_attempt_id"]) == (4, "r2", "r3")

@@ -116,7 +116,7 @@ def test_positions_of_a_hot_group(spark):
              None if rng.random() < 0.3 else f"2026010{rng.randrange(1, 4)}_12000{rng.randrange(3)}", i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, t string, seq int")
     order = [F.coalesce("t", F.lit("")), F.col("seq")]
-    got = ordered_position(df, ["g"], order, time_blocks("t", "seq", 64), "p").collect()
+    got = ordered_position(df, ["g"], order, time_blocks("t", "seq", 64), "p", small_bytes=0).collect()
     groups = {}
     for g, t, seq in rows:
         groups.setdefault(g, []).append((t or "", seq))

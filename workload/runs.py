@@ -109,6 +109,13 @@ def attempt_order(spark, sf):
     return A.assign_orders(attempts(spark, sf)).select("run_id", "attempt_group_id", c("attempt_order").cast("bigint"))
 
 
+@query(f"""SELECT run_id, CAST(row_number() OVER (PARTITION BY exp_id ORDER BY t, seq) AS BIGINT) AS attempt_order FROM ({ATTEMPTS})""")
+def attempt_order_blocks(spark, sf):
+    """The same numbering per experiment, through the blocks that large tables need."""
+    grouped = A.assign_orders(attempts(spark, sf), group="exp_id", block=4096, small_bytes=0)
+    return grouped.select("run_id", c("attempt_order").cast("bigint"))
+
+
 @query(f"""SELECT attempt_group_id, arg_max(exp_id, (t, seq)) AS exp_id, CAST(count(*) AS BIGINT) AS attempts_count,
   round(coalesce(avg(CASE WHEN s > 0 THEN s END), 0), 6) AS mean_score,
   round(coalesce(stddev_samp(CASE WHEN s > 0 THEN s END), 0), 6) AS std_score,

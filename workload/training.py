@@ -33,7 +33,7 @@ POSITIONS = f"SELECT *, row_number() OVER (PARTITION BY exp_id, tag ORDER BY ste
 
 @query(f"SELECT exp_id, tag, step, value, CAST(position AS BIGINT) AS position FROM ({POSITIONS})")
 def scalar_series(spark, sf):
-    return T.scalar_series(scalars(spark, sf), block=1024).select("exp_id", "tag", "step", "value", c("position").cast("bigint"))
+    return T.scalar_series(scalars(spark, sf), block=1024, small_bytes=0).select("exp_id", "tag", "step", "value", c("position").cast("bigint"))
 
 
 @query(f"""SELECT exp_id, tag, CAST(position // 8 AS BIGINT) AS chunk, string_agg(CAST(step AS VARCHAR), ',' ORDER BY step) AS steps,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,26 @@ from pyspark.sql import functions as F
 
 from runloom.functions.resources import allocation_score, batch_split, duration_hours
 
-# Fixed values: (GPUs, nodes) shapes that are considered.
+# Fixed values: (GPUs, nodes) shapes that are considered, and the texts of a recommendation.
 GPU_SHAPES = [(4, 1), (2, 1), (8, 2), (1, 1)]
+TEXTS = {
+    "free": " {free} GPUs available now",
+    "short": " Only {free} GPUs available ({gpus} needed)",
+    "empty": "empty queue",
+    "queued": "{queue} jobs queued",
+    "full": "full node (efficient)",
+    "gpus": "GPU count changed from {wanted} to {gpus}. Verify global batch size matches for reproducibility.",
+    "type": "GPU type changed from {wanted} to {type}. May affect precision/performance. Consider locking precision mode.",
+    "accumulation": "Gradient accumulation ({n}x) required to maintain global batch. May affect training dynamics slightly.",
+    "precision": "bf16",
+    "precision_fp8": "bf16 or fp8 (H200 supports FP8, but changes training algorithm)",
+}
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A text with ``{name}`` replaced by columns."""
+    parts = re.split(r"{(\w+)}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def preview_items(requested: DataFrame, registered: DataFrame, configs: DataFrame, key: str = "exp_id") -> DataFrame:
@@ -106,35 +125,39 @@ def fitting_shapes(partitions: DataFrame, shapes: Sequence[tuple[int, int]] = tu
 def recommendations(shapes: DataFrame, target_batch: int = 192, max_per_gpu: int = 48,
                     wanted_partition: Column | None = None, wanted_gpus: Column | None = None,
                     wanted_gpu_type: Column | None = None) -> DataFrame:
-    """Score, batch shape, reason and warnings of every fitting shape; order with :func:`ranked`."""
+    """Score, batch shape, wait, reason, warnings and precision of every fitting shape.
+
+    Order the result with :func:`ranked`. A ``fp8_support`` column widens the precision advice.
+    """
     gpus, free, queue = F.col("num_gpus"), F.col("available_gpus"), F.col("queue_length")
     no = F.lit(False)
     same_partition = (F.col("partition") == wanted_partition) if wanted_partition is not None else no
     same_gpus = (gpus == wanted_gpus) if wanted_gpus is not None else no
-    split = batch_split(F.lit(target_batch), gpus, max_per_gpu)
-
-    def say(*parts: Column | str) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    accumulation = F.col("_b.accumulation")
 
-    availability = F.when(free >= gpus, say(free, " GPUs available now")).otherwise(
-        say("Only ", free, " GPUs available (", gpus, " needed)"))
-    waiting = F.when(queue == 0, "empty queue").otherwise(say(queue, " jobs queued"))
-    full = F.when(gpus == F.col("gpus_per_node"), "full node (efficient)")
+    reason = F.concat_ws(
+        ", ",
+        F.when(free >= gpus, filled(TEXTS["free"], free=free)).otherwise(filled(TEXTS["short"], free=free, gpus=gpus)),
+        F.when(queue == 0, TEXTS["empty"]).otherwise(filled(TEXTS["queued"], queue=queue)),
+        F.when(gpus == F.col("gpus_per_node"), TEXTS["full"]))
     warnings = []
     if wanted_gpus is not None:
-        warnings.append(F.when(gpus != wanted_gpus, say("GPU count changed from ", wanted_gpus, " to ", gpus)))
+        warnings.append(F.when(gpus != wanted_gpus, filled(TEXTS["gpus"], wanted=wanted_gpus, gpus=gpus)))
     if wanted_partition is not None and wanted_gpu_type is not None:
-        warnings.append(F.when(F.col("partition") != wanted_partition,
-                               say("GPU type changed from ", wanted_gpu_type, " to ", F.col("gpu_type"))))
-    accumulation = F.col("_b.accumulation")
-    warnings.append(F.when(accumulation > 1, say("Gradient accumulation (", accumulation, "x) required")))
-    return shapes.withColumn("_b", split).withColumns({
+        changed = filled(TEXTS["type"], wanted=wanted_gpu_type, type=F.col("gpu_type"))
+        warnings.append(F.when(F.col("partition") != wanted_partition, changed))
+    warnings.append(F.when(accumulation > 1, filled(TEXTS["accumulation"], n=accumulation)))
+    fp8 = F.coalesce(F.col("fp8_support"), no) if "fp8_support" in shapes.columns else no
+    return shapes.withColumn("_b", batch_split(F.lit(target_batch), gpus, max_per_gpu)).withColumns({
+        "global_batch": F.lit(target_batch),
         "per_gpu_batch": F.col("_b.per_gpu_batch"),
         "accumulation": accumulation,
+        "estimated_wait_mins": F.coalesce(F.col("wait_mins"), F.lit(0).cast("bigint")),
         "score": allocation_score(free, F.col("gpus_per_node"), queue, F.col("wait_mins"), gpus,
                                   F.coalesce(same_partition, no), F.coalesce(same_gpus, no)),
-        "reason": say(F.col("gpu_type"), " (", F.concat_ws(", ", availability, waiting, full), ")"),
-        "warnings": F.concat_ws("; ", *warnings),
+        "reason": F.concat(F.col("gpu_type"), F.lit(" ("), reason, F.lit(")")),
+        "warnings": F.array_compact(F.array(*warnings)),
+        "precision": F.when(fp8, TEXTS["precision_fp8"]).otherwise(TEXTS["precision"]),
     }).drop("_b")
 
 

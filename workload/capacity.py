@@ -127,10 +127,11 @@ ACC = "CASE WHEN 192 // g <= 48 THEN 1 ELSE (192 + 48 * g - 1) // (48 * g) END"
 @query(f"""SELECT partition, g AS num_gpus, CAST({PER} AS BIGINT) AS per_gpu_batch, CAST({ACC} AS BIGINT) AS accumulation,
   CAST(greatest(100.0 - CASE WHEN free * gpn < g THEN 30 ELSE 0 END - least(q * 2, 30) - coalesce(least({WAIT} / 10.0, 20), 0) + CASE WHEN g = gpn THEN 10 ELSE 0 END
     - CASE WHEN ceil(g / gpn) > 1 THEN (ceil(g / gpn) - 1) * 5 ELSE 0 END + CASE WHEN partition = 'NATION_3' THEN 15 ELSE 0 END + CASE WHEN g = 4 THEN 10 ELSE 0 END, 0) AS DOUBLE) AS score,
-  gpu_type || ' (' || CASE WHEN free * gpn >= g THEN CAST(free * gpn AS BIGINT) || ' GPUs available now' ELSE 'Only ' || CAST(free * gpn AS BIGINT) || ' GPUs available (' || g || ' needed)' END
+  gpu_type || ' (' || CASE WHEN free * gpn >= g THEN ' ' || CAST(free * gpn AS BIGINT) || ' GPUs available now' ELSE ' Only ' || CAST(free * gpn AS BIGINT) || ' GPUs available (' || g || ' needed)' END
     || ', ' || CASE WHEN q = 0 THEN 'empty queue' ELSE q || ' jobs queued' END || CASE WHEN g = gpn THEN ', full node (efficient)' ELSE '' END || ')' AS reason,
-  concat_ws('; ', CASE WHEN g <> 4 THEN 'GPU count changed from 4 to ' || g END, CASE WHEN partition <> 'NATION_3' THEN 'GPU type changed from G1 to ' || gpu_type END,
-    CASE WHEN {ACC} > 1 THEN 'Gradient accumulation (' || ({ACC}) || 'x) required' END) AS warnings FROM {SHAPES}""")
+  concat_ws('; ', CASE WHEN g <> 4 THEN 'GPU count changed from 4 to ' || g || '. Verify global batch size matches for reproducibility.' END, CASE WHEN partition <> 'NATION_3' THEN 'GPU type changed from G1 to ' || gpu_type || '. May affect precision/performance. Consider locking precision mode.' END,
+    CASE WHEN {ACC} > 1 THEN 'Gradient accumulation (' || ({ACC}) || 'x) required to maintain global batch. May affect training dynamics slightly.' END) AS warnings, CAST(coalesce({WAIT}, 0) AS BIGINT) AS wait_mins, 'bf16' AS precision FROM {SHAPES}""")
 def alloc_score(spark, sf):
     scored = Q.recommendations(Q.fitting_shapes(queues(spark, sf)), wanted_partition=F.lit("NATION_3"), wanted_gpus=F.lit(4), wanted_gpu_type=F.lit("G1"))
-    return Q.ranked(scored, "partition", "num_gpus").select("partition", "num_gpus", "per_gpu_batch", "accumulation", "score", "reason", "warnings")
+    return Q.ranked(scored, "partition", "num_gpus").select("partition", "num_gpus", "per_gpu_batch", "accumulation", "score", "reason", F.array_join("warnings", "; ").alias("warnings"),
+                                                        c("estimated_wait_mins").alias("wait_mins"), "precision")

@@ -18,8 +18,10 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.llm.text import shipped
+
 #: Words and fragments remembered by a task; when full the memory starts anew, which changes time only.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 # The word pattern of the tokenizer file's pre-tokenizer, its white space taken from Unicode.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -196,11 +198,11 @@ def encoder(spark: SparkSession, tokenizer: str, boundaries: bool = True):
     NULL and empty texts give an empty array. The file is read once on the driver and sent to the tasks; its size is
     the bound of what is sent. Other columns of the table never reach Python.
     """
-    tables = spark.sparkContext.broadcast(Tables(tokenizer))
+    tables = shipped(spark, Tables(tokenizer))
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Encoder(tables.value, boundaries)
+        own = Encoder(tables(), boundaries)
         for batch in batches:
             yield id_lists([own.encode(text.as_py()) for text in batch])
 
@@ -209,11 +211,11 @@ def encoder(spark: SparkSession, tokenizer: str, boundaries: bool = True):
 
 def decoder(spark: SparkSession, tokenizer: str):
     """A column function array of ids -> text as the tokenizer decodes it: tokens joined by one space. NULL gives ''."""
-    names = spark.sparkContext.broadcast(Tables(tokenizer).tokens)
+    names = shipped(spark, Tables(tokenizer).tokens)
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = np.array(names.value, object)
+        own = np.array(names(), object)
         for batch in batches:
             ends, flat = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
             yield pa.array([" ".join(own[flat[a:b]]) for a, b in zip(ends, ends[1:])], pa.string())

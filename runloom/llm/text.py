@@ -1,7 +1,10 @@
 """Helpers shared by the operators: folds, fresh column names, bounded samples, word splitting, written tables."""
 
+import pickle
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,9 @@ def bounded_sample(df: DataFrame, key: Column, expected: int, seed: int) -> Data
     """
     total = df.count()
     return df if total <= expected else df.filter(hashed_share(key, seed) < F.lit(expected / total))
+
+
+def shipped(spark: SparkSession, model) -> Callable:
+    """Broadcast a fitted model; the returned function gives it back inside a task, the package need not be installed there."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(packed.value)

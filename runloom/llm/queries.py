@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, decontam, rules
+from runloom.llm import bpe, decontam, langid, rules, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +29,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
@@ -60,5 +68,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_decontaminate": op6_decontaminate, "op7_quality_rules": op7_quality_rules, "op8_bpe": op8_bpe}
+    "op1_toxicity": op1_toxicity, "op3_language": op3_language, "op6_decontaminate": op6_decontaminate, "op7_quality_rules": op7_quality_rules, "op8_bpe": op8_bpe}
 ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL}

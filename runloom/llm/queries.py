@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, decontam, langid, rules, toxicity
+from runloom.llm import bpe, decontam, langid, neardup, rules, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -37,6 +37,26 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (WITH RECURSIVE r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT * FROM r)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM s JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
@@ -68,5 +88,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity, "op3_language": op3_language, "op6_decontaminate": op6_decontaminate, "op7_quality_rules": op7_quality_rules, "op8_bpe": op8_bpe}
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL}
+    "op1_toxicity": op1_toxicity,
+    "op3_language": op3_language,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_bpe": op8_bpe,
+}
+ORACLES: dict[str, str] = {
+    "op4_near_duplicates": OP4_SQL,
+    "op6_decontaminate": OP6_SQL,
+}

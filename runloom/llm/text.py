@@ -73,3 +73,12 @@ def shipped(spark: SparkSession, model) -> Callable:
     """Broadcast a fitted model; the returned function gives it back inside a task, the package need not be installed there."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     return lambda: pickle.loads(packed.value)
+
+
+#: Key tables up to this many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of narrow rows, broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

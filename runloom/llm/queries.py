@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, decontam, langid, neardup, rules, toxicity
+from runloom.llm import bpe, decontam, langid, linedup, neardup, rules, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -57,6 +57,10 @@ FROM s JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,

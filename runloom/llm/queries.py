@@ -3,10 +3,12 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, decontam, langid, linedup, neardup, rules, toxicity
+from runloom.llm import bpe, counts, decontam, langid, linedup, neardup, pii, quality, rules, toxicity
+from runloom.llm.text import written
+from runloom.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +35,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -91,16 +97,70 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizer versions loaded, documents of low quality deleted, toxic ones revised to their text without digits.
+
+    The deletions are committed twice, as after a lost answer; the totals count them once.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules_of = {counts.BLANK_WORDS: counts.blank_words, counts.PLAIN_WORDS: counts.plain_words}
+    low = labels.filter("quality = 0").select("doc_id").distinct()
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct().join(low, "doc_id", "left_anti")
+    counted = written(docs.select("doc_id", "source", "lang", *[f(F.col("text")).alias(v) for v, f in rules_of.items()]), "counts", spark)
+    clean = F.regexp_replace("text", "[0-9]+", "")
+    redacted = docs.join(toxic, "doc_id", "left_semi")
+    rollup = counts.Rollup(spark, shared_dir(spark, "rollup"))
+    for version, rule in rules_of.items():
+        tokens = F.col(f"`{version}`")
+        rollup.commit(f"load-{version}", counts.signed(counted, 1, version, tokens))
+        gone = counts.signed(counted.join(low, "doc_id", "left_semi"), -1, version, tokens)
+        rollup.commit(f"takedown-{version}", gone)
+        rollup.commit(f"redact-{version}", counts.revised(redacted, version, rule(F.col("text")), rule(clean)))
+        rollup.commit(f"takedown-{version}", gone)
+    return rollup.totals()
+
+
+OP9_SQL = r"""
+WITH c AS (SELECT doc_id, source, lang, text, regexp_replace(text, '[0-9]+', '', 'g') AS clean FROM documents),
+low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), tox AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+k AS (SELECT source, lang, CASE WHEN tox.doc_id IS NULL THEN text ELSE clean END AS text
+    FROM c LEFT JOIN low ON c.doc_id = low.doc_id LEFT JOIN tox ON c.doc_id = tox.doc_id WHERE low.doc_id IS NULL),
+n AS (SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM k
+    UNION ALL SELECT source, lang, 'words-2', coalesce(len(regexp_extract_all(text,
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 0) FROM k)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM n GROUP BY ALL
+"""
+
+
+def span_text(spans: str) -> Column:
+    """kind:start:end of an array of spans, by kind as listed, then start."""
+    rank = lambda s: F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(rank(s), s["start"], s["end"], s["kind"])))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents")).withColumn("every", F.concat("base", "found"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(span_text("base"), 256).alias("base_sha256"),
+                        span_text("every").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op9_token_counts": OP9_SQL,
 }

@@ -128,12 +128,17 @@ def arrays(text, source, lang, n_chars, shapes):
     return content, meta
 
 
-@F.arrow_udf(FEATURES)
-def features(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    shapes = Shapes()
-    for batch in batches:
-        views = arrays(*batch, shapes)
-        yield pa.StructArray.from_arrays([pa.array(list(v), pa.list_(pa.float64())) for v in views], ["content", "meta"])
+def featurizer():
+    """Column function of INPUTS -> the two views of a row."""
+
+    @F.arrow_udf(FEATURES)
+    def features(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        shapes = Shapes()
+        for batch in batches:
+            views = arrays(*batch, shapes)
+            yield pa.StructArray.from_arrays([pa.array(list(v), pa.list_(pa.float64())) for v in views], ["content", "meta"])
+
+    return features
 
 
 INPUTS = ("text", "source", "lang", "n_chars")
@@ -147,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     total = max(1, docs.count())
     rows = (docs.filter(fold() != HELD_OUT_FOLD).join(F.broadcast(chosen), F.col("doc_id") == F.col("rated_id"), "left")
             .filter(F.col("quality").isNotNull() | (hashed_share(F.col("doc_id"), seed + 1) < F.lit(pool / total)))
-            .select("doc_id", "quality", fold().alias("part"), features(*INPUTS).alias("f")).select("doc_id", "quality", "part", "f.*")
+            .select("doc_id", "quality", fold().alias("part"), featurizer()(*INPUTS).alias("f")).select("doc_id", "quality", "part", "f.*")
             .toPandas().sort_values("doc_id", kind="stable"))
     known = rows.quality.notna().to_numpy()
     views = [np.array(rows[c].tolist(), float).reshape(len(rows), -1) for c in ("content", "meta")]

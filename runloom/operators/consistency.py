@@ -107,12 +107,19 @@ def rename_errors(renames: DataFrame, state: DataFrame, key: str = "exp_id") ->
     return unknown.unionByName(staying).unionByName(doubled)
 
 
+def replace_id(text: Column, old: Column, new: Column) -> Column:
+    """The id replaced where it stands alone: next to no letter or digit, and not before a ``-``."""
+    alone = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), old, F.lit(r"\E(?![A-Za-z0-9-])"))
+    literal = F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.regexp_replace(text, alone, literal)
+
+
 def apply_renames(state: DataFrame, renames: DataFrame, key: str = "exp_id",
                   text_fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
     """State under the new ids, the old id replaced inside path texts. Validate first."""
     joined = state.join(renames.select(F.col("old_id").alias(key), "new_id"), key, "left")
     renamed = F.col("new_id").isNotNull()
-    changed = {f: F.when(renamed, F.replace(F.col(f), F.col(key), F.col("new_id"))).otherwise(F.col(f))
+    changed = {f: F.when(renamed, replace_id(F.col(f), F.col(key), F.col("new_id"))).otherwise(F.col(f))
                for f in text_fields}
     return (joined.withColumns(changed).withColumn(key, F.coalesce("new_id", F.col(key))).drop("new_id"))
 
@@ -120,9 +127,9 @@ def apply_renames(state: DataFrame, renames: DataFrame, key: str = "exp_id",
 def bulk_rename(state: DataFrame, renames: DataFrame, key: str = "exp_id",
                 text_fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
     """All-or-nothing rename: written as a new version only when the map is valid."""
-    problems = rename_errors(renames, state, key).limit(20).collect()
+    problems = rename_errors(renames, state, key).count()
     if problems:
-        raise ValueError("; ".join(f"{p['id']}: {p['error']}" for p in problems))
+        raise ValueError(f"{problems} errors in the map; rename_errors lists them")
     path = shared_dir(state.sparkSession, "renamed")
     apply_renames(state, renames, key, text_fields).write.parquet(path)
     return state.sparkSession.read.parquet(path)
@@ -137,8 +144,13 @@ def rename_dirs(dirs: DataFrame, renames: DataFrame, name: str = "dir_name") ->
         F.filter(id_prefixes(F.col(name)),
                  lambda p: F.substring(F.col(name), F.length(p) + 1, F.lit(1)).isin("", "_", "-")),
         F.array().cast("array<string>")))
-    return (dirs.withColumn("old_id", F.explode(candidates)).join(renames, "old_id")
-            .withColumn("new_name", F.replace(F.col(name), F.col("old_id"), F.col("new_id"))))
+    # A directory that holds several renamed ids belongs to the longest one.
+    found = dirs.withColumn("old_id", F.explode(candidates)).join(renames, "old_id")
+    longest = found.groupBy(*dirs.columns).agg(F.max_by(
+        F.struct("old_id", "new_id"), F.struct(F.length("old_id"), "old_id")).alias("_r")).select(*dirs.columns, "_r.*")
+    start = F.when(F.startswith(F.col(name), F.col("old_id")), F.concat(
+        F.col("new_id"), F.substring(F.col(name), F.length("old_id") + 1, F.length(name))))
+    return longest.withColumn("new_name", F.coalesce(start, replace_id(F.col(name), F.col("old_id"), F.col("new_id"))))
 
 
 def repaired_state(state: DataFrame, flags: DataFrame, paths: DataFrame, key: str = "exp_id",

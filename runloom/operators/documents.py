@@ -87,11 +87,11 @@ def largest(df: DataFrame, score: str, n: int, key: str) -> DataFrame:
 
 
 def best_row_per(df: DataFrame, group: Sequence[str], score: str, key: str) -> DataFrame:
-    """The row with the highest score of each group, the smaller numeric key on ties."""
-    rank = F.struct(F.col(score), -F.col(key))
+    """The row with the highest score of each group, the smaller key on ties; keys may be text."""
+    rank = F.struct(-F.col(score), F.col(key))
     others = [c for c in df.columns if c not in group]
     picked = (df.filter(F.col(score).isNotNull()).groupBy(*group)
-              .agg(F.max_by(F.struct(*others), rank).alias("_row")))
+              .agg(F.min_by(F.struct(*others), rank).alias("_row")))
     return picked.select(*group, "_row.*")
 
 

@@ -76,19 +76,27 @@ def inject_registry(points: DataFrame, registry: DataFrame, param: str, config:
 
 
 def missing_prerequisites(registry: DataFrame, files: DataFrame) -> DataFrame:
-    """Registry entries whose path matches no file; ``*`` and ``?`` in a path are wildcards.
+    """Registry entries whose path matches no file.
 
-    Plain paths are an anti-join. Distinct wildcard paths are anti-joined within their folder,
-    the pattern being the join's condition: a match ends the search and no pairs are kept.
+    ``*`` and ``?`` stand for characters of one path part, ``**`` for any parts. Plain paths are an anti-join. A wildcard
+    path meets the files below the folder in front of its first wildcard, the pattern being the join's condition: a match
+    ends the search and no pairs are kept.
     """
     wild = F.col("path").rlike(r"[*?]")
-    folder = F.regexp_replace(F.col("path"), r"/[^/]*$", "")
     plain = registry.filter(~wild).join(files.select("path"), "path", "left_anti").select("value", "path")
-    like = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        F.col("path"), r"([\\%_])", r"\\$1"), r"\*", "%"), r"\?", "_")
-    patterns = registry.filter(wild).select("path").distinct().withColumns({"_dir": folder, "_like": like})
-    listed = files.select(F.col("path").alias("_file"), folder.alias("_file_dir"))
-    unmatched = patterns.join(listed, F.expr("_dir = _file_dir AND _file LIKE _like"), "left_anti").select("path")
+    escaped = F.regexp_replace(F.col("path"), r"([.+()\[\]{}^$|\\])", r"\\$1")
+    pattern = escaped
+    for glob, regex in ((r"\*\*/", "\u0001"), (r"\*\*", "\u0002"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(.*/)?"), ("\u0002", ".*")):
+        pattern = F.regexp_replace(pattern, glob, regex)
+    before = F.regexp_extract("path", r"^([^*?]*/)?[^/]*[*?]", 1)
+    patterns = registry.filter(wild).select("path").distinct().withColumns(
+        {"_below": before, "_pattern": F.concat(F.lit("^"), pattern, F.lit("$"))})
+    parts = F.split("path", "/")
+    below = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(
+        F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
+    listed = (files.select(F.col("path").alias("_file"), F.explode(F.array_distinct(below)).alias("_folder"))
+              .join(patterns.select(F.col("_below").alias("_folder")).distinct(), "_folder", "left_semi"))
+    unmatched = patterns.join(listed, F.expr("_below = _folder AND _file RLIKE _pattern"), "left_anti").select("path")
     return plain.unionByName(registry.join(unmatched, "path", "left_semi").select("value", "path"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.plans.ordering import SMALL_BYTES, ordered_position
+from runloom.plans.ordering import ordered_position
 
 # Tags that can hold a metric, in order of preference.
 PREFERRED_TAGS = {
@@ -20,17 +20,17 @@ PREFERRED_TAGS = {
 
 def scalar_summary(scalars: DataFrame, by: Sequence[str] = ("exp_id", "tag"), step: str = "step",
                    value: str = "value") -> DataFrame:
-    """Last value and step, min, max and count per tag."""
+    """Last value and step, min, max and count per tag; of a repeated step the largest value counts as the last."""
     return scalars.groupBy(*by).agg(
-        F.max_by(F.col(value), F.col(step)).alias("last_value"), F.max(step).alias("last_step"),
+        F.max_by(F.col(value), F.struct(step, value)).alias("last_value"), F.max(step).alias("last_step"),
         F.min(value).alias("min_value"), F.max(value).alias("max_value"),
         F.count(F.lit(1)).alias("num_values"))
 
 
 def scalar_series(scalars: DataFrame, by: Sequence[str] = ("exp_id", "tag"), step: str = "step",
-                  block: int = 1 << 20, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """Every point with its 0-based position in step order (the ordered series, one row a point)."""
-    numbered = ordered_position(scalars, by, [F.col(step)], [("range", F.floor(F.col(step) / block))], "_position", small_bytes)
+                  value: str = "value", block: int = 1 << 20) -> DataFrame:
+    """Every point with its 0-based position by step, then value (the ordered series, one row a point)."""
+    numbered = ordered_position(scalars, by, [F.col(step), F.col(value)], [("range", F.floor(F.col(step) / block))], "_position")
     return numbered.withColumn("position", F.col("_position") - 1).drop("_position")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.plans.paths import field, numeric_field, path_segments
+from runloom.plans.paths import field, numeric_field, path_segments, text_field
 
 # Comparison prefixes, the two-character ones first.
 COMPARISONS = {
@@ -30,14 +30,14 @@ def condition(df: DataFrame, path: str, wanted: Any, doc: str = "doc", exact: bo
     """One field condition. A missing or NULL field never matches.
 
     ``'>=x' '<=x' '>x' '<x'`` compare numbers, ``'==s'`` is string equality, any other string is
-    a case-insensitive literal substring test (equality with ``exact``), and every other value
+    a case-insensitive literal substring test (equality with ``exact``), on text alone; any other value
     is compared with its own type.
     """
     if isinstance(wanted, str):
         for prefix, compare in COMPARISONS.items():
             if wanted.startswith(prefix):
                 return compare(numeric_field(df, path, doc), F.lit(float(wanted[len(prefix):])))
-        text = field(df, path, "string", doc)
+        text = text_field(df, path, doc)
         if wanted.startswith("=="):
             return text == F.lit(wanted[2:])
         if exact:

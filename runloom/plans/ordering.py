@@ -4,38 +4,53 @@
   shuffle (WindowGroupLimit), so a hot group costs N rows per task.
 * ``ordered_position`` numbers *every* row of a group. The group is split into ordered blocks;
   counts per block are summed into offsets, and rows are numbered inside their block only.
-* ``exact_median`` narrows the value range by histograms and sorts only the last, narrow range.
+* ``exact_median`` brackets the median by a sketch with a guaranteed rank error, counts what lies
+  below the bracket and sorts only the values inside it.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Two rows of about 60 bytes a group: at most some 1 MB is broadcast.
-BROADCAST_GROUPS = 10_000
-# A table this small can be one task's work.
-SMALL_BYTES = 1 << 24
-# Above the first size one narrowing of the value range pays, above the second one two do.
-NARROWING_BYTES = (1 << 26, 1 << 38)
+from runloom.session import shared_dir
+
 GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate of a plan; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be NULL on both sides; the keys come from the left."""
+    other = right.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return left.join(other, functools.reduce(Column.__and__, same)).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
+def range_blocks(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "_part") -> DataFrame:
+    """The rows with the number of their range partition along group and order, as a written table.
+
+    A hot group spans many partitions, and the numbers rise along its order.
+    """
+    path = shared_dir(df.sparkSession, "ranges")
+    dealt = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn(name, F.spark_partition_id())
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1,
                   blocks: Sequence[tuple[str, Column]] = ()) -> DataFrame:
-    """The first ``n`` rows of each group in ``order`` (which must break ties)."""
+    """The first ``n`` rows of each group in ``order`` (which must break ties).
+
+    Beyond the number that Spark cuts per task, rows are numbered by ``blocks``, or by range
+    partitions where none are given.
+    """
     limit = int(df.sparkSession.conf.get(GROUP_LIMIT_KEY, "1000"))
     if n > limit:
         if not blocks:
-            raise ValueError(f"n={n} is over {GROUP_LIMIT_KEY}={limit}: pass blocks to split groups")
-        ranked = ordered_position(df, group, order, blocks, "_rank")
+            df, blocks = range_blocks(df, group, order), [("part", F.col("_part"))]
+        ranked = ordered_position(df, group, order, blocks, "_rank").drop("_part")
     else:
         window = Window.partitionBy(*group).orderBy(*order)
         ranked = df.withColumn("_rank", F.row_number().over(window))
@@ -43,22 +58,15 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def ordered_position(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                     blocks: Sequence[tuple[str, Column]], name: str = "position",
-                     small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """1-based position of every row in its group.
-
-    A table of at most ``small_bytes`` (estimated) is numbered by a plain window, as even a group
-    that is the whole table fits one task. Any larger table goes through the blocks.
+                     blocks: Sequence[tuple[str, Column]], name: str = "position") -> DataFrame:
+    """1-based position of every row in its group; NULL groups and blocks are values like others.
 
-    ``blocks`` are non-null columns, coarse to fine, each non-decreasing along ``order`` among
+    ``blocks`` are columns, coarse to fine, each non-decreasing (NULL first) along ``order`` among
     rows equal in the coarser ones: e.g. day, then second, then id range. Windows run over the
     coarse blocks of a group, over the finer blocks of one coarse block, or over the rows of one
     finest block, never over the rows of a group. Rows are shuffled once, by group and block.
     """
     group = list(group)
-    if estimated_bytes(df) <= small_bytes:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     names = [f"_block_{i}" for i in range(len(blocks))]
     keyed = df.withColumns({name_: column for name_, (_, column) in zip(names, blocks)})
     sizes = keyed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_size"))
@@ -74,10 +82,10 @@ def ordered_position(df: DataFrame, group: Sequence[str], order: Sequence[Column
         inner = sizes.withColumn("_before", running(coarse, names[1:]))
         outer = (sizes.groupBy(*coarse).agg(F.sum("_size").alias("_size"))
                  .withColumn("_outer", running(group, names[:1])).drop("_size"))
-        offsets = inner.join(outer, coarse).withColumn("_before", F.col("_before") + F.col("_outer")).drop("_outer")
+        offsets = null_safe_join(inner, outer, coarse).withColumn("_before", F.col("_before") + F.col("_outer")).drop("_outer")
     keys = group + names
     window = Window.partitionBy(*keys).orderBy(*order)
-    return (keyed.join(offsets.drop("_size"), keys)
+    return (null_safe_join(keyed, offsets.drop("_size"), keys)
             .withColumn(name, F.row_number().over(window) + F.col("_before"))
             .drop(*names, "_before"))
 
@@ -90,54 +98,34 @@ def time_blocks(stamp: str, seq: str, width: int = 1 << 20) -> list[tuple[str, C
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median",
-                 bins: int = 4096, levels: int | None = None, groups_at_most: int | None = None) -> DataFrame:
+                 accuracy: int = 20_000, groups_at_most: int | None = None) -> DataFrame:
     """Exact median of ``value`` per (non-null) group without gathering a group.
 
-    ``groups_at_most`` is the caller's proof that there are few groups: the wanted ranges (two
-    rows a group) are then broadcast, and the values are never shuffled. Otherwise Spark decides
-    by size.
+    A quantile sketch gives two values between which the median must lie, as its ranks are at most
+    1/``accuracy`` of the rows off. Values below are only counted; those inside, a few
+    ten-thousandths of the rows whatever their distribution, are counted per value and sorted.
 
-    ``levels`` follows the estimated input size unless given: small inputs need no narrowing.
-    Each level cuts the current value range of a group into equal-width bins and keeps the bin
-    that holds the wanted rank; the bin's own smallest and largest value are the next range.
+    ``groups_at_most`` is the caller's proof that there are few groups: the brackets (a row a
+    group) are then broadcast, and the values are never shuffled. Otherwise Spark decides by size.
     """
-    group = list(group)
-    if levels is None:
-        levels = sum(estimated_bytes(df.select(*group, value)) > limit for limit in NARROWING_BYTES)
-    # Without a group all rows share one constant key, joined against two rows.
+    # Without a group all rows share one constant key, joined against one row.
     keyed = df.withColumn("_all", F.lit(1))
-    small = F.broadcast if not group or (groups_at_most or BROADCAST_GROUPS + 1) <= BROADCAST_GROUPS else (lambda t: t)
+    small = F.broadcast if not group or groups_at_most else (lambda t: t)
     keys = [*group, "_all"]
     rows = keyed.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
-    targets = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        .withColumn("_below", F.lit(0).cast("bigint"))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(
-            F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))))
-        .drop("_n")
-    )
-
-    def wanted(counted: DataFrame, unit: str) -> DataFrame:
-        window = (Window.partitionBy(*keys, "_rank").orderBy(unit)
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        return (counted
-                .withColumn("_below", F.col("_below") + F.coalesce(F.sum("_in").over(window), F.lit(0)))
-                .filter((F.col("_rank") >= F.col("_below"))
-                        & (F.col("_rank") < F.col("_below") + F.col("_in"))))
-
-    for _ in range(levels):
-        width = F.col("_hi") - F.col("_lo")
-        bin_no = F.when(width <= 0, 0).otherwise(
-            F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width * bins)))
-        counted = (
-            rows.join(small(targets), keys).filter("_x >= _lo AND _x <= _hi")
-            .withColumn("_bin", bin_no)
-            .groupBy(*keys, "_rank", "_below", "_bin")
-            .agg(F.count(F.lit(1)).alias("_in"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        )
-        targets = wanted(counted, "_bin").select(*keys, "_rank", "_lo", "_hi", "_below")
-    counted = (rows.join(small(targets), keys).filter("_x >= _lo AND _x <= _hi")
-               .groupBy(*keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_in")))
-    picked = wanted(counted, "_x")
-    return picked.groupBy(*keys).agg(F.avg("_x").alias(name)).drop("_all")
+    margin = 2.0 / accuracy
+    brackets = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_x", [0.5 - margin, 0.5 + margin], accuracy).alias("_range"))
+    # Values below the bracket count as one value each group.
+    low, high = F.col("_range")[0], F.col("_range")[1]
+    shown = F.when(F.col("_x") >= low, F.col("_x"))
+    counted = (rows.join(small(brackets), keys).filter(F.col("_x") <= high)
+               .groupBy(*keys, "_n", shown.alias("_v")).agg(F.count(F.lit(1)).alias("_in")))
+    along = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_upto", F.sum("_in").over(along))
+    ranks = [F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)]
+    hits = [(F.col("_upto") > r) & (F.col("_upto") - F.col("_in") <= r) for r in ranks]
+    weight = hits[0].cast("int") + hits[1].cast("int")
+    return (placed.filter(hits[0] | hits[1]).groupBy(*keys)
+            .agg((F.sum(F.col("_v") / 2 * weight)).alias(name)).drop("_all"))

@@ -86,3 +86,33 @@ def numeric_field(df: DataFrame, path: str, doc: str = "doc") -> Column:
     kind = F.schema_of_variant(F.try_variant_get(F.col(doc), at, "variant"))
     is_number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
     return F.when(is_number, F.try_variant_get(F.col(doc), at, "double"))
+
+
+def text_field(df: DataFrame, path: str, doc: str = "doc") -> Column:
+    """Like :func:`field` as text, but NULL unless the stored value is itself text."""
+    segments = path_segments(path)
+    if segments[0] in df.columns:
+        column, kind = F.col(segments[0]), df.schema[segments[0]].dataType
+        for position, segment in enumerate(segments[1:], start=1):
+            if isinstance(kind, T.StructType) and segment in kind.fieldNames():
+                column, kind = column[segment], kind[segment].dataType
+            elif isinstance(kind, T.MapType):
+                column, kind = F.try_element_at(column, F.lit(segment)), kind.valueType
+            elif isinstance(kind, T.VariantType):
+                return _variant_text(column, segments[position:])
+            else:
+                return F.lit(None).cast("string")
+        if isinstance(kind, T.VariantType):
+            return _variant_text(column, [])
+        return column if isinstance(kind, T.StringType) else F.lit(None).cast("string")
+    if doc not in df.columns:
+        return F.lit(None).cast("string")
+    if isinstance(df.schema[doc].dataType, T.StringType):
+        return _variant_text(F.try_parse_json(F.col(doc)), segments)
+    return _variant_text(F.col(doc), segments)
+
+
+def _variant_text(column: Column, segments: list[str]) -> Column:
+    at = ".".join(["$", *segments])
+    value = F.try_variant_get(column, at, "string")
+    return F.when(F.schema_of_variant(F.try_variant_get(column, at, "variant")) == "STRING", value)

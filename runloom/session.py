@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,12 +28,8 @@ def build_session(app: str = "runloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a local-mode session may go
-    without it: there a temporary folder of this machine is visible to every task.
+    The folder is the one named by ``spark.checkpoint.dir``, else one below the session's warehouse, which all tasks reach
+    as well. No folder of a single machine is ever chosen here.
     """
-    root = spark.conf.get(CHECKPOINT_DIR_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR_KEY} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="runloom-")
+    root = spark.conf.get(CHECKPOINT_DIR_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{root.rstrip('/')}/runloom/{label}-{uuid.uuid4().hex}"

@@ -40,15 +40,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def write_grid(points: DataFrame, path: str, existing: DataFrame | None = None, exp_id: str = "exp_id",
                overwrite: bool = False) -> None:
-    """Expanded configurations as JSON lines, without those that exist unless ``overwrite``."""
-    rows = points
-    if existing is not None and not overwrite:
-        rows = points.join(existing.select(exp_id), exp_id, "left_anti")
-    rows.write.mode("append").json(path)
+    """Expanded configurations as JSON lines.
+
+    Those that exist are left out and the others appended. With ``overwrite`` a new version of the whole grid is written to
+    ``path``, a folder that must not exist yet: all points, and the existing ones that are no points.
+    """
+    if existing is None:
+        points.write.mode("append").json(path)
+    elif overwrite:
+        kept = existing.join(points.select(exp_id), exp_id, "left_anti")
+        points.unionByName(kept, allowMissingColumns=True).write.mode("error").json(path)
+    else:
+        points.join(existing.select(exp_id), exp_id, "left_anti").write.mode("append").json(path)
 
 
 def write_document_table(df: DataFrame, path: str, day: str = "created_at") -> None:
-    """Documents partitioned by creation month, so date filters prune folders."""
-    (df.withColumn("created_month", F.date_format(day, "yyyy-MM"))
-     .repartition("created_month", F.pmod(F.xxhash64(F.col("key")), F.lit(32)))
+    """Documents partitioned by creation month, so date filters prune folders; large months are split by size."""
+    (df.withColumn("created_month", F.date_format(day, "yyyy-MM")).hint("rebalance", "created_month")
      .write.mode("append").partitionBy("created_month").parquet(path))

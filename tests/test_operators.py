@@ -88,7 +88,7 @@ def test_attempts(spark):
     df = spark.createDataFrame([("E", "r1", 0.7, "20260101_120000", 1, "g"), ("E", "r2", 0.85, "20260102_120000", 0, "g"), ("E", "r0", None, None, 5, "g"),
                                 ("E", "r3", 0.85, "20260103_120000", 9, "g"), ("E", "zz", 1.0, "x", 9, None)],
                                "exp_id string, run_id string, avg_score double, attempt_timestamp string, seq int, attempt_group_id string")
-    orders = {r["run_id"]: r["attempt_order"] for r in (attempts.assign_orders(df).collect() + attempts.assign_orders(df, small_bytes=0).collect())}
+    orders = {r["run_id"]: r["attempt_order"] for r in attempts.assign_orders(df).collect()}
     assert orders == {"r0": 1, "r1": 2, "r2": 3, "r3": 4}
     s = attempts.build_summaries(df).first()
     assert (s["attempts_count"], s["best_attempt_id"], s["latest_attempt_id"]) == (4, "r2", "r3")
@@ -201,6 +201,12 @@ def test_rename(spark):
             consistency.bulk_rename(state, spark.createDataFrame([(old, new)], "old_id string, new_id string"), text_fields=["train_script_path"])
     dirs = spark.createDataFrame([(n,) for n in ["A3_x", "A3-b", "A3.y", "run_A3", "XA3"]], "dir_name string")
     assert rows(consistency.rename_dirs(dirs, good), "new_name") == [("Z-b",), ("Z_x",), ("run_Z",)]
+    paths = spark.createDataFrame([("A1", "runs/A10/A1_train.sh A1-b xA1 A1")], "exp_id string, train_script_path string")
+    moved = consistency.apply_renames(paths, spark.createDataFrame([("A1", "B$7")], "old_id string, new_id string"), text_fields=["train_script_path"])
+    assert moved.first()["train_script_path"] == "runs/A10/B$7_train.sh A1-b xA1 B$7"
+    both = consistency.rename_dirs(spark.createDataFrame([("A3_x_y",)], "dir_name string"), spark.createDataFrame(
+        [("A3", "Z"), ("A3_x", "W")], "old_id string, new_id string"))
+    assert rows(both, "old_id", "new_name") == [("A3_x", "W_y")]
 
 
 def test_registration_and_artifacts(spark):
@@ -300,6 +306,10 @@ def test_registry_prerequisites(spark):
     reg = spark.createDataFrame([("a", "d/x.pth"), ("b", "d/*.pth"), ("c", "e/?.ckpt"), ("d", "d/zz.pth"), ("e", "d/x_%.pth*")], "value string, path string")
     files = spark.createDataFrame([("d/x.pth",), ("e/12.ckpt",)], "path string")
     assert rows(grids.missing_prerequisites(reg, files), "value") == [("c",), ("d",), ("e",)]
+    deep = spark.createDataFrame([("a", "ck/*/best.pth"), ("b", "ck/**/best.pth"), ("c", "*/b/best.pth"), ("d", "ck/?/bes[t].pth"), ("e", "**/x.bin"),
+                                  ("f", "ck/*.pth")], "value string, path string")
+    there = spark.createDataFrame([("ck/a/best.pth",), ("ck/a/b/best.pth",), ("x.bin",)], "path string")
+    assert rows(grids.missing_prerequisites(deep, there), "value") == [("c",), ("d",), ("f",)]
 
 
 def test_spreadsheet_columns(spark):

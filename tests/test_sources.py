@@ -107,8 +107,10 @@ def test_exports(spark, tmp_path):
         exports.write_table(df, str(tmp_path / "x"), "xml")
     exports.write_grid(df, str(tmp_path / "g"), df)
     assert spark.read.schema("exp_id string").json(str(tmp_path / "g")).count() == 0
-    exports.write_grid(df, str(tmp_path / "g"), df, overwrite=True)
-    assert spark.read.schema("exp_id string").json(str(tmp_path / "g")).count() == 1
+    more = df.unionByName(df.withColumn("exp_id", F.lit("other")))
+    exports.write_grid(df.withColumn("status", F.lit("new")), str(tmp_path / "v2"), more, overwrite=True)
+    grid = spark.read.schema("exp_id string, status string").json(str(tmp_path / "v2"))
+    assert sorted(map(tuple, grid.collect())) == [("e", "new"), ("other", "done")]
 
 
 def test_shared_folder_is_the_configured_one(spark):

@@ -31,10 +31,10 @@ def log_parse(spark, sf):
     return L.parsed(eval_logs(spark, sf))
 
 
-@query("""SELECT doc_id AS key, CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '')[1:9] AS DOUBLE) AS score,
-  CASE WHEN contains(text, 'the ') THEN 'FAILED' WHEN CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '')[1:9] AS DOUBLE) > 0 THEN 'SUCCESS' ELSE 'UNKNOWN' END AS status FROM documents""")
+@query("""SELECT doc_id AS key, CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE) AS score,
+  CASE WHEN contains(text, 'the ') THEN 'FAILED' WHEN CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE) > 0 THEN 'SUCCESS' ELSE 'UNKNOWN' END AS status FROM documents""")
 def log_parse_custom(spark, sf):
-    patterns = LogPatterns(scores=["([0-9]{1,9})"], scenarios=[r"scenes (\d+)"], success="^$", failure="the ")
+    patterns = LogPatterns(scores=["([0-9]+)"], scenarios=[r"scenes (\d+)"], success="^$", failure="the ")
     logs = table(spark, sf, "documents").select(c("doc_id").alias("key"), c("text").alias("value"))
     return L.parsed(logs, patterns=patterns).select("key", "score", "status")
 

@@ -112,7 +112,7 @@ def attempt_order(spark, sf):
 @query(f"""SELECT run_id, CAST(row_number() OVER (PARTITION BY exp_id ORDER BY t, seq) AS BIGINT) AS attempt_order FROM ({ATTEMPTS})""")
 def attempt_order_blocks(spark, sf):
     """The same numbering per experiment, through the blocks that large tables need."""
-    grouped = A.assign_orders(attempts(spark, sf), group="exp_id", block=4096, small_bytes=0)
+    grouped = A.assign_orders(attempts(spark, sf), group="exp_id", block=4096)
     return grouped.select("run_id", c("attempt_order").cast("bigint"))
 
 

@@ -1,7 +1,8 @@
 """Fuzzy line deduplication by MinHash, in column functions alone.
 
-A line is compared in lower case without blanks at its ends. Its shingles are all runs of ``SHINGLE`` bytes of its UTF-8
-form (a shorter line is one shingle). Equal lines are one class from the start: distinct lines are found by a 64-bit hash,
+A line is compared in lower case without blanks at its ends. Its shingles are the runs of ``SHINGLE`` characters that begin
+at its words; a word longer than that begins another piece after every ``SHINGLE`` characters, so the shingles cover the
+whole line, and the last ones end with it. Equal lines are one class from the start: distinct lines are found by a 64-bit hash,
 pre-aggregated per task, so a line that a third of all documents hold is a row per task. Each class has ``BANDS * ROWS``
 minima over permuted shingle hashes; classes that share a band are candidates, and a pair counts as linked only if
 100 * intersection >= PERCENT * union of the whole shingle sets. A pair at the limit is missed with probability
@@ -39,11 +40,9 @@ def lines(docs: DataFrame) -> DataFrame:
             .withColumn("node", F.xxhash64("norm")))
 
 
-def shingle_hashes(norm: Column) -> Column:
-    """All distinct shingle hashes of a line, as an array."""
-    body = norm.cast("binary")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(norm) - (SHINGLE - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(body, i, F.lit(SHINGLE)))))
+def shingles(norm: Column) -> Column:
+    """The line's shingles, repeats included: one match per piece, the shingle being what lies ahead of its start."""
+    return F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,{SHINGLE}}}\s*"), F.lit(1))
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
@@ -51,9 +50,7 @@ def signatures(distinct: DataFrame) -> DataFrame:
     # One strong hash per shingle; flipping fixed random bits of it orders the shingles anew for every coordinate.
     flips = [hash_constant(k) for k in range(BANDS * ROWS)]
     h = F.col("h")
-    rows = distinct.select("node", F.col("norm").cast("binary").alias("body"), F.explode(F.sequence(
-        F.lit(1), F.greatest(F.lit(1), F.octet_length("norm") - (SHINGLE - 1)))).alias("i")).select(
-        "node", F.xxhash64(F.substring(F.col("body"), F.col("i"), F.lit(SHINGLE))).alias("h"))
+    rows = distinct.select("node", F.explode(shingles(F.col("norm"))).alias("s")).select("node", F.xxhash64("s").alias("h"))
     minima = rows.groupBy("node").agg(*[F.min(h.bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(flips)])
     return minima.select("node", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
@@ -111,7 +108,8 @@ def linked_lines(docs: DataFrame) -> DataFrame | None:
             F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         found = (pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("left")), "a")
                  .join(texts.select(F.col("node").alias("b"), F.col("norm").alias("right")), "b")
-                 .filter(similar(shingle_hashes(F.col("left")), shingle_hashes(F.col("right")))).select("a", "b"))
+                 .select("a", "b", F.array_distinct(shingles(F.col("left"))).alias("left"), F.array_distinct(shingles(F.col("right"))).alias("right"))
+                 .filter(similar(F.col("left"), F.col("right"))).select("a", "b"))
         links = written(found if links is None else links.unionByName(found), "line-links", spark)
         labels = components(links)
         rows = written(open_rows(rows, labels), "line-open", spark)
@@ -134,11 +132,13 @@ def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = rows.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("mine"))
     spread = (dealt.select("key", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
               .join(texts, "node")
-              .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.struct(
-                  "node", "component", "mine", shingle_hashes(F.col("norm")).alias("hashes")).alias("member")))
-    groups = spread.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
+              .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"),
+                      F.struct("node", "component", "norm").alias("member")))
+    groups = spread.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members")).select(F.transform(
+        "members", lambda m: F.struct(m["node"].alias("node"), m["component"].alias("component"),
+                                      F.array_distinct(shingles(m["norm"])).alias("shingles"))).alias("members"))
     pairs = F.flatten(F.transform("members", lambda x: F.transform(
-        F.filter("members", lambda y: (x["node"] < y["node"]) & (x["component"] != y["component"]) & similar(x["hashes"], y["hashes"])),
+        F.filter("members", lambda y: (x["node"] < y["node"]) & (x["component"] != y["component"]) & similar(x["shingles"], y["shingles"])),
         lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     return groups.select(F.inline(pairs)).distinct()
 

@@ -126,28 +126,27 @@ def read_eval_rows_mixed(spark: SparkSession, path: str, columns: Sequence[str],
                          newest_only: bool = True, partition_key: str | None = None, glob: str = "*.csv") -> DataFrame:
     """The same for CSVs whose headers differ: columns are matched by name per file, absent ones NULL.
 
-    Each CSV is parsed inside its task; use :func:`read_eval_rows` where one header fits all.
+    A file is one row until its lines are exploded, as its header has to meet each of them; use :func:`read_eval_rows`
+    where one header fits all. Quoted values may hold commas, not line breaks.
     """
-    import io
-
-    schema = ", ".join(["path string", f"`{token}` string", *[f"`{c}` double" for c in columns]])
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", glob).load(path).select(file_path().alias("path"), "content")
+    files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
+             .select(file_path().alias("path"), F.split("value", "\r?\n").alias("_lines")))
     if newest_only:
         files = files.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for where, body in zip(batch["path"], batch["content"]):
-                rows = pd.read_csv(io.BytesIO(body), dtype={token: "string"})
-                rows = rows.reindex(columns=[token, *columns])
-                for c in columns:
-                    rows[c] = pd.to_numeric(rows[c], errors="coerce")
-                rows.insert(0, "path", where)
-                yield rows
-
-    return (files.select("path", "content").mapInPandas(parse, schema)
-            .withColumn("dir_name", dir_of(F.col("path"), partition_key)).drop("path"))
+    def cells(line: Column) -> Column:
+        return F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1),
+                           lambda x: F.replace(F.regexp_replace(x, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+
+    rows = (files.select("path", cells(F.get("_lines", F.lit(0))).alias("_names"), F.explode(F.slice("_lines", 2, 1 << 30)).alias("_line"))
+            .filter("_line <> ''").select("path", "_names", cells(F.col("_line")).alias("_cells")))
+
+    def named(name: str) -> Column:
+        at = F.array_position("_names", F.lit(name))
+        return F.when(at > 0, F.nullif(F.try_element_at("_cells", F.nullif(at, F.lit(0)).cast("int")), F.lit("")))
+
+    return rows.select(dir_of(F.col("path"), partition_key).alias("dir_name"), named(token).alias(token),
+                       *[named(c).try_cast("double").alias(c) for c in columns])
 
 
 def read_json_results(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = True,

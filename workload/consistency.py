@@ -125,6 +125,16 @@ def rename_check(spark, sf):
     return K.rename_errors(renames(spark, sf), named_state(spark, sf))
 
 
+@query("""SELECT 'N' || c_custkey AS exp_id, 'runs/C' || c_custkey || '0/N' || c_custkey || '_train.sh C' || c_custkey || '-b' AS train FROM customer WHERE c_acctbal > 0""")
+def rename_delimited(spark, sf):
+    """An id inside a longer id, or before a dash, is another experiment's and stays."""
+    name = text("C", c("c_custkey"))
+    state = table(spark, sf, "customer").filter("c_acctbal > 0").select(
+        name.alias("exp_id"), text("runs/", name, "0/", name, "_train.sh ", name, "-b").alias("train"))
+    plain = renames(spark, sf).withColumn("new_id", F.concat(F.lit("N"), F.substring(c("old_id"), F.lit(2), F.length("old_id"))))
+    return K.apply_renames(state, plain, text_fields=["train"])
+
+
 @query("""SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'run_N' || o_custkey || '_x' WHEN 'O' THEN 'N' || o_custkey || '-v2' END AS new_name
   FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE o_orderstatus <> 'P'""")
 def rename_dirs(spark, sf):

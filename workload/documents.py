@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runloom.operators import documents as D
+from runloom.plans.filters import condition
+from runloom.plans.ordering import exact_median
 from runloom.plans.paths import field
 from workload.base import c, query, rounded, table, text
 
@@ -208,3 +210,33 @@ def group_stats(spark, sf):
         c("l_returnflag").alias("flag"), c("l_linestatus").alias("status"), "l_discount")
     stats = D.group_statistics(rows, ["flag", "status"], "l_discount")
     return stats.select("flag", "status", *rounded(6, "mean", "std"), "count")
+
+
+@query("""SELECT s AS priority, min('K' || o_orderkey) AS key, t AS total FROM (SELECT o_orderpriority AS s, o_orderkey, floor(o_totalprice / 10000) AS t,
+  max(floor(o_totalprice / 10000)) OVER (PARTITION BY o_orderpriority) AS m FROM orders) WHERE t = m GROUP BY 1, 3""")
+def best_row_text(spark, sf):
+    """Ties on the score go to the smaller text key."""
+    rows = table(spark, sf, "orders").select(c("o_orderpriority").alias("priority"), text("K", c("o_orderkey")).alias("key"),
+                                             F.floor(c("o_totalprice") / 10000).cast("double").alias("total"))
+    return D.best_row_per(rows, ["priority"], "total", "key")
+
+
+@query("""SELECT event_id AS key, contains(event_type, 'c') AS by_type, FALSE AS by_value, FALSE AS by_k FROM events""")
+def text_conditions(spark, sf):
+    """Substring and == conditions meet text fields only, never numbers."""
+    docs = events_as_documents(spark, sf)
+
+    def hit(path, wanted):
+        return F.coalesce(condition(docs, path, wanted), F.lit(False))
+
+    return docs.select("key", hit("event_type", "C").alias("by_type"), hit("value", "1").alias("by_value"), hit("k", "==5").alias("by_k"))
+
+
+@query("""SELECT l_returnflag AS flag, median(CASE WHEN l_orderkey % 7 = 0 THEN l_extendedprice * 1e200 WHEN l_orderkey % 7 = 1 THEN -l_extendedprice * 1e150
+  ELSE l_extendedprice END) AS median FROM lineitem GROUP BY 1""")
+def median_heavy_tail(spark, sf):
+    """Exact medians of a metric with outliers 200 orders of magnitude away on both sides."""
+    price, kind = c("l_extendedprice"), c("l_orderkey") % 7
+    rows = table(spark, sf, "lineitem").select(c("l_returnflag").alias("flag"), F.when(kind == 0, price * 1e200).when(
+        kind == 1, -price * 1e150).otherwise(price).alias("v"))
+    return exact_median(rows, ["flag"], "v")

@@ -44,27 +44,34 @@ def read_yaml(spark, sf):
 DIR = "'E' || l_linenumber || '_eval_navtest_' || lower(l_returnflag) || '_20260101_000000'"
 
 
-def eval_files(spark, sf, columns):
-    """Line items as evaluation CSVs, one directory per line number and scope, files of bounded size."""
+def eval_files(spark, sf, *versions):
+    """Line items as evaluation CSVs, one directory per line number and scope: a CSV for each version's columns and rows."""
     path = shared_dir(spark, "evaluations")
     name = text("E", c("l_linenumber"), "_eval_navtest_", F.lower("l_returnflag"), "_20260101_000000")
-    rows = table(spark, sf, "lineitem").select(name.alias("eval_dir"), text(c("l_orderkey")).alias("token"), *columns)
-    rows.write.partitionBy("eval_dir").option("header", "true").option("maxRecordsPerFile", 100_000).csv(path)
+    for columns, rows in versions:
+        chosen = table(spark, sf, "lineitem").filter(rows).select(name.alias("eval_dir"), text(c("l_orderkey")).alias("token"), *columns)
+        chosen.repartition("eval_dir").write.mode("append").partitionBy("eval_dir").option("header", "true").csv(path)
     return path
 
 
 @query(f"""SELECT {DIR} AS dir_name, CAST(count(*) AS BIGINT) AS scenarios, round(avg(l_discount), 6) AS score, max(l_tax) AS nc FROM lineitem GROUP BY 1""")
 def read_csv_dirs(spark, sf):
-    path = eval_files(spark, sf, [c("l_discount").alias("score"), c("l_tax").alias("nc")])
-    rows = S.read_eval_rows(spark, path, "token string, score double, nc double", newest_only=False, partition_key="eval_dir")
+    # The run of each directory was repeated; the first CSV holds other values.
+    old, new = [(c("l_discount") + 1).alias("score"), c("l_quantity").alias("nc")], [c("l_discount").alias("score"), c("l_tax").alias("nc")]
+    path = eval_files(spark, sf, (old, "true"), (new, "true"))
+    rows = S.read_eval_rows(spark, path, "token string, score double, nc double", partition_key="eval_dir")
     return rows.groupBy("dir_name").agg(F.count(F.lit(1)).alias("scenarios"), F.round(F.avg("score"), 6).alias("score"), F.max("nc").alias("nc"))
 
 
-@query(f"""SELECT {DIR} AS dir_name, CAST(count(*) AS BIGINT) AS scenarios, round(avg(l_discount), 6) AS score, CAST(NULL AS DOUBLE) AS absent FROM lineitem GROUP BY 1""")
+@query(f"""SELECT {DIR} AS dir_name, CAST(count(*) AS BIGINT) AS scenarios, round(avg(l_discount), 6) AS score, max(l_tax) FILTER (l_linenumber > 3) AS nc,
+  CAST(NULL AS DOUBLE) AS absent FROM lineitem GROUP BY 1""")
 def read_csv_mixed(spark, sf):
-    path = eval_files(spark, sf, [c("l_tax").alias("nc"), c("l_discount").alias("score")])
-    rows = S.read_eval_rows_mixed(spark, path, ["score", "absent"], newest_only=False, partition_key="eval_dir")
-    return rows.groupBy("dir_name").agg(F.count(F.lit(1)).alias("scenarios"), F.round(F.avg("score"), 6).alias("score"), F.max("absent").alias("absent"))
+    # Older files with other columns everywhere; the newest ones have no nc up to line number 3 and another column order.
+    score, nc = c("l_discount").alias("score"), c("l_tax").alias("nc")
+    path = eval_files(spark, sf, ([c("l_quantity").alias("absent")], "true"), ([nc, score], "l_linenumber > 3"), ([score], "l_linenumber <= 3"))
+    rows = S.read_eval_rows_mixed(spark, path, ["score", "nc", "absent"], partition_key="eval_dir")
+    return rows.groupBy("dir_name").agg(F.count(F.lit(1)).alias("scenarios"), F.round(F.avg("score"), 6).alias("score"), F.max("nc").alias("nc"),
+                                        F.max("absent").alias("absent"))
 
 
 @query("SELECT c_custkey AS exp_id, c_name AS name, c_acctbal AS accuracy, c_nationkey AS epochs FROM customer")
@@ -217,11 +224,17 @@ def grid_files(spark, sf):
     return spark.read.schema("exp_id string, seed int").json(path)
 
 
-@query("SELECT l_partkey AS exp_id, l_orderkey AS pos, l_tax AS val_loss FROM lineitem UNION ALL SELECT p_partkey, -1, p_retailprice FROM part")
+@query("""SELECT l_partkey AS exp_id, l_orderkey AS pos, 'ck/' || l_linenumber || '.pth' AS path, strftime(l_shipdate, '%Y-%m-%d') AS registered_at,
+  l_linenumber AS epoch, l_tax AS val_loss FROM lineitem UNION ALL SELECT p_partkey, -1, p_name, NULL, p_size, p_retailprice FROM part""")
 def register_ckpt(spark, sf):
     path = shared_dir(spark, "registry")
-    L.register_checkpoints(table(spark, sf, "lineitem").select(c("l_partkey").alias("exp_id"), c("l_orderkey").alias("pos"), c("l_tax").alias("val_loss")), path)
-    L.register_checkpoints(table(spark, sf, "part").select(c("p_partkey").alias("exp_id"), F.lit(-1).cast("bigint").alias("pos"), c("p_retailprice").alias("val_loss")), path)
+    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    L.register_checkpoints(lines.select(
+        c("l_partkey").alias("exp_id"), c("l_orderkey").alias("pos"), text("ck/", c("l_linenumber"), ".pth").alias("path"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("registered_at"), c("l_linenumber").cast("int").alias("epoch"), c("l_tax").alias("val_loss")), path)
+    L.register_checkpoints(parts.select(
+        c("p_partkey").alias("exp_id"), F.lit(-1).cast("bigint").alias("pos"), c("p_name").alias("path"), F.lit(None).cast("string").alias("registered_at"),
+        c("p_size").cast("int").alias("epoch"), c("p_retailprice").alias("val_loss")), path)
     return spark.read.parquet(path)
 
 

@@ -98,6 +98,17 @@ def grid_prerequisites(spark, sf):
     return G.missing_prerequisites(registry, files).select("value")
 
 
+@query("""SELECT p_partkey AS value FROM part WHERE CASE p_partkey % 3 WHEN 0 THEN p_size NOT IN (SELECT p_size + 3 FROM part)
+  WHEN 1 THEN p_size <> 7 ELSE TRUE END""")
+def grid_wildcards(spark, sf):
+    """Wildcards in folder parts: ``ck/*/n``, ``**/n`` (only 7 lies at depth three) and a folder that is not there."""
+    part = table(spark, sf, "part")
+    path = F.when(c("p_partkey") % 3 == 0, text("ck/*/", c("p_size"))).when(c("p_partkey") % 3 == 1, text("deep/**/", c("p_size"))).otherwise(
+        text("c?/none/*", c("p_size")))
+    files = part.select(text("ck/", c("p_type"), "/", c("p_size") + 3).alias("path")).union(part.select(text("deep/a/", c("p_type"), "/7"))).distinct()
+    return G.missing_prerequisites(part.select(c("p_partkey").alias("value"), path.alias("path")), files).select("value")
+
+
 LOO = """(SELECT r_name, 'all' AS split FROM b UNION ALL SELECT r_name, r_name FROM b UNION ALL SELECT r_name, 'loo_' || s FROM b
   CROSS JOIN (VALUES ('AFRICA'), ('AMERICA'), ('ASIA')) v(s) WHERE r_name <> s)"""
 REGIONAL = "WITH b AS (SELECT r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"

@@ -23,6 +23,14 @@ def keep_n(spark, sf):
     return P.keep_newest(rows, ["o_custkey"], [c("o_orderdate").desc(), c("key")], "key", 3).select("key", "action")
 
 
+@query("""SELECT o_orderkey AS key, CASE WHEN row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) <= 1500
+  THEN 'keep' ELSE 'prune' END AS action FROM orders""")
+def keep_n_large(spark, sf):
+    """More rows per group than Spark cuts per task: numbered over range partitions."""
+    rows = table(spark, sf, "orders").select(c("o_orderkey").alias("key"), "o_orderpriority", "o_orderdate")
+    return P.keep_newest(rows, ["o_orderpriority"], [c("o_orderdate").desc(), c("key")], "key", 1500).select("key", "action")
+
+
 NAME = """CASE WHEN o_orderpriority = '5-LOW' THEN 'C' || o_custkey || '-' || o_orderkey
   ELSE 'C' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d') || '_000000' END"""
 BASE = "CASE WHEN o_orderpriority = '5-LOW' THEN 'C' || o_custkey || '-' || o_orderkey ELSE 'C' || o_custkey END"

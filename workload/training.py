@@ -73,12 +73,20 @@ def train_eval_outer(spark, sf):
     return merged.select("exp_id", "train_loss_last", "epochs", F.round("score", 6).alias("score"), "eval_nc")
 
 
-@query(f"""SELECT t.exp_id, train_loss_last, epochs FROM ({_training_sql()}) t""")
+@query(f"""WITH e AS (SELECT l_suppkey + 20 AS exp_id, max(l_tax) AS eval_nc FROM lineitem GROUP BY 1),
+  m AS (SELECT coalesce(t.exp_id, e.exp_id) AS exp_id, train_loss_last, epochs, eval_nc FROM ({_training_sql()}) t FULL JOIN e ON t.exp_id = e.exp_id)
+  SELECT *, 'csv' AS form FROM m UNION ALL SELECT *, 'json' FROM m""")
 def training_export(spark, sf):
-    path = shared_dir(spark, "training")
-    write_table(T.training_summary(T.scalar_summary(scalars(spark, sf))), path)
-    rows = spark.read.option("header", "true").csv(path)
-    return rows.select(c("exp_id").cast("bigint"), c("train_loss_last").cast("double"), c("epochs").cast("bigint"))
+    """Training and evaluation columns together, written as CSV and as JSON lines and read back."""
+    evals = table(spark, sf, "lineitem").groupBy((c("l_suppkey") + 20).alias("exp_id")).agg(F.create_map(F.lit("nc"), F.max("l_tax")).alias("metrics"))
+    merged = T.merge_evaluations(T.training_summary(T.scalar_summary(scalars(spark, sf))), evals, metrics="metrics", metric_names=["nc"])
+    forms = []
+    for form in ("csv", "json"):
+        path = shared_dir(spark, "training")
+        write_table(merged, path, form)
+        rows = spark.read.schema(merged.schema).option("header", "true").format(form).load(path)
+        forms.append(rows.select("exp_id", "train_loss_last", "epochs", "eval_nc", F.lit(form).alias("form")))
+    return forms[0].unionByName(forms[1])
 
 
 @query("""SELECT user_id AS exp_id, max(CASE WHEN event_type = 'click' THEN value END) AS navtest_pdms,

@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 from runloom.llm.text import shipped, written
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is this run, an @ and this domain; the run is looked for backwards from each @, so long texts cost linear time.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: No match can begin inside a run of digits, as one from the run's first digit would hold it.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may be an identifier of unknown form: a run with an @ or a digit.
-CANDIDATE = re.compile(r"[\w.%+@/-]*[0-9@][\w.%+@/-]*")
+#: What may be an identifier of unknown form: a run of these with an @ or a digit; the match begins at the first such.
+FROM_DIGIT = re.compile(r"[0-9@][\w.%+@/-]*")
+IN_RUN = re.compile(r"[\w.%+@/-]")
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
 
 #: Share of the seeds' contexts that a pattern must hold.
@@ -53,13 +57,26 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that do not overlap: from each @, the domain behind it and the run in front of it."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        domain = DOMAIN.match(text, at + 1)
+        start = at
+        while domain and start > free and LOCAL.match(text, start - 1):
+            start -= 1
+        if start < at:
+            yield start, domain.end()
+            free = domain.end()
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start."""
     out: list[tuple[str, int, int]] = []
     if not text:
         return out
-    if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("email", a, b) for a, b in emails(text)]
     for m in IP.finditer(text):
         if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
             out.append(("ip", *m.span()))
@@ -91,8 +108,10 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[in
     """Identifier-like runs outside the base spans."""
     taken = sorted((a, b) for _, a, b in base)
     k = 0
-    for m in CANDIDATE.finditer(text):
+    for m in FROM_DIGIT.finditer(text):
         a, b = m.span()
+        while a and IN_RUN.match(text, a - 1):
+            a -= 1
         while b > a and text[b - 1] in ".-/%+":
             b -= 1
         while k < len(taken) and taken[k][1] <= a:

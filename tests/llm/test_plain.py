@@ -242,6 +242,18 @@ def test_base_spans():
     assert pii.base_spans(None) == [] and pii.base_spans("1" * 5000 + ".1.1.1") == []
 
 
+def test_base_spans_equal_the_plain_patterns():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("a1_.@- +9") for _ in range(rng.randrange(0, 40)))
+        got = pii.base_spans(text)
+        assert [s[1:] for s in got if s[0] == "email"] == [m.span() for m in email.finditer(text)]
+        assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for long in ("a" * 300_000 + "@", "1" * 300_000, "+1" + "(" * 300_000, "a-" * 200_000 + " 1"):
+        assert pii.base_spans(long) == [] and len(list(pii.candidates(long, []))) <= 1
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rng = random.Random(5)
     rows = [(i, f"words the of {i} here. Customer phone: +1 ({200 + i}) 555-{1000 + i} and the rest of it") for i in range(30)]

@@ -27,6 +27,8 @@ PERCENT = 80
 SHINGLE = 12
 BANDS, ROWS = 8, 2
 BLOCK = 64
+#: 64-bit words of a set's bitmap.
+MAPS = 8
 PROGRESS = 0.2
 LAST = (1 << 63) - 1
 
@@ -62,8 +64,21 @@ def hash_constant(k: int) -> int:
 
 
 def similar(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b)).cast("long")
-    return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
+    """100 * intersection >= PERCENT * union, with the union written as both sizes less the intersection."""
+    return (100 + PERCENT) * F.size(F.array_intersect(a, b)).cast("long") >= PERCENT * (F.size(a) + F.size(b))
+
+
+def bitmap(hashes: Column, k: int) -> Column:
+    """The k-th 64 bits of a set's bitmap: one bit for each hash."""
+    mine = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(MAPS - 1)) == k)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
+
+
+def may_be_similar(x: Column, y: Column) -> Column:
+    """False only for sets that cannot reach the limit: every bit in which their bitmaps differ is an element of one only."""
+    apart = sum((F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(1, MAPS)), F.bit_count(x["b0"].bitwiseXOR(y["b0"])))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (x["n"] + y["n"])
 
 
 def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -126,21 +141,29 @@ def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """All links between different components of the open buckets, (a, b).
 
     A bucket's classes are dealt to blocks; a row holds two blocks and compares them inside array functions. The arrays
-    have at most about ``BLOCK`` members each, whatever the bucket's size.
+    have at most about ``BLOCK`` members each, whatever the bucket's size. Bitmaps rule most pairs out without loss.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("mine"))
     spread = (dealt.select("key", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
               .join(texts, "node")
               .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"),
-                      F.struct("node", "component", "norm").alias("member")))
-    groups = spread.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members")).select(F.transform(
-        "members", lambda m: F.struct(m["node"].alias("node"), m["component"].alias("component"),
-                                      F.array_distinct(shingles(m["norm"])).alias("shingles"))).alias("members"))
-    pairs = F.flatten(F.transform("members", lambda x: F.transform(
-        F.filter("members", lambda y: (x["node"] < y["node"]) & (x["component"] != y["component"]) & similar(x["shingles"], y["shingles"])),
-        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    return groups.select(F.inline(pairs)).distinct()
+                      F.struct("node", "component", "mine", "norm").alias("member")))
+    groups = spread.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
+    sets = groups.select("i", "j", F.transform("members", lambda m: F.struct(
+        m["node"].alias("node"), m["component"].alias("component"), m["mine"].alias("mine"),
+        F.array_distinct(F.transform(shingles(m["norm"]), lambda s: F.xxhash64(s))).alias("hashes"))).alias("members"))
+    ready = sets.select("i", "j", F.transform("members", lambda m: F.struct(
+        m["node"].alias("node"), m["component"].alias("component"), m["mine"].alias("mine"), m["hashes"].alias("hashes"),
+        F.size(m["hashes"]).alias("n"), *[bitmap(m["hashes"], k).alias(f"b{k}") for k in range(MAPS)])).alias("members"))
+    def of(side: str) -> Column:
+        return F.filter("members", lambda m: m["mine"] == F.col(side)).alias(f"of_{side}")
+
+    sides = ready.select((F.col("i") == F.col("j")).alias("same"), of("i"), of("j"))
+    pairs = F.flatten(F.transform("of_i", lambda x: F.transform(F.filter("of_j", lambda y: (
+        (x["component"] != y["component"]) & (~F.col("same") | (x["node"] < y["node"])) & may_be_similar(x, y)
+        & similar(x["hashes"], y["hashes"]))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return sides.select(F.inline(pairs)).distinct()
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -267,9 +267,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents, one per component (its smallest id), with all their columns; one row of repeated ones."""
+    """The documents of each component's smallest id, with all their columns; rows repeated under that id stay together."""
     spark = docs.sparkSession
     (gone,) = fresh(docs, "gone_id")
     dropped = written(classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "dropped", spark)
-    left = docs.join(small_side(dropped, dropped.count()), q("doc_id") == q(gone), "left_anti")
-    return left
+    return docs.join(small_side(dropped, dropped.count()), q("doc_id") == q(gone), "left_anti")

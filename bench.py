@@ -23,6 +23,7 @@ HEADLINE = [
     "latest_log", "tail_lines", "strict_id_join", "job_name_join", "state_config_merge", "consistency_report", "artifact_check",
     "repair", "keep_n", "prune_all", "ckpt_latest", "ckpt_registered", "ckpt_multi_source", "resume_numbers", "grid_status",
     "registry_lookup", "batch_preview", "alloc_score", "enrich_record", "doc_put_patch_delete", "telemetry_windows",
+    "attempt_order_blocks", "keep_n_large", "median_heavy_tail", "read_csv_dirs", "stream_runs", "stream_summaries",
 ]
 
 

@@ -26,10 +26,11 @@ from runloom.llm.text import fresh, q, small_side, written
 PERCENT = 80
 SHINGLE = 12
 BANDS, ROWS = 8, 2
-BLOCK = 64
+BLOCK = 256
 #: 64-bit words of a set's bitmap.
 MAPS = 8
-PROGRESS = 0.2
+#: Star rounds go on while they remove at least this share of the components in open buckets.
+PROGRESS = 0.1
 LAST = (1 << 63) - 1
 
 
@@ -96,6 +97,11 @@ def open_rows(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
         "key", "node", "component", "size", F.when(F.col("component") != F.col("low"), F.col("low")).otherwise(F.col("high")).alias("other"))
 
 
+def open_components(rows: DataFrame) -> int:
+    """Components in open buckets, counted once a bucket."""
+    return rows.select("key", "component").distinct().count()
+
+
 def linked_lines(docs: DataFrame) -> DataFrame | None:
     """(node, component) of the line classes that are linked with others; None if there is none."""
     spark = docs.sparkSession
@@ -114,8 +120,8 @@ def linked_lines(docs: DataFrame) -> DataFrame | None:
 
     links, labels = None, None
     rows = written(open_rows(buckets, labels), "line-open", spark)
-    n_rows, turn = rows.count(), 0
-    while n_rows:
+    n_open, turn = open_components(rows), 0
+    while n_open:
         rank = F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "key")
         turn += 1
         pairs = rows.groupBy("node").agg(F.min(F.struct(rank.alias("rank"), "other")).alias("best")).select(
@@ -128,17 +134,17 @@ def linked_lines(docs: DataFrame) -> DataFrame | None:
         links = written(found if links is None else links.unionByName(found), "line-links", spark)
         labels = components(links)
         rows = written(open_rows(rows, labels), "line-open", spark)
-        before, n_rows = n_rows, rows.count()
-        if before - n_rows < PROGRESS * before:
+        before, n_open = n_open, open_components(rows)
+        if before - n_open < PROGRESS * before:
             break
-    if n_rows:
+    if n_open:
         links = written(links.unionByName(block_links(rows, texts)).distinct(), "line-links", spark)
         labels = components(links)
     return labels
 
 
 def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links between different components of the open buckets, (a, b).
+    """Links between all linked components of the open buckets, (a, b); a component stands in them as its smallest node.
 
     A bucket's classes are dealt to blocks; a row holds two blocks and compares them inside array functions. The arrays
     have at most about ``BLOCK`` members each, whatever the bucket's size. Bitmaps rule most pairs out without loss.
@@ -162,8 +168,8 @@ def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     sides = ready.select((F.col("i") == F.col("j")).alias("same"), of("i"), of("j"))
     pairs = F.flatten(F.transform("of_i", lambda x: F.transform(F.filter("of_j", lambda y: (
         (x["component"] != y["component"]) & (~F.col("same") | (x["node"] < y["node"])) & may_be_similar(x, y)
-        & similar(x["hashes"], y["hashes"]))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    return sides.select(F.inline(pairs)).distinct()
+        & similar(x["hashes"], y["hashes"]))), lambda y: F.struct(F.greatest(x["component"], y["component"]).alias("a"), F.least(x["component"], y["component"]).alias("b")))))
+    return sides.select(F.inline(F.array_distinct(pairs))).distinct()
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -171,11 +177,13 @@ def removed(docs: DataFrame) -> DataFrame:
     own = lines(docs).select("doc", "text_key", "at", "node")
     labels = linked_lines(docs)
     own = own.withColumn("component", F.col("node")) if labels is None else with_components(own, labels)
-    per_doc = own.groupBy("component", "doc", "text_key").agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
-    first = per_doc.groupBy("component").agg(F.min(F.struct("doc", "text_key", "first_at")).alias("keep"), F.sum("n").alias("n"))
-    first = first.filter("n > 1").select("component", "keep.*").withColumnsRenamed({"doc": "keep_doc", "text_key": "keep_key"})
-    same = (F.col("doc") == F.col("keep_doc")) & (F.col("text_key") == F.col("keep_key")) & (F.col("at") == F.col("first_at"))
-    return own.join(first, "component").filter(~same).select("doc", "text_key", "at")
+    # Most lines are alone: the smallest id and the count need numbers only, and what follows sees repeated lines alone.
+    first = own.groupBy("component").agg(F.min("doc").alias("keep_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = written(own.join(first, "component"), "line-repeats", docs.sparkSession)
+    at_first = F.col("doc") == F.col("keep_doc")
+    kept = again.filter(at_first).groupBy("component").agg(F.min(F.struct("text_key", "at")).alias("keep"))
+    within = again.filter(at_first).join(kept, "component").filter(F.struct("text_key", "at") != F.col("keep"))
+    return again.filter(~at_first).select("doc", "text_key", "at").unionByName(within.select("doc", "text_key", "at"))
 
 
 def positions(docs: DataFrame) -> DataFrame:

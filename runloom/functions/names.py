@@ -184,26 +184,34 @@ def id_suffixes(name: Column) -> Column:
 def slug(text: Column, default: str = "experiment") -> Column:
     """A folder-safe name: accents folded, lower case, non-word runs as one ``_``.
 
-    Folding covers the accented Latin letters below; other non-ASCII characters are dropped.
+    Folding covers letters and digits of the basic plane that decompose into ASCII, also into several letters (ligatures);
+    other non-ASCII characters are dropped.
     """
-    ascii_text = F.regexp_replace(F.translate(text, *ACCENTS), r"[^\x00-\x7F]", "")
+    folded = F.translate(text, *ACCENTS)
+    for letter, letters in LIGATURES:
+        folded = F.replace(folded, F.lit(letter), F.lit(letters))
+    plain = F.octet_length(text) == F.char_length(text)
+    ascii_text = F.when(plain, text).otherwise(F.regexp_replace(folded, r"[^\x00-\x7F]", ""))
     body = F.regexp_replace(F.lower(ascii_text), r"\W+", "_")
     return F.coalesce(_blank_to_null(F.trim(body, F.lit("_"))), F.lit(default))
 
 
-def _accents() -> tuple[str, str]:
+def _folds() -> list[tuple[str, str]]:
+    """Every letter and digit of the basic plane whose compatibility decomposition leaves ASCII."""
     import unicodedata
 
-    pairs = []
-    for code in range(0xC0, 0x250):
-        folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode("ascii")
-        if len(folded) == 1:
-            pairs.append((chr(code), folded))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    folds = []
+    for code in [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]:
+        if unicodedata.category(chr(code))[0] in "LN":
+            folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode("ascii")
+            if folded.isalnum():
+                folds.append((chr(code), folded))
+    return folds
 
 
-# One-letter compatibility folds, derived from Unicode rather than listed.
-ACCENTS = _accents()
+# Compatibility folds to one letter and to several, derived from Unicode rather than listed.
+ACCENTS = tuple("".join(part) for part in zip(*[f for f in _folds() if len(f[1]) == 1]))
+LIGATURES = [f for f in _folds() if len(f[1]) > 1 and f[0].isalpha()]
 
 
 def substitute_vars(template: Column, known: Mapping[str, Column | str]) -> Column:

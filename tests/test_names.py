@@ -134,3 +134,8 @@ def test_job_name_join_equals_the_pairwise_rule(spark):
 def test_substitution(spark):
     got = one(spark, N.substitute_vars(F.lit("${a}/${b}/${c}"), {"a": "/x", "b": F.lit(3), "c": F.lit(None).cast("string")}))
     assert got == "/x/3/${c}"
+
+
+def test_slug_folds_letters_and_ligatures(spark):
+    df = spark.createDataFrame([("ﬁne ＡB ǆ",), ("Ünï - x",), ("日本",), ("plain Name",)], "t string")
+    assert [r[0] for r in df.select(N.slug(F.col("t"))).collect()] == ["fine_ab_dz", "uni_x", "experiment", "plain_name"]

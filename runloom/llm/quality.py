@@ -26,6 +26,8 @@ LABELLED, POOL = 4000, 6000
 SHAPE_BUCKETS, NAME_BUCKETS = 512, 64
 ROUNDS, PER_ROUND, SURE = 4, 150, 0.95
 CACHE_WORDS = 200_000
+#: Features of each view.
+WIDTHS = {"content": SHAPE_BUCKETS + 3, "meta": 2 * NAME_BUCKETS + 4}
 FEATURES = "struct<content:array<double>,meta:array<double>>"
 
 
@@ -42,7 +44,7 @@ class Shapes(dict):
 
 
 def content_view(text: str | None, shapes: Shapes) -> np.ndarray:
-    out = np.zeros(SHAPE_BUCKETS + 3)
+    out = np.zeros(WIDTHS["content"])
     words = text.split() if text else []
     if words:
         ids = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
@@ -54,7 +56,7 @@ def content_view(text: str | None, shapes: Shapes) -> np.ndarray:
 
 
 def meta_view(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(2 * NAME_BUCKETS + 4)
+    out = np.zeros(WIDTHS["meta"])
     for k, name in enumerate((source, lang)):
         if name is not None:
             out[k * NAME_BUCKETS + crc32(name.encode()) % NAME_BUCKETS] = 1
@@ -123,8 +125,8 @@ class CoTrained:
 
 def arrays(text, source, lang, n_chars, shapes):
     got = list(zip(text.to_pylist(), source.to_pylist(), lang.to_pylist(), n_chars.to_pylist()))
-    content = np.array([content_view(t, shapes) for t, *_ in got]).reshape(len(got), -1)
-    meta = np.array([meta_view(*row) for row in got]).reshape(len(got), -1)
+    content = np.array([content_view(t, shapes) for t, *_ in got]).reshape(len(got), WIDTHS["content"])
+    meta = np.array([meta_view(*row) for row in got]).reshape(len(got), WIDTHS["meta"])
     return content, meta
 
 
@@ -155,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             .select("doc_id", "quality", fold().alias("part"), featurizer()(*INPUTS).alias("f")).select("doc_id", "quality", "part", "f.*")
             .toPandas().sort_values("doc_id", kind="stable"))
     known = rows.quality.notna().to_numpy()
-    views = [np.array(rows[c].tolist(), float).reshape(len(rows), -1) for c in ("content", "meta")]
+    views = [np.array(rows[c].tolist(), float).reshape(len(rows), width) for c, width in WIDTHS.items()]
     y = rows.quality.to_numpy(float)[known]
     calibrates = (rows.part == CALIBRATION_FOLD).to_numpy()[known]
     if len(set(y[~calibrates])) < 2:

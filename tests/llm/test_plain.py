@@ -328,11 +328,14 @@ def test_learned_operators_on_held_out_rows(spark):
     assert lang.filter("lang = lang_pred").count() / lang.count() > 0.97
     good = queries.QUERIES["op2_quality"](spark, sf).filter("held_out").join(labels, "doc_id")
     assert good.filter("quality = predicted").count() / good.count() > 0.9
+    sf = "/root/testdata/sf0.1"  # toxic rows are few in the smaller tables
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     words = "trash|pathetic|idiot|worthless|disgusting|stupid|clown|scum|loser|moron"
     tox = queries.QUERIES["op1_toxicity"](spark, sf).filter("held_out").join(docs, "doc_id").withColumn(
         "rude", F.regexp_count(F.lower("text"), F.lit(rf"\b({words})\b")) > 1)
+    tox = tox.cache()
     rude = tox.filter("rude")
-    assert rude.filter("predicted = 1").count() / rude.count() > 0.7
+    assert rude.filter("predicted = 1").count() / rude.count() > 0.85
     clean = tox.filter("not rude")
     assert clean.filter("predicted = 1").count() / clean.count() < 0.05
 

@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.text import shipped
 
 #: Words and fragments remembered by a task; when full the memory starts anew, which changes time only.
 CACHE_WORDS = 150_000
+#: Documents whose results a task holds at a time.
+SLICE = 128
 
 # The word pattern of the tokenizer file's pre-tokenizer, its white space taken from Unicode.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -192,35 +194,41 @@ def id_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype("i4"), pa.int32()))
 
 
-def encoder(spark: SparkSession, tokenizer: str, boundaries: bool = True):
-    """A column function text -> array of token ids, equal to the tokenizer's own without special tokens added.
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids): the token ids of every text, equal to the tokenizer's own without special tokens added.
 
-    NULL and empty texts give an empty array. The file is read once on the driver and sent to the tasks; its size is
-    the bound of what is sent. Other columns of the table never reach Python.
+    NULL and empty texts give an empty array; repeated rows and NULL ids a row each; other columns are left out. The file is
+    read once on the driver and sent to the tasks; its size is the bound of what is sent. Results leave a task ``SLICE``
+    documents at a time, so its memory holds no more than one incoming batch.
     """
-    tables = shipped(spark, Tables(tokenizer))
+    tables = shipped(docs.sparkSession, Tables(tokenizer))
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Encoder(tables(), boundaries)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Encoder(tables())
         for batch in batches:
-            yield id_lists([own.encode(text.as_py()) for text in batch])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = id_lists([own.encode(text.as_py()) for text in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
-    return encode
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decoder(spark: SparkSession, tokenizer: str):
-    """A column function array of ids -> text as the tokenizer decodes it: tokens joined by one space. NULL gives ''."""
-    names = shipped(spark, Tables(tokenizer).tokens)
+def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids, text): what the tokenizer decodes the ids to, its tokens joined by one space; NULL ids give ''."""
+    names = shipped(coded.sparkSession, Tables(tokenizer).tokens)
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array(names(), object)
         for batch in batches:
-            ends, flat = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
-            yield pa.array([" ".join(own[flat[a:b]]) for a, b in zip(ends, ends[1:])], pa.string())
-
-    return decode
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = part.column(1)
+                ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+                texts = pa.array([" ".join(own[flat[a:b]]) for a, b in zip(ends, ends[1:])], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], ["doc_id", "ids", "text"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def ids_text(ids: Column) -> Column:

@@ -30,7 +30,7 @@ BLOCK = 256
 #: 64-bit words of a set's bitmap.
 MAPS = 8
 #: Star rounds go on while they remove at least this share of the components in open buckets.
-PROGRESS = 0.1
+PROGRESS = 0.5
 LAST = (1 << 63) - 1
 
 

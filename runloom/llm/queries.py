@@ -104,16 +104,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules_of = {counts.BLANK_WORDS: counts.blank_words, counts.PLAIN_WORDS: counts.plain_words}
     low = labels.filter("quality = 0").select("doc_id").distinct()
     toxic = labels.filter("toxic = 1").select("doc_id").distinct().join(low, "doc_id", "left_anti")
-    counted = written(docs.select("doc_id", "source", "lang", *[f(F.col("text")).alias(v) for v, f in rules_of.items()]), "counts", spark)
+    # Both counts of every text in one scan, so that only numbers meet the labels.
     clean = F.regexp_replace("text", "[0-9]+", "")
-    redacted = docs.join(toxic, "doc_id", "left_semi")
+    counted = written(docs.select("doc_id", "source", "lang", *[f(F.col("text")).alias(v) for v, f in rules_of.items()],
+                                  *[f(clean).alias(f"clean-{v}") for v, f in rules_of.items()]), "counts", spark)
+    redacted = counted.join(toxic, "doc_id", "left_semi")
     rollup = counts.Rollup(spark, shared_dir(spark, "rollup"))
-    for version, rule in rules_of.items():
+    for version in rules_of:
         tokens = F.col(f"`{version}`")
         rollup.commit(f"load-{version}", counts.signed(counted, 1, version, tokens))
         gone = counts.signed(counted.join(low, "doc_id", "left_semi"), -1, version, tokens)
         rollup.commit(f"takedown-{version}", gone)
-        rollup.commit(f"redact-{version}", counts.revised(redacted, version, rule(F.col("text")), rule(clean)))
+        rollup.commit(f"redact-{version}", counts.revised(redacted, version, tokens, F.col(f"`clean-{version}`")))
         rollup.commit(f"takedown-{version}", gone)
     return rollup.totals()
 

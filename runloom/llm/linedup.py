@@ -1,8 +1,7 @@
 """Fuzzy line deduplication by MinHash, in column functions alone.
 
-A line is compared in lower case without blanks at its ends. Its shingles are the runs of ``SHINGLE`` characters that begin
-at its words; a word longer than that begins another piece after every ``SHINGLE`` characters, so the shingles cover the
-whole line, and the last ones end with it. Equal lines are one class from the start: distinct lines are found by a 64-bit hash,
+A line is compared in lower case without blanks at its ends. Its shingles are all runs of ``SHINGLE`` characters (a shorter
+line is one shingle), cut from its UTF-32 form in linear time and compared by 64-bit hashes. Equal lines are one class from the start: distinct lines are found by a 64-bit hash,
 pre-aggregated per task, so a line that a third of all documents hold is a row per task. Each class has ``BANDS * ROWS``
 minima over permuted shingle hashes; classes that share a band are candidates, and a pair counts as linked only if
 100 * intersection >= PERCENT * union of the whole shingle sets. A pair at the limit is missed with probability
@@ -43,9 +42,26 @@ def lines(docs: DataFrame) -> DataFrame:
             .withColumn("node", F.xxhash64("norm")))
 
 
-def shingles(norm: Column) -> Column:
-    """The line's shingles, repeats included: one match per piece, the shingle being what lies ahead of its start."""
-    return F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,{SHINGLE}}}\s*"), F.lit(1))
+def fixed_width(norm: Column) -> Column:
+    """The line with four bytes for each character, so that any run of characters is cut in constant time."""
+    return F.encode(norm, "UTF-32")
+
+
+def starts(body: Column) -> Column:
+    """Numbers of the characters that shingles begin at."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(body) / 4).cast("int") - SHINGLE))
+
+
+def shingle_at(body: Column, i: Column) -> Column:
+    """The hash of the shingle that begins at a character."""
+    return F.xxhash64(F.substring(body, 4 * i + 1, F.lit(4 * SHINGLE)))
+
+
+def shingle_hashes(norm: Column) -> Column:
+    """The distinct hashes of all shingles of a line."""
+    # The outer transform binds the encoded line: inside the inner one it would be encoded again for every shingle.
+    return F.array_distinct(F.flatten(F.transform(F.array(fixed_width(norm)), lambda body: F.transform(
+        starts(body), lambda i: shingle_at(body, i)))))
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
@@ -53,7 +69,8 @@ def signatures(distinct: DataFrame) -> DataFrame:
     # One strong hash per shingle; flipping fixed random bits of it orders the shingles anew for every coordinate.
     flips = [hash_constant(k) for k in range(BANDS * ROWS)]
     h = F.col("h")
-    rows = distinct.select("node", F.explode(shingles(F.col("norm"))).alias("s")).select("node", F.xxhash64("s").alias("h"))
+    rows = (distinct.select("node", fixed_width(F.col("norm")).alias("body"))
+            .select("node", "body", F.explode(starts(F.col("body"))).alias("i")).select("node", shingle_at(F.col("body"), F.col("i")).alias("h")))
     minima = rows.groupBy("node").agg(*[F.min(h.bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(flips)])
     return minima.select("node", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
@@ -129,7 +146,7 @@ def linked_lines(docs: DataFrame) -> DataFrame | None:
             F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         found = (pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("left")), "a")
                  .join(texts.select(F.col("node").alias("b"), F.col("norm").alias("right")), "b")
-                 .select("a", "b", F.array_distinct(shingles(F.col("left"))).alias("left"), F.array_distinct(shingles(F.col("right"))).alias("right"))
+                 .select("a", "b", shingle_hashes(F.col("left")).alias("left"), shingle_hashes(F.col("right")).alias("right"))
                  .filter(similar(F.col("left"), F.col("right"))).select("a", "b"))
         links = written(found if links is None else links.unionByName(found), "line-links", spark)
         labels = components(links)
@@ -158,7 +175,7 @@ def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     groups = spread.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
     sets = groups.select("i", "j", F.transform("members", lambda m: F.struct(
         m["node"].alias("node"), m["component"].alias("component"), m["mine"].alias("mine"),
-        F.array_distinct(F.transform(shingles(m["norm"]), lambda s: F.xxhash64(s))).alias("hashes"))).alias("members"))
+        shingle_hashes(m["norm"]).alias("hashes"))).alias("members"))
     ready = sets.select("i", "j", F.transform("members", lambda m: F.struct(
         m["node"].alias("node"), m["component"].alias("component"), m["mine"].alias("mine"), m["hashes"].alias("hashes"),
         F.size(m["hashes"]).alias("n"), *[bitmap(m["hashes"], k).alias(f"b{k}") for k in range(MAPS)])).alias("members"))

@@ -172,6 +172,39 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, progress):
         assert kept[i] == (text and "\n".join(line for at, line in enumerate(text.split("\n")) if at not in want.get(i, [])))
 
 
+def whole_line_verdict(rows):
+    """As ``line_verdict``, with every run of characters as a shingle."""
+    size = linedup.SHINGLE
+    found = [(i, at, line.strip(" \t\r\v\f").lower()) for i, text in rows for at, line in enumerate(text.split("\n"))
+             if line.strip(" \t\r\v\f")]
+    sets = {n: frozenset(n[k:k + size] for k in range(max(1, len(n) - size + 1))) for _, _, n in found}
+    norms = sorted(sets)
+    label = union_find([(a, b) for k, b in enumerate(norms) for a in norms[:k]
+                        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], norms)
+    seen, gone = set(), {}
+    for i, at, n in sorted(found):
+        if label[n] in seen:
+            gone.setdefault(i, []).append(at)
+        seen.add(label[n])
+    return gone
+
+
+@pytest.mark.parametrize("progress", [linedup.PROGRESS, 2.0])
+def test_line_dedup_takes_every_run_of_characters(spark, monkeypatch, progress):
+    monkeypatch.setattr(linedup, "PROGRESS", progress)
+    monkeypatch.setattr(linedup, "BLOCK", 8)
+    rng = random.Random(6)
+    unspaced = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)) for _ in range(4)]
+    near = [s[:at] + chr(0x3042 + at % 50) + s[at:] for s in unspaced for at in (1, 7, 200, 399)]
+    prose = [t for _, t in near_texts(9, groups=3, members=20) if t]
+    lines = unspaced + near + prose + ["a\U0001F642" * 30, "b" + "a\U0001F642" * 30, "short", "x"]
+    rows = [(i, "\n".join(lines[i * 3:i * 3 + 3])) for i in range(-(-len(lines) // 3))]
+    want = whole_line_verdict(rows)
+    assert sum(map(len, want.values())) >= len(near)
+    got = {r["doc_id"]: r["removed"] for r in linedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert got == {i: ",".join(map(str, v)) for i, v in want.items()}
+
+
 # --- decontamination, rules, counts, personal data
 
 

@@ -3,7 +3,7 @@
 A line is compared in lower case without blanks at its ends. Its shingles are all runs of ``SHINGLE`` characters (a shorter
 line is one shingle), cut from its UTF-32 form in linear time and compared by 64-bit hashes. Equal lines are one class from the start: distinct lines are found by a 64-bit hash,
 pre-aggregated per task, so a line that a third of all documents hold is a row per task. Each class has ``BANDS * ROWS``
-minima over permuted shingle hashes; classes that share a band are candidates, and a pair counts as linked only if
+minima over independently hashed shingles; classes that share a band are candidates, and a pair counts as linked only if
 100 * intersection >= PERCENT * union of the whole shingle sets. A pair at the limit is missed with probability
 (1 - 0.8^2)^8 < 3e-4, one of similarity 0.9 with 2e-6.
 
@@ -66,12 +66,13 @@ def shingle_hashes(norm: Column) -> Column:
 
 def signatures(distinct: DataFrame) -> DataFrame:
     """(node, bands): hashed bands of minima. Shingles are rows only inside the task that holds the line."""
-    # One strong hash per shingle; flipping fixed random bits of it orders the shingles anew for every coordinate.
-    flips = [hash_constant(k) for k in range(BANDS * ROWS)]
+    # One hash per shingle, hashed again with a constant for every coordinate. Flipping bits alone would not do: with
+    # complementary top bits in a band, a shingle alone in its half of the range decides every band at once.
+    seeds = [hash_constant(k) for k in range(BANDS * ROWS)]
     h = F.col("h")
     rows = (distinct.select("node", fixed_width(F.col("norm")).alias("body"))
             .select("node", "body", F.explode(starts(F.col("body"))).alias("i")).select("node", shingle_at(F.col("body"), F.col("i")).alias("h")))
-    minima = rows.groupBy("node").agg(*[F.min(h.bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(flips)])
+    minima = rows.groupBy("node").agg(*[F.min(F.xxhash64(h.bitwiseXOR(F.lit(c)))).alias(f"m{k}") for k, c in enumerate(seeds)])
     return minima.select("node", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 

@@ -205,6 +205,17 @@ def test_line_dedup_takes_every_run_of_characters(spark, monkeypatch, progress):
     assert got == {i: ",".join(map(str, v)) for i, v in want.items()}
 
 
+def test_line_bands_meet_as_often_as_stated_on_small_sets(spark):
+    # Four of five shingles are shared: (1 - 0.8^2)^8 < 3e-4 of such pairs may miss, so about one of 4,000.
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [word(linedup.SHINGLE + 3) for _ in range(4000)]
+    pairs = [(2 * i + k, s) for i, t in enumerate(lines) for k, s in enumerate((t, t + word(1)))]
+    signed = linedup.signatures(spark.createDataFrame(pairs, "node long, norm string"))
+    bands = {r["node"]: set(r["bands"]) for r in signed.collect()}
+    assert sum(not bands[2 * i] & bands[2 * i + 1] for i in range(len(lines))) <= 8
+
+
 # --- decontamination, rules, counts, personal data
 
 

@@ -310,6 +310,34 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.learn(docs.limit(0)) == {}
 
 
+def test_toxic_words_of_a_rare_language_are_learned():
+    import numpy as np
+
+    from runloom.llm import toxicity
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    big, small = ([word() for _ in range(400)] for _ in range(2))
+    big_bad, small_bad = [word() for _ in range(5)], [word() for _ in range(3)]
+
+    def text(words, bad):
+        out = [rng.choice(words) for _ in range(rng.randrange(15, 40))]
+        for w in rng.sample(bad, 2) if bad else ():
+            out.insert(rng.randrange(len(out)), w)
+        return " ".join(out)
+
+    rows = [(text(big, big_bad if i % 3 == 0 else None), i % 3 == 0, "big") for i in range(3600)]
+    rows += [(text(small, small_bad if i % 3 == 0 else None), i % 3 == 0, "small") for i in range(30)]
+    rng.shuffle(rows)
+    model = toxicity.learn([toxicity.word_ids(r[0], toxicity.Rows()) for r in rows], np.array([r[1] for r in rows], np.float32),
+                           [r[2] for r in rows], np.arange(len(rows)) % 3 == 2)
+    tables_, known = model.network.tables(), toxicity.Rows(model.row_of_hash)
+    share = lambda words, bad: np.mean([model.score(toxicity.word_ids(text(words, bad), known), tables_) >= toxicity.CUT
+                                        for _ in range(100)])
+    assert share(small, small_bad) > 0.4 and share(small, None) < 0.05
+    assert share(big, big_bad) > 0.95 and share(big, None) < 0.05
+
+
 # --- all operators on the awkward table
 
 

@@ -1,8 +1,9 @@
 """Personal data: fixed base patterns, and identifiers found by bootstrapped contexts.
 
-The base patterns give the seeds. The one or two words before a seed are a lexical pattern. Patterns that hold a fixed
-share of all seed contexts (``LEAST_SHARE``; so at most 2 / LEAST_SHARE patterns exist, whatever the corpus) are looked up
-in every text: how often they occur at all, and which identifier-like strings follow them. Spark scores this graph of
+The base patterns give the seeds. The one or two words before a seed are a lexical pattern. Every pattern seen with
+``LEAST_SEEDS`` different seeds, however small its share, is looked up in every text: how often it occurs at all, and which
+identifier-like strings follow it. Tasks hold the patterns if their counted bytes fit; else all words and contexts are
+counted and joined with them, and the same goes for the trusted ones at the end. Spark scores this graph of
 patterns and instances in rounds: a pattern is as good as the share of its occurrences followed by trusted instances, an
 instance as good as its best pattern. Patterns that end above ``LEAST_CONFIDENCE`` mark the identifier-like strings behind
 them as personal data. Base spans always stay.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.text import shipped, written
+from runloom.llm.text import shipped, small_side, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: An address is this run, an @ and this domain; the run is looked for backwards from each @, so long texts cost linear time.
@@ -35,12 +36,13 @@ FROM_DIGIT = re.compile(r"[0-9@][\w.%+@/-]*")
 IN_RUN = re.compile(r"[\w.%+@/-]")
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
 
-#: Share of the seeds' contexts that a pattern must hold.
-LEAST_SHARE = 0.001
 #: Different seeds that a pattern must have been seen with.
 LEAST_SEEDS = 5
 LEAST_CONFIDENCE = 0.6
 ROUNDS = 4
+#: Patterns of up to so many bytes, with ``PATTERN_BYTES`` for each besides its text, are sent to the tasks.
+BROADCAST_BYTES = 32_000_000
+PATTERN_BYTES = 300
 #: Characters before an instance that are looked at for its context.
 REACH = 120
 
@@ -138,13 +140,16 @@ def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lookup(patterns):
-    """Function of batches: (pattern, instance, known, n); instance '' counts the pattern's occurrences as words."""
+    """Function of batches: (pattern, instance, known, n); instance '' counts the pattern's occurrences as words.
+
+    ``patterns`` gives the patterns to look for, None stands for all.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = patterns()
-        ones = {p for p in wanted if " " not in p}
+        wanted = patterns() if patterns else None
+        ones = {p for p in wanted or () if " " not in p}
         firsts = defaultdict(set)
-        for p in wanted:
+        for p in wanted or ():
             if " " in p:
                 a, b = p.split(" ")
                 firsts[b].add(a)
@@ -162,15 +167,15 @@ def lookup(patterns):
                         if len(forms) > 200_000:
                             forms.clear()
                         form = forms[word] = word_form(word)
-                    if form in ones:
+                    if wanted is None or form in ones:
                         found[form, "", False] += 1
-                    if last in firsts.get(form, ()):
+                    if last is not None if wanted is None else last in firsts.get(form, ()):
                         found[f"{last} {form}", "", False] += 1
                     last = form
                 base = base_spans(text)
                 for (a, b), known in [*(((a, b), True) for _, a, b in base), *((s, False) for s in candidates(text, base))]:
                     for pattern in contexts(text, a):
-                        if pattern in wanted:
+                        if wanted is None or pattern in wanted:
                             found[pattern, instance_form(text[a:b]), known] += 1
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
@@ -181,22 +186,27 @@ def lookup(patterns):
     return look
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, str]:
-    """The trusted patterns and the kind of identifier each announces."""
+def fits(patterns: DataFrame) -> bool:
+    """True if a task can hold the patterns."""
+    return (patterns.agg(F.sum(F.octet_length("pattern") + PATTERN_BYTES)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def learned(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, kind) of the trusted patterns: the kind of identifier each announces."""
     spark = docs.sparkSession
     texts = docs.select("text").filter(F.col("text").isNotNull())
     seeds = written(texts.mapInArrow(seed_rows, "pattern string, kind string, instance string, n long")
                     .groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "seeds", spark)
-    total = seeds.agg(F.sum("n")).first()[0] or 0
     per_kind = seeds.groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("seeds"))
-    kept = (per_kind.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"),
-                                            F.max(F.struct("n", "kind"))["kind"].alias("kind"))
-            .filter((F.col("n") >= LEAST_SHARE * total) & (F.col("seeds") >= LEAST_SEEDS)))
-    kinds = {r["pattern"]: r["kind"] for r in kept.select("pattern", "kind").collect()}  # at most 2 / LEAST_SHARE
-    if not kinds:
-        return {}
-    look = lookup(shipped(spark, set(kinds)))
-    edges = written(texts.mapInArrow(look, "pattern string, instance string, known boolean, n long")
+    kept = written(per_kind.groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max(F.struct("n", "kind"))["kind"].alias("kind"))
+                   .filter(F.col("seeds") >= LEAST_SEEDS).select("pattern", "kind"), "patterns", spark)
+    n_kept = kept.count()
+    if not n_kept:
+        return kept
+    held = fits(kept)
+    look = lookup(shipped(spark, {r["pattern"] for r in kept.select("pattern").collect()}) if held else None)
+    looked = texts.mapInArrow(look, "pattern string, instance string, known boolean, n long")
+    edges = written((looked if held else looked.join(kept.select("pattern"), "pattern", "left_semi"))
                     .groupBy("pattern", "instance").agg(F.max("known").alias("known"), F.sum("n").alias("n")), "edges", spark)
     graph = edges.filter(F.col("instance") != "")
     matches = graph.groupBy("pattern").agg(F.sum("n").alias("matches"))
@@ -208,13 +218,18 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, str]:
         if scores is None:
             trusted = graph.select("pattern", "n", trust.alias("trust"), "instance", "known")
         else:
-            best = graph.join(F.broadcast(scores), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
+            best = graph.join(small_side(scores, n_kept), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
             trusted = graph.join(best, "instance").select(
                 "pattern", "n", F.when(F.col("known"), 1.0).otherwise(F.col("best")).alias("trust"), "instance", "known")
         scores = trusted.groupBy("pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("good")).join(totals, "pattern").select(
             "pattern", (F.col("good") / F.col("total")).alias("score"))
         scores = written(scores, "scores", spark)  # no more rows than patterns
-    return {r["pattern"]: kinds[r["pattern"]] for r in scores.filter(F.col("score") >= LEAST_CONFIDENCE).select("pattern").collect()}
+    return written(kept.join(scores.filter(F.col("score") >= LEAST_CONFIDENCE).select("pattern"), "pattern", "left_semi"), "trusted", spark)
+
+
+def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, str]:
+    """The trusted patterns and the kind of identifier each announces, on the driver."""
+    return {r["pattern"]: r["kind"] for r in learned(docs, rounds).collect()}
 
 
 def finder(patterns):
@@ -248,7 +263,38 @@ def finder(patterns):
     return find
 
 
+def all_contexts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The contexts of every identifier-like run outside the base spans."""
+    kind_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("pattern", pa.string())]))
+    for batch in batches:
+        rows = []
+        for text in batch:
+            text = text.as_py()
+            rows.append([{"start": a, "end": b, "words": k, "pattern": p} for a, b in candidates(text, base_spans(text))
+                         for k, p in enumerate(contexts(text, a))] if text else [])
+        yield pa.array(rows, kind_of)
+
+
+def joined_spans(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """As ``spans``, for patterns that no task can hold: contexts meet them in a join, once for each different text."""
+    key = F.sha2("text", 256)
+    every = F.arrow_udf(all_contexts, "array<struct<start:int,end:int,words:int,pattern:string>>")
+    own, texts = docs.select("doc_id", "text", key.alias("key")), docs.select(key.alias("key"), every("text").alias("c"))
+    hits = texts.select("key", F.inline("c")).distinct().join(trusted, "pattern")
+    by_place = hits.groupBy("key", "start", "end").agg(F.max(F.struct("words", "kind"))["kind"].alias("kind"))
+    found = by_place.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("f")).select(
+        F.col("key").alias("of"), F.transform("f", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("f"))
+    base = finder(shipped(docs.sparkSession, {}))
+    return own.join(found, F.col("key") == F.col("of"), "left").select("doc_id", base("text").alias("s"), "f").select(
+        "doc_id", "s.base", F.coalesce("f", "s.found").alias("found"))
+
+
 def spans(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """doc_id, base and found spans (arrays of kind, start, end) of every document."""
-    own = shipped(docs.sparkSession, learn(docs) if patterns is None else patterns)
+    if patterns is None:
+        trusted = learned(docs)
+        if not fits(trusted):
+            return joined_spans(docs, trusted)
+        patterns = {r["pattern"]: r["kind"] for r in trusted.collect()}
+    own = shipped(docs.sparkSession, patterns)
     return docs.select("doc_id", finder(own)("text").alias("s")).select("doc_id", "s.*")

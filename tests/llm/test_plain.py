@@ -338,6 +338,19 @@ def test_toxic_words_of_a_rare_language_are_learned():
     assert share(big, big_bad) > 0.95 and share(big, None) < 0.05
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_contexts_of_few_seeds_count_beside_a_hot_kind(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
+    rows = [(i, " ".join(f"write to a{i}x{k}@example.org" for k in range(100))) for i in range(80)]
+    rows += [(1000 + i, f"her Kundennummer: 10.0.0.{i} is this") for i in range(6)]
+    odd = "her Kundennummer: 77-1234-5678 is this, and 20240101-99 not"
+    rows += [(2000, odd), (2000, odd), (None, odd), (2001, None), (2002, "")]
+    got = sorted(((r["doc_id"] or 0, r["found"]) for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+                  if r["found"]), key=str)
+    assert [(i, [(s["kind"], odd[s["start"]:s["end"]]) for s in f]) for i, f in got] == [(i, [("ip", "77-1234-5678")]) for i in (0, 2000, 2000)]
+
+
 # --- all operators on the awkward table
 
 

@@ -11,6 +11,9 @@ from runloom.llm import decontam, linedup, neardup, rules
 from runloom.llm.queries import TOKENIZER, table, token_digests
 from runloom.llm.text import written
 
+#: Words of a shingle in near_dedup; op4_near_duplicates keeps its four.
+NEAR_WORDS = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed limits and the isolation forest accept."""
@@ -23,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
-    return neardup.keep_first(docs)
+    """One document of every group of near duplicates on shingles of five words."""
+    return neardup.keep_first(docs, NEAR_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from runloom.llm.components import components
 from runloom.llm.text import fresh, q, small_side, written
 
 PERCENT = 80
-#: Words of a shingle.
+#: Words of a shingle, unless the caller says otherwise.
 WORDS = 4
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^40 < 6e-6.
 BANDS, ROWS = 40, 6
@@ -109,12 +109,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 SKETCH_TYPE = "struct<n:int,digest:binary,bands:array<bigint>>"
 
 
-def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def sketched(batches: Iterator[pa.Array], size: int = WORDS) -> Iterator[pa.Array]:
     known = WordHashes()
     for batch in batches:
         sizes, digests, bands, part, weight = [], [], [], [], 0
         for i, text in enumerate(batch):
-            own = shingle_set(text.as_py(), known)
+            own = shingle_set(text.as_py(), known, size)
             sizes.append(len(own))
             digests.append(blake2b(own.tobytes(), digest_size=16).digest())
             if len(own):
@@ -132,10 +132,10 @@ def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ["n", "digest", "bands"])
 
 
-def set_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def set_lists(batches: Iterator[pa.Array], size: int = WORDS) -> Iterator[pa.Array]:
     known = WordHashes()
     for batch in batches:
-        rows = [shingle_set(text.as_py(), known).view(np.int64) for text in batch]
+        rows = [shingle_set(text.as_py(), known, size).view(np.int64) for text in batch]
         ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
         yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
@@ -202,7 +202,16 @@ def open_rows(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
         F.when(F.col("component") != F.col("low"), F.col("first.node")).otherwise(F.col("last.node")).alias("other"))
 
 
-def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+def of_size(lists, size: int):
+    """``sketched`` or ``set_lists`` for shingles of so many words."""
+
+    def sized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lists(batches, size)
+
+    return sized
+
+
+def linked_classes(reps: DataFrame, docs: DataFrame, size: int = WORDS) -> DataFrame | None:
     """(node, component) of the classes (node, bands) that are linked with others; None if no two share a band."""
     spark = docs.sparkSession
     keys = reps.select("node", F.explode("bands").alias("key"))
@@ -214,7 +223,7 @@ def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         return None
     texts = docs.select("doc_id", "text").join(
         small_side(candidates, n_candidates), F.col("doc_id") == F.col("node"), "left_semi")
-    hashes = F.arrow_udf(set_lists, "array<bigint>")
+    hashes = F.arrow_udf(of_size(set_lists, size), "array<bigint>")
     # A class is its smallest id with that id's set; an id repeated with different texts has a row for each.
     sets = written(texts.select(F.col("doc_id").alias("node"), hashes("text").alias("hashes")).distinct(), "sets", spark)
 
@@ -249,16 +258,16 @@ def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     return labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def classes(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; shingles have ``size`` words."""
     spark = docs.sparkSession
-    sketch = F.arrow_udf(sketched, SKETCH_TYPE)
+    sketch = F.arrow_udf(of_size(sketched, size), SKETCH_TYPE)
     rows = written(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"), "sketches", spark)
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     bands = full.join(reps.select(F.col("node").alias("doc_id"), F.col("digest").alias("own")), "doc_id").filter(
         F.col("digest") == F.col("own")).select(F.col("doc_id").alias("node"), "bands").distinct()
-    labels = linked_classes(bands, docs)
+    labels = linked_classes(bands, docs, size)
     named = with_components(reps, labels).select(F.col("digest").alias("of"), "component")
     joined = rows.join(named, (F.col("digest") == F.col("of")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
@@ -266,9 +275,9 @@ def classes(docs: DataFrame) -> DataFrame:
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """The documents of each component's smallest id, with all their columns; rows repeated under that id stay together."""
     spark = docs.sparkSession
     (gone,) = fresh(docs, "gone_id")
-    dropped = written(classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "dropped", spark)
+    dropped = written(classes(docs, size).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "dropped", spark)
     return docs.join(small_side(dropped, dropped.count()), q("doc_id") == q(gone), "left_anti")

@@ -123,6 +123,17 @@ def test_near_classes_equal_all_pairs(spark, monkeypatch, block):
     assert got == near_classes(rows)
 
 
+def test_near_dedup_stage_links_on_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(42)]
+    # One changed word of 42: 35 of 43 shared shingles of four words (0.81), 33 of 43 of five (0.77). At the end: 38 of 40, 37 of 39.
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])), (3, " ".join([*words[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 2}
+    assert {r["doc_id"] for r in neardup.keep_first(docs, 4).collect()} == {1}
+
+
 def test_sketches_fill_every_coordinate_and_estimate():
     import numpy as np
 

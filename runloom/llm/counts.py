@@ -3,13 +3,17 @@
 A batch holds signed rows: +1 document and its tokens for an insert, -1 and minus its tokens for a delete, the difference
 of the tokens for a revision. A batch is summed per (source, lang, tokenizer) before it is stored, in a folder of its own
 named by the batch id; committing a batch again overwrites that folder, so a repeated or retried commit changes nothing.
-Totals are the sums over all stored batches. ``compact`` folds them into one, keeping the ids of what it holds.
+Totals are the sums over all stored batches. ``compact`` folds them into one and stores the ids it holds beside it; a folded
+batch is final, so committing its id again changes nothing.
 
 NULL sources and languages are groups of their own. NULL texts count as no tokens; a NULL count as 0. Empty batches are
 stored and sum to nothing. Repeated rows within a batch count as often as they occur. Groups whose totals are all zero are
 left out. Sums are pre-aggregated per task, so a source with a third of all rows is a row per task.
 """
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +57,11 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def commit(self, batch: str, rows: DataFrame) -> None:
-        """Store a batch; the same id again replaces it."""
+        """Store a batch; the same id again replaces it, unless it has been folded."""
         if not batch or "/" in batch or "=" in batch:
             raise ValueError(f"not a batch id: {batch!r}")
+        if self.folded().filter(F.col("batch") == batch).limit(1).count():
+            return
         summed(rows).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def totals(self) -> DataFrame:
@@ -67,8 +73,18 @@ class Rollup:
         """The ids of the batches that have rows."""
         return self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(self.path).select("batch").distinct()
 
+    def folded(self) -> DataFrame:
+        """The ids of the batches that ``compact`` has folded into this rollup."""
+        try:
+            return self.spark.read.schema("batch string").parquet(f"{self.path}/_folded")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "batch string")
+
     def compact(self, path: str) -> "Rollup":
-        """All batches as one batch in a new folder."""
+        """All batches as one batch in a new folder, with their ids beside it."""
         out = Rollup(self.spark, path)
-        out.commit("base", self.totals())
+        self.folded().unionByName(self.batches()).distinct().write.parquet(f"{out.path}/_folded")
+        out.commit(f"base-{uuid.uuid4().hex}", self.totals())
         return out

@@ -289,6 +289,28 @@ def test_rollup(spark, tmp_path):
         roll.commit("a/b", docs)
 
 
+def test_replay_after_compaction_counts_once(spark, tmp_path):
+    """Tokens are those of the BPE operator."""
+    path = public_tokenizers.path(queries.TOKENIZER)
+    texts = spark.createDataFrame([(1, "a", "en", "one two"), (2, "a", "en", "three")], "doc_id long, source string, lang string, text string")
+    docs = texts.drop("text").join(bpe.encode(texts, path).select("doc_id", F.size("ids").alias("n")), "doc_id")
+    total = docs.agg(F.sum("n")).first()[0]
+    load, gone = counts.signed(docs, 1, "bpe", F.col("n")), counts.signed(docs.filter("doc_id = 2"), -1, "bpe", F.col("n"))
+    roll = counts.Rollup(spark, str(tmp_path / "r"))
+    roll.commit("1", load)
+    once = roll.compact(str(tmp_path / "c"))
+    once.commit("1", load)
+    assert [tuple(r) for r in once.totals().collect()] == [("a", "en", "bpe", 2, total)]
+    for _ in range(2):
+        once.commit("2", gone)
+    twice = once.compact(str(tmp_path / "d"))
+    for again, rows in (("1", load), ("2", gone)):
+        twice.commit(again, rows)
+    assert [tuple(r)[:4] for r in twice.totals().collect()] == [("a", "en", "bpe", 1)]
+    twice.commit("base", load)
+    assert [tuple(r)[:4] for r in twice.totals().collect()] == [("a", "en", "bpe", 3)]
+
+
 def test_base_spans():
     text = "Mail a.b@x.org, b@y and 1.2.3.4 or 1.2.3.456; 4111 1111-1111 1111; 4111111111111112 call +1 (743) 555-3824 or +12 é"
     spans = pii.base_spans(text)

@@ -1,12 +1,14 @@
 """One query per operator over the whole tables, and the SQL that gives the same rows where SQL can express them."""
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, counts, decontam, langid, linedup, neardup, pii, quality, rules, toxicity
+from runloom.llm import (bpe, counts, decontam, dialogues, langid, linedup, neardup, partcodes, pii, quality, rules, toxicity,
+                         urlrules)
 from runloom.llm.text import written
 from runloom.session import shared_dir
 
@@ -147,6 +149,65 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         span_text("every").alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = partcodes.compress(table(spark, sf_dir, "embeddings"))
+    numbers = ",".join(str(x) for book in books for x in book.ravel())
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error",
+                        F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Every round as two tables: the nearest entries of all parts, and the entries moved to their parts' means."""
+    nearest = """SELECT vec_id, label, row_no, p, min(d) AS d, arg_min(e, (d, e)) AS e FROM
+        (SELECT x.vec_id, x.label, x.row_no, x.p, b.e, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN b{k} b ON x.p = b.p AND x.i = b.i
+            GROUP BY ALL) GROUP BY ALL"""
+    steps = "".join(f"""
+a{k} AS MATERIALIZED ({nearest.format(k=k)}),
+b{k + 1} AS MATERIALIZED (SELECT b{k}.p, b{k}.e, b{k}.i, coalesce(m.v, b{k}.v) AS v FROM b{k} LEFT JOIN
+    (SELECT x.p, a.e, x.i, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM x JOIN a{k} a ON x.row_no = a.row_no AND x.p = a.p GROUP BY ALL) m
+    ON b{k}.p = m.p AND b{k}.e = m.e AND b{k}.i = m.i),""" for k in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, row_number() OVER () AS row_no, len(embedding) // 4 AS w,
+    list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(embedding) > 0),
+x AS MATERIALIZED (SELECT vec_id, label, row_no, (n - 1) // w AS p, (n - 1) % w AS i, v[n] AS v
+    FROM (SELECT *, unnest(range(1, len(v) + 1)) AS n FROM v)),
+s AS (SELECT row_no, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id, arg_min(row_no, v) AS row_no FROM v
+    WHERE vec_id IS NOT NULL GROUP BY 1) ORDER BY vec_id LIMIT 256),
+b0 AS MATERIALIZED (SELECT p, e, i, v FROM x JOIN s USING (row_no)),{steps}
+f AS MATERIALIZED ({nearest.format(k=rounds)}),
+c AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY vec_id, label, row_no)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256 FROM c
+"""
+
+
+#: Host, path and action of each rule.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
+
+
+OP12_SQL = r"""
+WITH r(rule_host, rule_path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+    ('org', '/fr/', 'allow')),
+u AS (SELECT page_id, row_number() OVER () AS row_no, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, arg_max(rule_host || rule_path, (length(rule_host || rule_path), length(rule_host))) AS rule,
+    coalesce(arg_max(action, (length(rule_host || rule_path), length(rule_host))), 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, row_no, host, path
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = dialogues.repair(dialogues.damaged(table(spark, sf_dir, "conversations")))
+    lines = F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
+    return repaired.withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("repaired")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -158,9 +219,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_personal_data": op10_personal_data,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_url_filter": op12_url_filter,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
     "op9_token_counts": OP9_SQL,
+    "op11_vector_codes": _op11_sql(),
+    "op12_url_filter": OP12_SQL,
 }

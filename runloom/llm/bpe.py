@@ -14,16 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.text import shipped
 
-#: Words and fragments remembered by a task; when full the memory starts anew, which changes time only.
-CACHE_WORDS = 150_000
-#: Documents whose results a task holds at a time.
-SLICE = 128
+#: Bytes of words and fragments that a task remembers, each with ``ENTRY_BYTES`` besides its text and ids; when full the
+#: memory starts anew, which changes time only.
+CACHE_BYTES, ENTRY_BYTES = 24_000_000, 200
+#: Documents and characters whose results a task holds at a time; a longer text is held alone.
+SLICE, SLICE_CHARS = 128, 2_000_000
 
 # The word pattern of the tokenizer file's pre-tokenizer, its white space taken from Unicode.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -80,21 +82,29 @@ class Encoder(dict):
 
     def __init__(self, tables: Tables, boundaries: bool = True):
         super().__init__()
-        self.t, self.boundaries, self.fragments = tables, boundaries, {}
+        self.t, self.boundaries, self.fragments, self.held = tables, boundaries, {}, 0
         names = sorted(map(re.escape, tables.special), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         body = word.encode("utf-8", "surrogatepass")
         ids: list[int] = []
         parts = self.cut(body)
         for fragment, last in parts:
             ids += self.merged(fragment, last) if len(parts) == 1 else self.remembered(fragment, last)
-        self[word] = out = array("i", ids).tobytes()
+        out = array("i", ids).tobytes()
+        self.remember(self, word, out, len(body) + len(out))
         return out
 
+    def remember(self, place: dict, key, value, size: int) -> None:
+        self.held += size + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.fragments.clear()
+            self.held = size + ENTRY_BYTES
+        if self.held <= CACHE_BYTES:
+            dict.__setitem__(place, key, value)
+
     def cut(self, body: bytes) -> list[tuple[bytes, bool]]:
         """The word's fragments; the second value marks the one that ends the word."""
         start, out, joined = 0, [], self.t.joined
@@ -106,12 +116,11 @@ class Encoder(dict):
         out.append((body[start:], True))
         return out
 
-    def remembered(self, fragment: bytes, last: bool) -> list[int]:
+    def remembered(self, fragment: bytes, last: bool) -> array:
         known = self.fragments.get((fragment, last))
         if known is None:
-            if len(self.fragments) >= CACHE_WORDS:
-                self.fragments.clear()
-            known = self.fragments[(fragment, last)] = self.merged(fragment, last)
+            known = array("i", self.merged(fragment, last))
+            self.remember(self.fragments, (fragment, last), known, len(fragment) + 4 * len(known))
         return known
 
     def merged(self, fragment: bytes, last: bool) -> list[int]:
@@ -194,6 +203,25 @@ def id_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype("i4"), pa.int32()))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows (id, text) whose texts a task may hold at a time."""
+    start, chars = 0, 0
+    for at, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+        if at > start and (at - start == SLICE or chars + n > SLICE_CHARS):
+            yield batch.slice(start, at - start)
+            start, chars = at, 0
+        chars += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def joined_tokens(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    """The tokens of each list joined by one space."""
+    flat = names.take(ids.flatten())
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.scalar(" ", names.type)).cast(pa.string())
+
+
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids): the token ids of every text, equal to the tokenizer's own without special tokens added.
 
@@ -201,32 +229,41 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     read once on the driver and sent to the tasks; its size is the bound of what is sent. Results leave a task ``SLICE``
     documents at a time, so its memory holds no more than one incoming batch.
     """
-    tables = shipped(docs.sparkSession, Tables(tokenizer))
+    return _coded(docs, tokenizer, "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids, text): ``encode`` and ``decode`` in one pass, so a task runs one Python worker with one set of tables."""
+    return _coded(docs, tokenizer, "doc_id long, ids array<int>, text string")
+
+
+def _coded(docs: DataFrame, tokenizer: str, schema: str) -> DataFrame:
+    tables, decoded = shipped(docs.sparkSession, Tables(tokenizer)), "text" in schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(tables())
+        names = pa.array(own.t.tokens, pa.large_string()) if decoded else None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 ids = id_lists([own.encode(text.as_py()) for text in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+                found = [part.column(0), ids, *([joined_tokens(ids, names)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays(found, ["doc_id", "ids", "text"][:len(found)])
+        own.clear()
+        own.fragments.clear()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids, text): what the tokenizer decodes the ids to, its tokens joined by one space; NULL ids give ''."""
-    names = shipped(coded.sparkSession, Tables(tokenizer).tokens)
+    tokens = shipped(coded.sparkSession, Tables(tokenizer).tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.array(names(), object)
+        names = pa.array(tokens(), pa.large_string())
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = part.column(1)
-                ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-                texts = pa.array([" ".join(own[flat[a:b]]) for a, b in zip(ends, ends[1:])], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), joined_tokens(part.column(1), names)], ["doc_id", "ids", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

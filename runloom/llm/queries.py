@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, from the ids and the text the operator gives back."""
-    coded = bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+    coded = bpe.round_trip(docs, tokenizer)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))

@@ -3,13 +3,13 @@
 A line is compared in lower case without blanks at its ends. Its shingles are all runs of ``SHINGLE`` characters (a shorter
 line is one shingle), cut from its UTF-32 form in linear time and compared by 64-bit hashes. Equal lines are one class from the start: distinct lines are found by a 64-bit hash,
 pre-aggregated per task, so a line that a third of all documents hold is a row per task. Each class has ``BANDS * ROWS``
-minima over independently hashed shingles; classes that share a band are candidates, and a pair counts as linked only if
+minima over independent hashes of its shingles; classes that share a band are candidates, and a pair counts as linked only if
 100 * intersection >= PERCENT * union of the whole shingle sets. A pair at the limit is missed with probability
 (1 - 0.8^2)^8 < 3e-4, one of similarity 0.9 with 2e-6.
 
 Star rounds check every class against one other class of its buckets and contract what they confirm. Buckets that still
-hold several components are then checked in full, in blocks of ``BLOCK`` x ``BLOCK`` classes; only links leave a block. A
-distributed union-find names the components, and of each component the first line by (doc_id, line number) stays.
+hold several components are then checked in full, in blocks of ``BLOCK`` x ``BLOCK`` classes, first by bitmaps of the sets,
+which rule pairs out without loss, then by the whole sets, each built once. A distributed union-find names the components, and of each component the first line by (doc_id, line number) stays.
 
 Blank lines are no lines: they always stay. NULL and empty texts have none. NULL ids come last in the order. Rows repeated
 whole share their verdict, so their lines stay or go together. Ties between texts under one id are broken by the text's
@@ -24,6 +24,7 @@ from runloom.llm.text import fresh, q, small_side, written
 
 PERCENT = 80
 SHINGLE = 12
+#: A band is the two halves of one 64-bit hash.
 BANDS, ROWS = 8, 2
 BLOCK = 256
 #: 64-bit words of a set's bitmap.
@@ -66,14 +67,15 @@ def shingle_hashes(norm: Column) -> Column:
 
 def signatures(distinct: DataFrame) -> DataFrame:
     """(node, bands): hashed bands of minima. Shingles are rows only inside the task that holds the line."""
-    # One hash per shingle, hashed again with a constant for every coordinate. Flipping bits alone would not do: with
-    # complementary top bits in a band, a shingle alone in its half of the range decides every band at once.
-    seeds = [hash_constant(k) for k in range(BANDS * ROWS)]
+    # One hash per shingle, hashed again with a constant for every band; its halves are the band's two coordinates. Flipping
+    # bits alone would not do: with complementary top bits, a shingle alone in its half of the range decides every band.
     h = F.col("h")
     rows = (distinct.select("node", fixed_width(F.col("norm")).alias("body"))
             .select("node", "body", F.explode(starts(F.col("body"))).alias("i")).select("node", shingle_at(F.col("body"), F.col("i")).alias("h")))
-    minima = rows.groupBy("node").agg(*[F.min(F.xxhash64(h.bitwiseXOR(F.lit(c)))).alias(f"m{k}") for k, c in enumerate(seeds)])
-    return minima.select("node", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+    hashed = rows.select("node", *[F.xxhash64(h.bitwiseXOR(F.lit(hash_constant(b)))).alias(f"h{b}") for b in range(BANDS)])
+    minima = hashed.groupBy("node").agg(*[m for b in range(BANDS) for m in (
+        F.min(F.shiftright(f"h{b}", 32)).alias(f"high{b}"), F.min(F.col(f"h{b}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"low{b}"))])
+    return minima.select("node", F.array(*[F.xxhash64(F.lit(b), f"high{b}", f"low{b}") for b in range(BANDS)]).alias("bands"))
 
 
 def hash_constant(k: int) -> int:
@@ -87,11 +89,13 @@ def similar(a: Column, b: Column) -> Column:
     return (100 + PERCENT) * F.size(F.array_intersect(a, b)).cast("long") >= PERCENT * (F.size(a) + F.size(b))
 
 
-def bitmap(hashes: Column, k: int) -> Column:
-    """The k-th 64 bits of a set's bitmap: one bit for each hash."""
-    mine = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(MAPS - 1)) == k)
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(node, n, b0, …): the size of each line's set and its bitmap, one bit for each hash."""
+    h = F.col("h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    slot = F.shiftright(h, 6).bitwiseAND(F.lit(MAPS - 1))
+    return sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).groupBy("node", "n").agg(
+        *[F.bit_or(F.when(slot == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(MAPS)])
 
 
 def may_be_similar(x: Column, y: Column) -> Column:
@@ -120,10 +124,10 @@ def open_components(rows: DataFrame) -> int:
     return rows.select("key", "component").distinct().count()
 
 
-def linked_lines(docs: DataFrame) -> DataFrame | None:
-    """(node, component) of the line classes that are linked with others; None if there is none."""
-    spark = docs.sparkSession
-    distinct = lines(docs).groupBy("node").agg(F.max("norm").alias("norm"))
+def linked_lines(own: DataFrame) -> DataFrame | None:
+    """(node, component) of the classes of ``lines`` that are linked with others; None if there is none."""
+    spark = own.sparkSession
+    distinct = own.groupBy("node").agg(F.max("norm").alias("norm"))
     signed = written(signatures(distinct), "line-bands", spark)
     keys = signed.select("node", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys", spark)
@@ -133,8 +137,9 @@ def linked_lines(docs: DataFrame) -> DataFrame | None:
     buckets = written(keys.join(small_side(shared, n_shared), "key"), "line-buckets", spark)
     candidates = written(buckets.select("node").distinct(), "line-candidates", spark)
     wanted = small_side(candidates, candidates.count())
-    texts = written(lines(docs).select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.max("norm").alias("norm")), "line-texts", spark)
+    texts = own.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.max("norm").alias("norm"))
+    # The set of a line is built once, however many buckets hold the line.
+    sets = written(texts.select("node", shingle_hashes(F.col("norm")).alias("hashes")), "line-sets", spark)
 
     links, labels = None, None
     rows = written(open_rows(buckets, labels), "line-open", spark)
@@ -145,10 +150,7 @@ def linked_lines(docs: DataFrame) -> DataFrame | None:
         pairs = rows.groupBy("node").agg(F.min(F.struct(rank.alias("rank"), "other")).alias("best")).select(
             "node", F.col("best.other").alias("other")).select(
             F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        found = (pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("left")), "a")
-                 .join(texts.select(F.col("node").alias("b"), F.col("norm").alias("right")), "b")
-                 .select("a", "b", shingle_hashes(F.col("left")).alias("left"), shingle_hashes(F.col("right")).alias("right"))
-                 .filter(similar(F.col("left"), F.col("right"))).select("a", "b"))
+        found = confirmed(pairs, sets).select("a", "b")
         links = written(found if links is None else links.unionByName(found), "line-links", spark)
         labels = components(links)
         rows = written(open_rows(rows, labels), "line-open", spark)
@@ -156,44 +158,56 @@ def linked_lines(docs: DataFrame) -> DataFrame | None:
         if before - n_open < PROGRESS * before:
             break
     if n_open:
-        links = written(links.unionByName(block_links(rows, texts)).distinct(), "line-links", spark)
+        links = written(links.unionByName(block_links(rows, sets)).distinct(), "line-links", spark)
         labels = components(links)
     return labels
 
 
-def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of lines (a, b, …) whose whole sets are similar."""
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b"))
+    return both.filter(similar(F.col("left"), F.col("right"))).drop("left", "right")
+
+
+def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between all linked components of the open buckets, (a, b); a component stands in them as its smallest node.
 
-    A bucket's classes are dealt to blocks; a row holds two blocks and compares them inside array functions. The arrays
-    have at most about ``BLOCK`` members each, whatever the bucket's size. Bitmaps rule most pairs out without loss.
+    A bucket's classes are dealt to blocks; a row holds the numbers and bitmaps of two blocks' lines and compares these inside
+    array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. Pairs that the bitmaps
+    do not rule out, which they do without loss, are confirmed on whole sets, once for all buckets that hold them.
     """
+    spark = rows.sparkSession
+    maps = written(bitmaps(sets.join(rows.select("node").distinct(), "node", "left_semi")), "line-maps", spark)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("mine"))
-    spread = (dealt.select("key", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-              .join(texts, "node")
-              .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"),
-                      F.struct("node", "component", "mine", "norm").alias("member")))
+    spread = (dealt.join(maps, "node")
+              .select("key", F.struct("node", "component", "mine", "n", *[f"b{k}" for k in range(MAPS)]).alias("member"),
+                      "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+              .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "member"))
     groups = spread.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
-    sets = groups.select("i", "j", F.transform("members", lambda m: F.struct(
-        m["node"].alias("node"), m["component"].alias("component"), m["mine"].alias("mine"),
-        shingle_hashes(m["norm"]).alias("hashes"))).alias("members"))
-    ready = sets.select("i", "j", F.transform("members", lambda m: F.struct(
-        m["node"].alias("node"), m["component"].alias("component"), m["mine"].alias("mine"), m["hashes"].alias("hashes"),
-        F.size(m["hashes"]).alias("n"), *[bitmap(m["hashes"], k).alias(f"b{k}") for k in range(MAPS)])).alias("members"))
+
     def of(side: str) -> Column:
         return F.filter("members", lambda m: m["mine"] == F.col(side)).alias(f"of_{side}")
 
-    sides = ready.select((F.col("i") == F.col("j")).alias("same"), of("i"), of("j"))
+    def pair(x: Column, y: Column) -> Column:
+        higher = x["node"] > y["node"]
+        end = lambda a, b, field: F.when(higher, a[field]).otherwise(b[field])
+        return F.struct(end(x, y, "node").alias("a"), end(y, x, "node").alias("b"),
+                        end(x, y, "component").alias("of_a"), end(y, x, "component").alias("of_b"))
+
+    sides = groups.select((F.col("i") == F.col("j")).alias("same"), of("i"), of("j"))
     pairs = F.flatten(F.transform("of_i", lambda x: F.transform(F.filter("of_j", lambda y: (
-        (x["component"] != y["component"]) & (~F.col("same") | (x["node"] < y["node"])) & may_be_similar(x, y)
-        & similar(x["hashes"], y["hashes"]))), lambda y: F.struct(F.greatest(x["component"], y["component"]).alias("a"), F.least(x["component"], y["component"]).alias("b")))))
-    return sides.select(F.inline(F.array_distinct(pairs))).distinct()
+        (x["component"] != y["component"]) & (~F.col("same") | (x["node"] < y["node"])) & may_be_similar(x, y))), lambda y: pair(x, y))))
+    possible = written(sides.select(F.inline(pairs)).distinct(), "line-pairs", spark)
+    return confirmed(possible, sets).select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b")).distinct()
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc, text_key, at) of every line that goes: all of a component but its first by (doc, text_key, at)."""
-    own = lines(docs).select("doc", "text_key", "at", "node")
-    labels = linked_lines(docs)
+    whole = written(lines(docs), "lines", docs.sparkSession)  # texts are cut and hashed once
+    own = whole.select("doc", "text_key", "at", "node")
+    labels = linked_lines(whole)
     own = own.withColumn("component", F.col("node")) if labels is None else with_components(own, labels)
     # Most lines are alone: the smallest id and the count need numbers only, and what follows sees repeated lines alone.
     first = own.groupBy("component").agg(F.min("doc").alias("keep_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")

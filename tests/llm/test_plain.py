@@ -67,6 +67,7 @@ def test_bpe_equals_the_library(spark):
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] if os.path.isdir(SF) else ODD
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert rows == {r["doc_id"]: r for r in bpe.round_trip(docs, path).collect()}
     for i, text in enumerate(texts):
         want = library.encode(text, add_special_tokens=False).ids
         assert rows[i]["ids"] == want and rows[i]["text"] == library.decode(want, skip_special_tokens=False), text[:40]
@@ -88,11 +89,11 @@ def test_forced_cuts_change_nothing():
 # --- near duplicates and lines
 
 
-def near_classes(rows):
+def near_classes(rows, size=4):
     sets = {}
     for i, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[i] = frozenset(" ".join(words[k:k + 4]) for k in range(max(1, len(words) - 3))) if words else frozenset()
+        sets[i] = frozenset(" ".join(words[k:k + size]) for k in range(max(1, len(words) - size + 1))) if words else frozenset()
     ids = sorted(sets)
     links = [(a, b) for k, b in enumerate(ids) for a in ids[:k]
              if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -148,25 +149,6 @@ def test_sketches_fill_every_coordinate_and_estimate():
     assert all((x == y).all() for x, y in zip(alone, got))
 
 
-def line_verdict(rows):
-    def shingles(norm):
-        starts = [m.start() + k for m in re.finditer(r"\S+", norm, re.ASCII) for k in range(0, len(m[0]), linedup.SHINGLE)]
-        return frozenset(norm[k:k + linedup.SHINGLE] for k in starts)
-
-    found = [(i, at, line.strip(" \t\r\v\f").lower()) for i, text in rows if text for at, line in enumerate(text.split("\n"))
-             if line.strip(" \t\r\v\f")]
-    norms = sorted({n for _, _, n in found})
-    sets = {n: shingles(n) for n in norms}
-    links = [(a, b) for k, b in enumerate(norms) for a in norms[:k] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    label = union_find(links, norms)
-    seen, gone = set(), {}
-    for i, at, n in sorted(found):
-        if label[n] in seen:
-            gone.setdefault(i, []).append(at)
-        seen.add(label[n])
-    return gone
-
-
 @pytest.mark.parametrize("progress", [linedup.PROGRESS, 2.0])
 def test_line_dedup_equals_all_pairs(spark, monkeypatch, progress):
     monkeypatch.setattr(linedup, "PROGRESS", progress)
@@ -183,10 +165,10 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, progress):
         assert kept[i] == (text and "\n".join(line for at, line in enumerate(text.split("\n")) if at not in want.get(i, [])))
 
 
-def whole_line_verdict(rows):
-    """As ``line_verdict``, with every run of characters as a shingle."""
+def line_verdict(rows):
+    """Numbers of the lines that go, by document; every run of characters is a shingle, every pair of lines compared."""
     size = linedup.SHINGLE
-    found = [(i, at, line.strip(" \t\r\v\f").lower()) for i, text in rows for at, line in enumerate(text.split("\n"))
+    found = [(i, at, line.strip(" \t\r\v\f").lower()) for i, text in rows if text for at, line in enumerate(text.split("\n"))
              if line.strip(" \t\r\v\f")]
     sets = {n: frozenset(n[k:k + size] for k in range(max(1, len(n) - size + 1))) for _, _, n in found}
     norms = sorted(sets)
@@ -210,7 +192,7 @@ def test_line_dedup_takes_every_run_of_characters(spark, monkeypatch, progress):
     prose = [t for _, t in near_texts(9, groups=3, members=20) if t]
     lines = unspaced + near + prose + ["a\U0001F642" * 30, "b" + "a\U0001F642" * 30, "short", "x"]
     rows = [(i, "\n".join(lines[i * 3:i * 3 + 3])) for i in range(-(-len(lines) // 3))]
-    want = whole_line_verdict(rows)
+    want = line_verdict(rows)
     assert sum(map(len, want.values())) >= len(near)
     got = {r["doc_id"]: r["removed"] for r in linedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
     assert got == {i: ",".join(map(str, v)) for i, v in want.items()}
@@ -424,12 +406,13 @@ def test_pipeline(spark):
         rows, before = after.collect(), docs.collect()
         ids = {r["doc_id"] for r in rows}
         if name == "near_dedup":
-            want = near_classes([(r["doc_id"], r["text"]) for r in before])
+            want = near_classes([(r["doc_id"], r["text"]) for r in before], corpus_pipeline.NEAR_WORDS)
             assert ids == {i for i, (_, c) in want.items() if i == c}
         if name == "line_dedup":
             gone = line_verdict([(r["doc_id"], r["text"]) for r in before])
             assert {r["doc_id"]: r["text"] for r in rows} == {r["doc_id"]: "\n".join(
                 line for at, line in enumerate(r["text"].split("\n")) if at not in gone.get(r["doc_id"], [])) for r in before}
+            assert all(r["n_chars"] == len(r["text"]) for r in rows)
         docs = spark.createDataFrame(rows, docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in docs.collect()}

@@ -6,6 +6,7 @@ digests of the tokens. Texts change in ``line_dedup`` (repeated lines go), docum
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runloom.llm import decontam, linedup, neardup, rules
 from runloom.llm.queries import TOKENIZER, table, token_digests
@@ -21,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are near copies of an earlier line."""
-    return linedup.drop_repeated(docs)
+    """Texts without the lines that are near copies of an earlier line; n_chars counts what is left."""
+    return linedup.drop_repeated(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

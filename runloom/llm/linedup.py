@@ -89,8 +89,9 @@ def similar(a: Column, b: Column) -> Column:
     return (100 + PERCENT) * F.size(F.array_intersect(a, b)).cast("long") >= PERCENT * (F.size(a) + F.size(b))
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
+def bitmaps(texts: DataFrame) -> DataFrame:
     """(node, n, b0, …): the size of each line's set and its bitmap, one bit for each hash."""
+    sets = texts.select("node", shingle_hashes(F.col("norm")).alias("hashes"))
     h = F.col("h")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     slot = F.shiftright(h, 6).bitwiseAND(F.lit(MAPS - 1))
@@ -98,10 +99,13 @@ def bitmaps(sets: DataFrame) -> DataFrame:
         *[F.bit_or(F.when(slot == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(MAPS)])
 
 
+def bits_apart(x: Column, y: Column) -> Column:
+    return sum((F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(1, MAPS)), F.bit_count(x["b0"].bitwiseXOR(y["b0"])))
+
+
 def may_be_similar(x: Column, y: Column) -> Column:
     """False only for sets that cannot reach the limit: every bit in which their bitmaps differ is an element of one only."""
-    apart = sum((F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(1, MAPS)), F.bit_count(x["b0"].bitwiseXOR(y["b0"])))
-    return (100 + PERCENT) * apart <= (100 - PERCENT) * (x["n"] + y["n"])
+    return (100 + PERCENT) * bits_apart(x, y) <= (100 - PERCENT) * (x["n"] + y["n"])
 
 
 def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -137,9 +141,8 @@ def linked_lines(own: DataFrame) -> DataFrame | None:
     buckets = written(keys.join(small_side(shared, n_shared), "key"), "line-buckets", spark)
     candidates = written(buckets.select("node").distinct(), "line-candidates", spark)
     wanted = small_side(candidates, candidates.count())
-    texts = own.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.max("norm").alias("norm"))
-    # The set of a line is built once, however many buckets hold the line.
-    sets = written(texts.select("node", shingle_hashes(F.col("norm")).alias("hashes")), "line-sets", spark)
+    texts = written(own.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.max("norm").alias("norm")), "line-texts", spark)
 
     links, labels = None, None
     rows = written(open_rows(buckets, labels), "line-open", spark)
@@ -150,7 +153,7 @@ def linked_lines(own: DataFrame) -> DataFrame | None:
         pairs = rows.groupBy("node").agg(F.min(F.struct(rank.alias("rank"), "other")).alias("best")).select(
             "node", F.col("best.other").alias("other")).select(
             F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        found = confirmed(pairs, sets).select("a", "b")
+        found = confirmed(pairs, texts)
         links = written(found if links is None else links.unionByName(found), "line-links", spark)
         labels = components(links)
         rows = written(open_rows(rows, labels), "line-open", spark)
@@ -158,27 +161,37 @@ def linked_lines(own: DataFrame) -> DataFrame | None:
         if before - n_open < PROGRESS * before:
             break
     if n_open:
-        links = written(links.unionByName(block_links(rows, sets)).distinct(), "line-links", spark)
+        pairs = written(block_pairs(rows, texts), "line-pairs", spark)
+        # One pair for each two components first, the one of the closest bitmaps: most pairs then lie within one component.
+        first = pairs.groupBy("of_a", "of_b").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
+        links = written(links.unionByName(confirmed(first, texts)), "line-links", spark)
+        labels = components(links)
+        at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}"))
+        rest = (pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
+                .filter(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"))
+        links = written(links.unionByName(confirmed(rest, texts)), "line-links", spark)
         labels = components(links)
     return labels
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of lines (a, b, …) whose whole sets are similar."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b"))
-    return both.filter(similar(F.col("left"), F.col("right"))).drop("left", "right")
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of lines (a, b) whose whole sets are similar."""
+    return (pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("left")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("norm").alias("right")), "b")
+            .select("a", "b", shingle_hashes(F.col("left")).alias("left"), shingle_hashes(F.col("right")).alias("right"))
+            .filter(similar(F.col("left"), F.col("right"))).select("a", "b"))
 
 
-def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between all linked components of the open buckets, (a, b); a component stands in them as its smallest node.
+def block_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in the open buckets that their bitmaps do not rule out, with these (of_a, of_b).
 
     A bucket's classes are dealt to blocks; a row holds the numbers and bitmaps of two blocks' lines and compares these inside
-    array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. Pairs that the bitmaps
-    do not rule out, which they do without loss, are confirmed on whole sets, once for all buckets that hold them.
+    array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. A line's bitmap is
+    built once, however many buckets hold the line, and a pair comes out once.
     """
     spark = rows.sparkSession
-    maps = written(bitmaps(sets.join(rows.select("node").distinct(), "node", "left_semi")), "line-maps", spark)
+    nodes = written(rows.select("node").distinct(), "line-open-nodes", spark)
+    maps = written(bitmaps(texts.join(small_side(nodes, nodes.count()), "node", "left_semi")), "line-maps", spark)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("mine"))
     spread = (dealt.join(maps, "node")
@@ -191,16 +204,14 @@ def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
         return F.filter("members", lambda m: m["mine"] == F.col(side)).alias(f"of_{side}")
 
     def pair(x: Column, y: Column) -> Column:
-        higher = x["node"] > y["node"]
-        end = lambda a, b, field: F.when(higher, a[field]).otherwise(b[field])
-        return F.struct(end(x, y, "node").alias("a"), end(y, x, "node").alias("b"),
-                        end(x, y, "component").alias("of_a"), end(y, x, "component").alias("of_b"))
+        higher, by_component = x["node"] > y["node"], [x["component"], y["component"]]
+        return F.struct(F.when(higher, x["node"]).otherwise(y["node"]).alias("a"), F.when(higher, y["node"]).otherwise(x["node"]).alias("b"),
+                        F.greatest(*by_component).alias("of_a"), F.least(*by_component).alias("of_b"), bits_apart(x, y).alias("apart"))
 
     sides = groups.select((F.col("i") == F.col("j")).alias("same"), of("i"), of("j"))
     pairs = F.flatten(F.transform("of_i", lambda x: F.transform(F.filter("of_j", lambda y: (
         (x["component"] != y["component"]) & (~F.col("same") | (x["node"] < y["node"])) & may_be_similar(x, y))), lambda y: pair(x, y))))
-    possible = written(sides.select(F.inline(pairs)).distinct(), "line-pairs", spark)
-    return confirmed(possible, sets).select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b")).distinct()
+    return sides.select(F.inline(pairs)).distinct()
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ minima over independent hashes of its shingles; classes that share a band are ca
 100 * intersection >= PERCENT * union of the whole shingle sets. A pair at the limit is missed with probability
 (1 - 0.8^2)^8 < 3e-4, one of similarity 0.9 with 2e-6.
 
-Star rounds check every class against one other class of its buckets and contract what they confirm. Buckets that still
+Star rounds check every class against one drawn class of each of its buckets and contract what they confirm. Buckets that still
 hold several components are then checked in full, in blocks of ``BLOCK`` x ``BLOCK`` classes, first by bitmaps of the sets,
 which rule pairs out without loss, then by the whole sets, each built once. A distributed union-find names the components, and of each component the first line by (doc_id, line number) stays.
 
@@ -27,10 +27,10 @@ SHINGLE = 12
 #: A band is the two halves of one 64-bit hash.
 BANDS, ROWS = 8, 2
 BLOCK = 256
-#: 64-bit words of a set's bitmap.
-MAPS = 8
+#: 64-bit words of a set's bitmap; with fewer, sets of some hundred shingles would fill it and rule nothing out.
+MAPS = 32
 #: Star rounds go on while they remove at least this share of the components in open buckets.
-PROGRESS = 0.5
+PROGRESS = 0.03
 LAST = (1 << 63) - 1
 
 
@@ -114,11 +114,16 @@ def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def open_rows(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of buckets with more than one component: key, node, component, size, and a node of another component."""
+def open_rows(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Rows of buckets with more than one component: key, node, component, size, and a node of another component.
+
+    The nodes compared with are two components of the bucket, drawn anew in every turn; most members of a large group of near
+    copies so meet one of that group, whatever else the bucket holds.
+    """
     own = with_components(buckets.select("key", "node"), labels)
-    ends = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    # A component is named by one of its nodes, so the smallest and the largest component are nodes to compare with.
+    # A component is named by one of its nodes, so the drawn components are nodes to compare with.
+    drawn = F.struct(F.xxhash64(F.lit(turn), "key", "component").alias("by"), "component")
+    ends = own.groupBy("key").agg(F.min(drawn)["component"].alias("low"), F.max(drawn)["component"].alias("high"), F.count("*").alias("size"))
     return own.join(ends.filter(F.col("low") != F.col("high")), "key").select(
         "key", "node", "component", "size", F.when(F.col("component") != F.col("low"), F.col("low")).otherwise(F.col("high")).alias("other"))
 
@@ -144,24 +149,26 @@ def linked_lines(own: DataFrame) -> DataFrame | None:
     texts = written(own.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(
         F.max("norm").alias("norm")), "line-texts", spark)
 
-    links, labels = None, None
-    rows = written(open_rows(buckets, labels), "line-open", spark)
-    n_open, turn = open_components(rows), 0
+    # A line's bitmap is built once, however many buckets hold the line.
+    maps = written(bitmaps(texts), "line-maps", spark)
+    links, labels, turn = None, None, 0
+    rows = written(open_rows(buckets, labels, turn), "line-open", spark)
+    n_open = open_components(rows)
     while n_open:
-        rank = F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "key")
         turn += 1
-        pairs = rows.groupBy("node").agg(F.min(F.struct(rank.alias("rank"), "other")).alias("best")).select(
-            "node", F.col("best.other").alias("other")).select(
-            F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        found = confirmed(pairs, texts)
+        pairs = rows.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        possible = (pairs.join(maps.select(F.struct("*").alias("x")), F.col("a") == F.col("x.node"))
+                    .join(maps.select(F.struct("*").alias("y")), F.col("b") == F.col("y.node"))
+                    .filter(may_be_similar(F.col("x"), F.col("y"))).select("a", "b"))
+        found = confirmed(possible, texts)
         links = written(found if links is None else links.unionByName(found), "line-links", spark)
         labels = components(links)
-        rows = written(open_rows(rows, labels), "line-open", spark)
+        rows = written(open_rows(rows, labels, turn), "line-open", spark)
         before, n_open = n_open, open_components(rows)
         if before - n_open < PROGRESS * before:
             break
     if n_open:
-        pairs = written(block_pairs(rows, texts), "line-pairs", spark)
+        pairs = written(block_pairs(rows, maps), "line-pairs", spark)
         # One pair for each two components first, the one of the closest bitmaps: most pairs then lie within one component.
         first = pairs.groupBy("of_a", "of_b").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
         links = written(links.unionByName(confirmed(first, texts)), "line-links", spark)
@@ -182,16 +189,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .filter(similar(F.col("left"), F.col("right"))).select("a", "b"))
 
 
-def block_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def block_pairs(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in the open buckets that their bitmaps do not rule out, with these (of_a, of_b).
 
     A bucket's classes are dealt to blocks; a row holds the numbers and bitmaps of two blocks' lines and compares these inside
-    array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. A line's bitmap is
-    built once, however many buckets hold the line, and a pair comes out once.
+    array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. A pair comes out once.
     """
-    spark = rows.sparkSession
-    nodes = written(rows.select("node").distinct(), "line-open-nodes", spark)
-    maps = written(bitmaps(texts.join(small_side(nodes, nodes.count()), "node", "left_semi")), "line-maps", spark)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("mine"))
     spread = (dealt.join(maps, "node")

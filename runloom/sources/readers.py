@@ -6,18 +6,26 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.names import file_stem, parent_name
 from runloom.functions.resources import job_state
 from runloom.plans.ordering import top_per_group
+from runloom.session import shared_dir
 
 FILE_PATH = "_metadata.file_path"
 FILE_TIME = "_metadata.file_modification_time"
 
 
+def written(df: DataFrame, label: str, spark: SparkSession) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = shared_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _texts(spark: SparkSession, path: str, whole: bool, glob: str | None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if glob:
@@ -122,24 +130,77 @@ def read_eval_rows(spark: SparkSession, path: str, schema: str | T.StructType, n
     return rows.withColumn("dir_name", dir_of(F.col("path"), partition_key)).drop("path")
 
 
+#: Files whose headers are sent to all tasks; more are joined by path.
+BROADCAST_HEADERS = 100_000
+
+
+def _csv_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, start, line, value): the lines of CSV files with the place of their split in the file and in the order of the scan."""
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(path))
+    return lines.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def _odd_quotes(value: Column) -> Column:
+    return (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2
+
+
+def _csv_records(lines: DataFrame) -> DataFrame:
+    """(path, value): the lines put together where a quoted value goes over several.
+
+    A record begins where the quotes before it in the file are even. They are summed up in every split, and the sums of the
+    splits before it, a row for each split, are added.
+    """
+    odd = lines.withColumn("odd", _odd_quotes(F.col("value")))
+    upto = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    inside = odd.withColumn("own", F.coalesce(F.sum("odd").over(upto), F.lit(0)))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = odd.groupBy("path", "start").agg(F.sum("odd").alias("n")).select(
+        "path", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.struct("start", "line")
+    marked = inside.join(splits, ["path", "start"]).withColumn("begin", F.when((F.col("own") + F.col("before")) % 2 == 0, place))
+    last = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ends = marked.groupBy("path", "start").agg(F.max("begin").alias("end")).select(
+        "path", "start", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    owned = marked.withColumn("record", F.last("begin", ignorenulls=True).over(last)).join(ends, ["path", "start"]).select(
+        "path", F.coalesce("record", "carried").alias("record"), F.struct("start", "line", "value").alias("piece"))
+    pieces = owned.groupBy("path", "record").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return pieces.select("path", F.array_join(F.transform("pieces", lambda p: p["value"]), "\n").alias("value"))
+
+
 def read_eval_rows_mixed(spark: SparkSession, path: str, columns: Sequence[str], token: str = "token",
                          newest_only: bool = True, partition_key: str | None = None, glob: str = "*.csv") -> DataFrame:
     """The same for CSVs whose headers differ: columns are matched by name per file, absent ones NULL.
 
-    A file is one row until its lines are exploded, as its header has to meet each of them; use :func:`read_eval_rows`
-    where one header fits all. Quoted values may hold commas, not line breaks.
+    The first line of each file is its header; these make a small table that meets the lines by path, so files are split over
+    tasks like any text. Values follow the rules of quoted CSV; a quoted value may hold commas and line breaks. Only lines of
+    files with a value over several lines are brought in order again.
     """
-    files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-             .select(file_path().alias("path"), F.split("value", "\r?\n").alias("_lines")))
+    lines = _csv_lines(spark, path, glob)
     if newest_only:
-        files = files.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
-
-    def cells(line: Column) -> Column:
-        return F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1),
-                           lambda x: F.replace(F.regexp_replace(x, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-
-    rows = (files.select("path", cells(F.get("_lines", F.lit(0))).alias("_names"), F.explode(F.slice("_lines", 2, 1 << 30)).alias("_line"))
-            .filter("_line <> ''").select("path", "_names", cells(F.col("_line")).alias("_cells")))
+        lines = lines.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
+    first = lines.filter(F.col("start") == 0).groupBy("path").agg(F.min(F.struct("line", "value")).alias("h"))
+    # Which files have values over several lines comes from the same scan of all lines.
+    torn = lines.groupBy("path").agg(F.max(_odd_quotes(F.col("value"))).alias("torn"))
+    headers = first.join(torn, "path").select("path", F.col("h.line").alias("header_line"), F.col("h.value").alias("header"), "torn")
+    own = written(headers, "csv-headers", spark)
+    facts = own.agg(F.count("*").alias("files"), F.max("torn").alias("torn"), F.max(
+        F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))).alias("commas")).first()
+    width = (facts["commas"] or 0) + 1
+    schema, options = ", ".join(f"c{k} string" for k in range(width)), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+    def cells(line: str) -> Column:
+        parsed = F.from_csv(line, F.lit(schema), options)
+        return F.array(*[parsed[f"c{k}"] for k in range(width)])
+
+    names = own.select("path", "header_line", "torn", cells("header").alias("_names"))
+    met = lines.join(F.broadcast(names) if facts["files"] <= BROADCAST_HEADERS else names, "path")
+    body = met.filter(F.col("line") != F.col("header_line"))
+    records = body.filter("torn = 0").select("path", "_names", "value")
+    if facts["torn"]:
+        whole = _csv_records(body.filter("torn = 1").select("path", "start", "line", "value"))
+        records = records.unionByName(whole.join(names.select("path", "_names"), "path"))
+    rows = records.filter("value <> ''").select("path", "_names", cells("value").alias("_cells"))
 
     def named(name: str) -> Column:
         at = F.array_position("_names", F.lit(name))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.operators.attempts import build_summaries
-from runloom.operators.runs import skip_stored
+from runloom.operators.attempts import PARTIAL, build_summaries, finish_summaries, merge_partials, partial_summaries
+from runloom.operators.runs import run_records, skip_stored
+from runloom.sources.keyed import KeyedTable, replaced
 
 
 def _folder(batch: DataFrame, path: str, batch_id: int) -> tuple[str, Column]:
@@ -71,3 +72,68 @@ def current_summaries(summaries: DataFrame, group: str = "attempt_group_id") ->
     others = [c for c in summaries.columns if c not in (group, "query", "batch")]
     latest = F.max_by(F.struct(*others), F.struct("updated_at", "batch"))
     return summaries.groupBy(group).agg(latest.alias("_s")).select(group, "_s.*")
+
+
+#: Results of evaluation directories, and the key of the run that a directory belongs to.
+DIRECTORIES = "exp_id string, stamp string, scope string, dir_name string, job_id string, score double, scenarios long"
+RUN_KEY = ["exp_id", "stamp"]
+
+
+def _commit_name(batch: DataFrame, batch_id: int) -> str:
+    """A name that a repeated batch of the same query has again."""
+    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+    return f"{query_id}-{batch_id}"
+
+
+def harvest_directories(stream: DataFrame, to_directories: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Runs from directory results that may arrive in any order and in any batches.
+
+    Results are kept by directory, a later one replacing an earlier one of the same directory. The runs (experiment, stamp)
+    that a batch touches are derived anew from all their directories, and only the buckets of such runs are read and written.
+    """
+    spark = stream.sparkSession
+    directories = KeyedTable(spark, f"{path}/directories", DIRECTORIES, RUN_KEY)
+
+    def newest(before: DataFrame, delta: DataFrame) -> DataFrame:
+        return replaced(before, delta.dropDuplicates([*RUN_KEY, "dir_name"]), [*RUN_KEY, "dir_name"])
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        name = _commit_name(batch, batch_id)
+        found = to_directories(batch).select(*directories.schema.names)
+        touched = directories.commit(name, found, newest)
+        keys = found.select(*RUN_KEY).distinct()
+        derived = run_records(directories.rows(touched).join(keys, RUN_KEY, "left_semi"))
+        KeyedTable(spark, f"{path}/runs", derived.schema, RUN_KEY).commit(name, derived, lambda before, delta: replaced(before, delta, RUN_KEY))
+
+    (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def harvested_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The current run records of ``harvest_directories``."""
+    schema = run_records(spark.createDataFrame([], DIRECTORIES)).schema
+    return KeyedTable(spark, f"{path}/runs", schema, RUN_KEY).rows()
+
+
+def _partials(spark: SparkSession, path: str, seq: str, group: str) -> KeyedTable:
+    return KeyedTable(spark, path, f"{group} string, {PARTIAL.format(seq=seq)}", [group])
+
+
+def fold_summaries(stream: DataFrame, path: str, checkpoint: str, group: str = "attempt_group_id", seq: str = "seq", **columns: str) -> None:
+    """Keep the partial summary of every group; a batch is summed up and merged into those of the groups it touches.
+
+    No stored run is read again. The table at ``path`` belongs to one progress folder: a stream started anew counts anew.
+    """
+    table = _partials(stream.sparkSession, path, stream.schema[seq].dataType.simpleString(), group)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        delta = partial_summaries(batch, seq=seq, group=group, **columns)
+        table.commit(_commit_name(batch, batch_id), delta, lambda before, new: merge_partials(before, new, group))
+
+    (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def folded_summaries(spark: SparkSession, path: str, group: str = "attempt_group_id", seq: str = "bigint") -> DataFrame:
+    """The current summaries of ``fold_summaries``."""
+    return finish_summaries(_partials(spark, path, seq, group).rows(), group)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators import attempts
 from runloom.session import shared_dir
-from runloom.sources import changelog, exports, external, readers
+from runloom.sources import changelog, documents, exports, external, keyed, readers
 from runloom.streaming import follow, harvest, telemetry
 
 yaml = pytest.importorskip("yaml")
@@ -54,6 +55,25 @@ def test_csvs_with_different_headers(spark, tmp_path):
     assert sorted((r["dir_name"], r["token"], r["score"], r["nc"]) for r in rows) == [("a", "x", 0.5, -1.0), ("a", "y", -1.0, -1.0), ("b", "z", -1.0, 0.25)]
 
 
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_quoted_line_breaks_stay_in_their_values(spark, tmp_path, split):
+    long = "\n".join(f'part {k}, "" it' for k in range(30))
+    write(tmp_path / "a" / "r.csv", f'score,token\n1.5,"x\ny"\n2.5,plain\n3.5,"{long}"\n\n4.5,"say ""hi"", ok"\r\n')
+    write(tmp_path / "b" / "r.csv", "token,extra,nc\nz,1,0.25\ntoken,extra,nc\n")
+    write(tmp_path / "c" / "empty.csv", "")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = readers.read_eval_rows_mixed(spark, str(tmp_path), ["score", "nc"])
+        rows = sorted((r["dir_name"], r["token"], r["score"], r["nc"]) for r in df.fillna(-1.0).collect())
+        assert df.rdd.getNumPartitions() >= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == sorted([("a", "x\ny", 1.5, -1.0), ("a", "plain", 2.5, -1.0), ("a", long.replace('""', '"'), 3.5, -1.0),
+                           ("a", 'say "hi", ok', 4.5, -1.0), ("b", "z", -1.0, 0.25), ("b", "token", -1.0, -1.0)])
+    assert readers.read_eval_rows_mixed(spark, str(tmp_path / "c"), ["score"]).count() == 0
+
+
 def test_inventory_queue_telemetry(spark, tmp_path):
     write(tmp_path / "d 1" / "x.ckpt", "12345", 1_000_000)
     row = readers.list_files(spark, str(tmp_path), "*.ckpt").first()
@@ -98,6 +118,51 @@ def test_change_log_equals_dict_updates(spark):
     assert {r["key"]: r["created_at"] for r in view} == created
 
 
+def test_documents_from_base_and_deltas_equal_dict_updates(spark, tmp_path):
+    rng = random.Random(4)
+    docs, created, updated, schema = {}, {}, {}, "key string, op string, doc string, seq int, ts int"
+    table = documents.DocumentTable(spark, str(tmp_path / "docs"), time="int", buckets=8)
+    assert table.current().count() == 0
+    for part in range(4):
+        log = []
+        for seq in range(part * 100, part * 100 + 100):
+            key, op = rng.choice(["hot", "hot", "a", "b", "c", f"k{rng.randrange(20)}"]), rng.choice(["put", "patch", "patch", "delete"])
+            doc = {rng.choice("xyz"): seq, "n": {"deep": seq}} if rng.random() < 0.8 else {}
+            log.append((key, op, None if op == "delete" else str(doc).replace("'", '"'), seq, seq))
+            if op == "delete":
+                docs.pop(key, None), created.pop(key, None), updated.pop(key, None)
+            else:
+                docs[key] = dict(doc) if op == "put" else {**docs.get(key, {}), **doc}
+                created.setdefault(key, seq)
+                updated[key] = seq
+        rng.shuffle(log)
+        table.apply(f"part-{part}", spark.createDataFrame(log, schema))
+        if part == 1:  # a repeated commit changes nothing
+            table.apply("part-1", spark.createDataFrame(log, schema))
+        view = table.current().collect()
+        assert {r["key"]: {k: eval(v) for k, v in r["doc"].items()} for r in view} == docs
+        assert {r["key"]: (r["created_at"], r["updated_at"]) for r in view} == {k: (created[k], updated[k]) for k in docs}
+    rewritten = table.apply("one", spark.createDataFrame([("hot", "put", '{"x": 1}', 999, 999), (None, "put", "{}", 1000, 1000)], schema))
+    assert len(rewritten) == 1 and table.current().filter("key = 'hot'").first()["doc"] == {"x": "1"}
+    assert table.current().count() == len({*docs, "hot"})
+    table.apply("gone", spark.createDataFrame([(k, "delete", None, 2000, 2000) for k in {*docs, "hot"}], schema))
+    assert table.current().count() == 0
+
+
+def test_keyed_table_reads_only_wanted_buckets(spark, tmp_path):
+    table = keyed.KeyedTable(spark, str(tmp_path / "t"), "k string, v int", ["k"], buckets=16)
+    rows = lambda items: spark.createDataFrame(items, "k string, v int")
+    put = lambda before, delta: keyed.replaced(before, delta, ["k"])
+    table.commit("1", rows([(f"k{i}", i) for i in range(50)] + [(None, 7)]), put)
+    (bucket,) = table.commit("2", rows([("k3", 300)]), put)
+    assert {r["k"]: r["v"] for r in table.rows().collect()} == {**{f"k{i}": i for i in range(50)}, None: 7, "k3": 300}
+    read = table.rows([bucket])
+    found = {r[0] for r in read.select(F.input_file_name()).distinct().collect()}
+    assert found and all(f"version=2/bucket={bucket}/" in f for f in found)
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", read._jdf.queryExecution().executedPlan().toString())[1]
+    assert "version" in filters and "bucket" in filters
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([("e", "done", '{"m": {"a": 1}}')], "exp_id string, status string, doc string")
     assert exports.export_csv(df, str(tmp_path / "c"), ["exp_id", "m.a"])
@@ -158,6 +223,41 @@ def test_summaries_follow_the_runs(spark, tmp_path):
     go()
 
 
+def test_runs_do_not_depend_on_the_arrival_of_their_directories(spark, tmp_path):
+    schema, source = harvest.DIRECTORIES, str(tmp_path / "in")
+    row = lambda exp, stamp, scope, score, n: (exp, stamp, scope, f"{exp}_eval_t_{scope}_{stamp}", None, score, n)
+    batches = [[row("E", "1", "a", 0.5, 10), row("F", "1", "a", 0.3, 5)], [row("E", "1", "b", 0.9, 30)],
+               [row("E", "2", "a", 0.1, 1), row("E", "1", "a", 0.7, 20), row("E", "2", "a", 0.1, 1)]]
+
+    def go(progress):
+        stream = spark.readStream.schema(schema).parquet(source)
+        harvest.harvest_directories(stream, lambda batch: batch, str(tmp_path / "out"), str(tmp_path / progress))
+        return {(r["exp_id"], r["stamp"]): (round(r["avg_score"], 6), r["total_scenarios"]) for r in harvest.harvested_runs(spark, str(tmp_path / "out")).collect()}
+
+    want = [{("E", "1"): (0.5, 10), ("F", "1"): (0.3, 5)}, {("E", "1"): (0.7, 40), ("F", "1"): (0.3, 5)},
+            {("E", "1"): (0.8, 50), ("F", "1"): (0.3, 5), ("E", "2"): (0.1, 1)}]
+    for rows, runs in zip(batches, want):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        assert go("p") == runs
+    assert go("p") == want[-1]
+
+
+def test_folded_summaries_equal_those_of_all_runs(spark, tmp_path):
+    rng = random.Random(1)
+    schema = "exp_id string, run_id string, avg_score double, attempt_timestamp string, seq int, attempt_group_id string"
+    source, out = str(tmp_path / "in"), str(tmp_path / "sum")
+    for part in range(3):
+        rows = [(f"E{g}", f"r{part}-{i}", rng.choice([None, -1.0, 0.0, 1e6 + rng.random()]), rng.choice([None, "1", "2"]), part * 100 + i, f"g{g}" if g else None)
+                for i in range(40) for g in [rng.randrange(6)]]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        harvest.fold_summaries(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "p"))
+    got = {r["attempt_group_id"]: r.asDict() for r in harvest.folded_summaries(spark, out, seq="int").collect()}
+    want = {r["attempt_group_id"]: r.asDict() for r in attempts.build_summaries(spark.read.schema(schema).parquet(source)).collect()}
+    assert got.keys() == want.keys()
+    for group, row in want.items():
+        assert got[group] == {k: pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for k, v in row.items()}
+
+
 def test_follow_sees_new_files(spark, tmp_path):
     write(tmp_path / "logs" / "a.out", "one\ntwo\n")
 

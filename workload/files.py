@@ -10,6 +10,7 @@ from runloom.operators import records as R
 from runloom.plans.paths import field
 from runloom.session import shared_dir
 from runloom.sources import changelog as L
+from runloom.sources import documents as D
 from runloom.sources import exports as X
 from runloom.sources import readers as S
 from workload.base import c, query, table, text
@@ -290,3 +291,28 @@ def doc_log_round_trip(spark, sf):
     path = shared_dir(spark, "log")
     L.append(change_log(spark, sf), path)
     return _as_row(L.compact(spark.read.parquet(path)))
+
+
+@query(FOLD)
+def doc_base_and_deltas(spark, sf):
+    # The log in three parts by its order: the first makes the base, the others are folded in.
+    log = change_log(spark, sf)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    docs, step = D.DocumentTable(spark, shared_dir(spark, "document-table"), "bigint", log.schema["ts"].dataType.simpleString()), ((high or 0) - (low or 0)) // 3 + 1
+    for part in range(3):
+        docs.apply(f"part-{part}", log.filter(F.floor((c("seq") - (low or 0)) / step) == part))
+    return _as_row(docs.current())
+
+
+@query(f"""SELECT {DIR} AS dir_name, l_orderkey || chr(10) || l_comment || '", x' AS token, l_discount AS score, CASE WHEN l_linenumber > 3 THEN l_tax END AS nc
+  FROM (SELECT *, 'c' || l_partkey AS l_comment FROM lineitem)""")
+def read_csv_quoted(spark, sf):
+    # Tokens with a line break, a quote and a comma; two headers; every directory has several files.
+    path, wide = shared_dir(spark, "quoted"), c("l_linenumber") > 3
+    name = text("E", c("l_linenumber"), "_eval_navtest_", F.lower("l_returnflag"), "_20260101_000000")
+    rows = table(spark, sf, "lineitem").select(name.alias("eval_dir"), wide.alias("wide"), c("l_tax").alias("nc"), c("l_discount").alias("score"),
+                                               text(c("l_orderkey"), "\n", "c", c("l_partkey"), '", x').alias("token"))
+    for is_wide, columns in ((True, ["nc", "token", "score"]), (False, ["score", "token"])):
+        rows.filter(c("wide") == is_wide).select("eval_dir", *columns).write.mode("append").partitionBy("eval_dir") \
+            .option("header", "true").option("escape", '"').csv(path)
+    return S.read_eval_rows_mixed(spark, path, ["score", "nc"], newest_only=False, partition_key="eval_dir")

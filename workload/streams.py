@@ -9,35 +9,37 @@ from runloom.operators import runs as R
 from runloom.session import shared_dir
 from runloom.streaming import follow, harvest, telemetry
 from workload.base import c, exact_average, query, stream_of, table, text
-from workload.runs import ATTEMPTS, RUN_ID, RUNS, SCOPES
+from workload.runs import ATTEMPTS, RUN_ID, RUNS, SCOPES, result_dirs
 
 
-def to_runs(batch):
-    per_day = batch.groupBy("user_id", F.date_format("ts", "yyyyMMdd").alias("day"), "event_type").agg(
-        F.avg(F.when(c("value") > 20, c("value"))).alias("score"), F.count(F.lit(1)).alias("scenarios"), F.min("event_id").alias("first_id"))
-    scope = F.when(c("event_type") != "view", c("event_type"))
-    job = F.when(c("event_type") != "error", c("first_id").cast("string"))
-    name = F.concat_ws("_", text("U", c("user_id"), "_eval_navtest"), scope, c("day"), F.lit("000000"), job)
-    return R.run_records(R.attribute_dirs(per_day.select(name.alias("dir_name"), "score", "scenarios"), SCOPES))
+def in_batches(spark, df, label, *deal):
+    """The rows as files and a stream that takes about a third of the files at a time; ``deal`` says which rows share a file."""
+    path = shared_dir(spark, label)
+    df.repartition(6, *deal).write.parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(path)
 
 
 @query(f"SELECT exp_id, {RUN_ID} AS run_id, round(avg_score, 6) AS avg_score, total_scenarios FROM ({RUNS})")
 def stream_runs(spark, sf):
+    # Directories are dealt by their names, so those of a run come in different batches.
     path, checkpoint = shared_dir(spark, "runs"), shared_dir(spark, "runs-progress")
-    harvest.harvest(stream_of(spark, sf, "events"), to_runs, path, checkpoint)
-    return spark.read.parquet(path).select("exp_id", "run_id", F.round("avg_score", 6).alias("avg_score"), "total_scenarios")
+    dirs = in_batches(spark, result_dirs(spark, sf), "result-dirs", "dir_name")
+    harvest.harvest_directories(dirs, lambda batch: R.attribute_dirs(batch, SCOPES), path, checkpoint)
+    return harvest.harvested_runs(spark, path).select("exp_id", "run_id", F.round("avg_score", 6).alias("avg_score"), "total_scenarios")
 
 
 @query(f"""SELECT attempt_group_id, CAST(count(*) AS BIGINT) AS attempts_count, arg_max(run_id, (t, seq)) AS latest_attempt_id,
-  round(coalesce(avg(CASE WHEN s > 0 THEN s END), 0), 6) AS mean_score FROM ({ATTEMPTS}) GROUP BY 1""")
+  round(coalesce(avg(CASE WHEN s > 0 THEN s END), 0), 6) AS mean_score, round(coalesce(stddev_samp(CASE WHEN s > 0 THEN s END), 0), 6) AS std_score,
+  coalesce(max(CASE WHEN s > 0 THEN round(s, 6) END), 0) AS max_score FROM ({ATTEMPTS}) GROUP BY 1""")
 def stream_summaries(spark, sf):
-    runs, summaries, checkpoint = (shared_dir(spark, n) for n in ("attempts", "summaries", "summaries-progress"))
-    events = stream_of(spark, sf, "events").select(
+    summaries, checkpoint = (shared_dir(spark, n) for n in ("summaries", "summaries-progress"))
+    events = table(spark, sf, "events").select(
         text("U", c("user_id")).alias("exp_id"), text("r", c("event_id")).alias("run_id"), c("event_id").alias("seq"), "event_type",
         (c("value") - 20).alias("avg_score"), F.when(c("event_type") != "error", F.date_format("ts", "yyyyMMdd_HHmmss")).alias("attempt_timestamp"))
-    harvest.materialise_summaries(A.with_group(events, [c("event_type")]), runs, summaries, checkpoint)
-    current = harvest.current_summaries(spark.read.parquet(summaries))
-    return current.select("attempt_group_id", "attempts_count", "latest_attempt_id", F.round("mean_score", 6).alias("mean_score"))
+    harvest.fold_summaries(in_batches(spark, A.with_group(events, [c("event_type")]), "attempts", "run_id"), summaries, checkpoint)
+    current = harvest.folded_summaries(spark, summaries)
+    return current.select("attempt_group_id", "attempts_count", "latest_attempt_id", *[F.round(n, 6).alias(n) for n in ("mean_score", "std_score", "max_score")])
 
 
 @query("""SELECT event_type AS device, strftime(w, '%Y-%m-%d %H:%M') AS window_start, round(sum(value), 2) / count(*) AS avg_value, max(value) AS max_value, CAST(count(*) AS BIGINT) AS samples

@@ -28,8 +28,14 @@ def build_session(app: str = "runloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``, else one below the session's warehouse, which all tasks reach
-    as well. No folder of a single machine is ever chosen here.
+    The folder is the one named by ``spark.checkpoint.dir``, else one below the session's warehouse. A warehouse on a local
+    disk is refused unless the session runs on one machine, as executors elsewhere would not see it.
     """
-    root = spark.conf.get(CHECKPOINT_DIR_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    root = spark.conf.get(CHECKPOINT_DIR_KEY, None)
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        on_disk = warehouse.startswith(("file:", "/"))
+        if on_disk and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR_KEY} to a folder that all executors reach; {warehouse} is on one machine's disk")
+        root = f"{warehouse}/_work"
     return f"{root.rstrip('/')}/runloom/{label}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ The base patterns give the seeds. The one or two words before a seed are a lexic
 identifier-like strings follow it. Tasks hold the patterns if their counted bytes fit; else all words and contexts are
 counted and joined with them, and the same goes for the trusted ones at the end. Spark scores this graph of
 patterns and instances in rounds: a pattern is as good as the share of its occurrences followed by trusted instances, an
-instance as good as its best pattern. Patterns that end above ``LEAST_CONFIDENCE`` mark the identifier-like strings behind
+instance as good, for a pattern, as the best pattern that ends in another word. Patterns that end above ``LEAST_CONFIDENCE`` mark the identifier-like strings behind
 them as personal data. Base spans always stay.
 
 NULL and empty texts have no spans. Empty tables and corpora without seeds have no patterns. Repeated rows count as often
@@ -43,8 +43,6 @@ ROUNDS = 4
 #: Patterns of up to so many bytes, with ``PATTERN_BYTES`` for each besides its text, are sent to the tasks.
 BROADCAST_BYTES = 32_000_000
 PATTERN_BYTES = 300
-#: Characters before an instance that are looked at for its context.
-REACH = 120
 
 
 def luhn(digits: str) -> bool:
@@ -97,8 +95,18 @@ def word_form(word: str) -> str:
 
 def contexts(text: str, start: int) -> list[str]:
     """The patterns before a place: the last word, and the last two."""
-    before = text[max(0, start - REACH):start].split()[-2:]
-    forms = [word_form(w) for w in before]
+    forms: list[str] = []
+    end = start
+    while len(forms) < 2:
+        while end and text[end - 1].isspace():
+            end -= 1
+        if not end:
+            break
+        at = end
+        while at and not text[at - 1].isspace():
+            at -= 1
+        forms.insert(0, word_form(text[at:end]))
+        end = at
     return [" ".join(forms[i:]) for i in range(len(forms) - 1, -1, -1)]
 
 
@@ -212,15 +220,20 @@ def learned(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     matches = graph.groupBy("pattern").agg(F.sum("n").alias("matches"))
     totals = matches.join(edges.filter(F.col("instance") == "").select("pattern", F.col("n").alias("words")), "pattern", "left").select(
         "pattern", F.greatest("matches", F.coalesce("words", F.lit(0))).alias("total"))
-    trust = F.col("known").cast("double")
+    trust, head = F.col("known").cast("double"), F.element_at(F.split("pattern", " "), -1)
     scores = None
     for _ in range(rounds):
         if scores is None:
             trusted = graph.select("pattern", "n", trust.alias("trust"), "instance", "known")
         else:
-            best = graph.join(small_side(scores, n_kept), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-            trusted = graph.join(best, "instance").select(
-                "pattern", "n", F.when(F.col("known"), 1.0).otherwise(F.col("best")).alias("trust"), "instance", "known")
+            # Nothing confirms itself: an instance is trusted for a pattern as far as patterns that end in another word trust
+            # it. "order" and "the order" are seen at the same places, so neither speaks for the other.
+            by_head = graph.join(small_side(scores, n_kept), "pattern").groupBy("instance", head.alias("head")).agg(F.max("score").alias("score"))
+            top = by_head.groupBy("instance").agg(F.max(F.struct("score", "head")).alias("top"))
+            second = by_head.join(top, "instance").filter(F.col("head") != F.col("top.head")).groupBy("instance").agg(F.max("score").alias("second"))
+            others = F.when(F.col("top.head") != head, F.col("top.score")).otherwise(F.coalesce("second", F.lit(0.0)))
+            trusted = graph.join(top, "instance").join(second, "instance", "left").select(
+                "pattern", "n", F.when(F.col("known"), 1.0).otherwise(others).alias("trust"), "instance", "known")
         scores = trusted.groupBy("pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("good")).join(totals, "pattern").select(
             "pattern", (F.col("good") / F.col("total")).alias("score"))
         scores = written(scores, "scores", spark)  # no more rows than patterns

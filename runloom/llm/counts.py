@@ -7,7 +7,8 @@ Totals are the sums over all stored batches. ``compact`` folds them into one and
 batch is final, so committing its id again changes nothing.
 
 NULL sources and languages are groups of their own. NULL texts count as no tokens; a NULL count as 0. Empty batches are
-stored and sum to nothing. Repeated rows within a batch count as often as they occur. Groups whose totals are all zero are
+stored with their ids and sum to nothing; a rollup without batches has no totals. The counts may be of any tokenizer; the
+registered query counts two word rules, as its SQL cannot count BPE tokens. Repeated rows within a batch count as often as they occur. Groups whose totals are all zero are
 left out. Sums are pre-aggregated per task, so a source with a third of all rows is a row per task.
 """
 
@@ -63,24 +64,29 @@ class Rollup:
         if self.folded().filter(F.col("batch") == batch).limit(1).count():
             return
         summed(rows).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        # The id is a row of its own, so that a batch without rows has one, too.
+        self.spark.createDataFrame([(batch,)], "id string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_ids/of={batch}")
+
+    def _stored(self, path: str, schema: str) -> DataFrame:
+        """The table at a path, an empty one before the first commit."""
+        try:
+            return self.spark.read.schema(schema).option("basePath", path).parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all batches."""
-        stored = self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(self.path)
-        return summed(stored).filter((F.col("docs") != 0) | (F.col("tokens") != 0))
+        return summed(self._stored(self.path, self.SCHEMA)).filter((F.col("docs") != 0) | (F.col("tokens") != 0))
 
     def batches(self) -> DataFrame:
-        """The ids of the batches that have rows."""
-        return self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(self.path).select("batch").distinct()
+        """The ids of the batches, those without rows included."""
+        return self._stored(f"{self.path}/_ids", "id string").select(F.col("id").alias("batch")).distinct()
 
     def folded(self) -> DataFrame:
         """The ids of the batches that ``compact`` has folded into this rollup."""
-        try:
-            return self.spark.read.schema("batch string").parquet(f"{self.path}/_folded")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], "batch string")
+        return self._stored(f"{self.path}/_folded", "batch string")
 
     def compact(self, path: str) -> "Rollup":
         """All batches as one batch in a new folder, with their ids beside it."""

@@ -325,6 +325,33 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.learn(docs.limit(0)) == {}
 
 
+def test_a_pattern_does_not_confirm_itself(spark):
+    # Three of ten words behind "order" are addresses; the numbers behind it are seen nowhere else.
+    rng = random.Random(4)
+    ip = lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+    texts = [f"the order {ip()} came" if i % 10 < 3 else f"the order 77-{100000 + i} came" for i in range(200)]
+    texts += [f"from server {ip()} again" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not {"order", "the order"} & set(pii.learn(docs)) and pii.learn(docs)["server"] == "ip"
+    assert not any(r["found"] for r in pii.spans(docs).collect())
+
+
+def test_contexts_take_whole_words():
+    assert pii.contexts("a" * 500 + " b:\t1", 504) == ["b:", "a" * 500 + " b:"]
+    assert pii.contexts(" x", 1) == [] and pii.contexts("", 0) == []
+
+
+def test_rollup_without_batches_and_with_empty_ones(spark, tmp_path):
+    rollup = counts.Rollup(spark, str(tmp_path / "r"))
+    assert rollup.totals().count() == rollup.batches().count() == rollup.folded().count() == 0
+    none = spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
+    rollup.commit("empty", none)
+    assert rollup.totals().count() == 0 and [r[0] for r in rollup.batches().collect()] == ["empty"]
+    small = rollup.compact(str(tmp_path / "s"))
+    small.commit("empty", spark.createDataFrame([("s", "l", "t", 1, 5)], none.schema))
+    assert small.totals().count() == 0
+
+
 def test_toxic_words_of_a_rare_language_are_learned():
     import numpy as np
 

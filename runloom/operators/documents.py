@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runloom.plans.filters import all_of, created_between, matches
 from runloom.plans.ordering import exact_median
-from runloom.plans.paths import field, numeric_field
+from runloom.plans.paths import field, numeric_field, with_parsed
 
 
 def newest_first(df: DataFrame, created: str, key: str) -> DataFrame:
@@ -32,13 +32,10 @@ def search(df: DataFrame, status: str | None = None, partition: str | None = Non
            status_field: str = "status", partition_field: str = "slurm.partition",
            created: str = "created_at", doc: str = "doc", exact: bool = False) -> DataFrame:
     """All given conditions at once; metric bounds and dates are inclusive."""
-    filters = {}
-    if status:
-        filters[status_field] = status
-    if partition:
-        filters[partition_field] = partition
-    bounds = [numeric_field(df, path, doc) >= F.lit(float(v)) for path, v in (min_metric or {}).items()]
-    bounds += [numeric_field(df, path, doc) <= F.lit(float(v)) for path, v in (max_metric or {}).items()]
+    filters = [(path, wanted) for path, wanted in ((status_field, status), (partition_field, partition)) if wanted]
+    filters += [(path, f">={float(v)!r}") for path, v in (min_metric or {}).items()]
+    filters += [(path, f"<={float(v)!r}") for path, v in (max_metric or {}).items()]
+    bounds = []
     if created_after is not None or created_before is not None:
         bounds.append(created_between(df, created, created_after, created_before))
     return df.filter(matches(df, filters, doc, exact) & all_of(bounds))
@@ -136,4 +133,5 @@ def group_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def project_fields(df: DataFrame, paths: Sequence[str], doc: str = "doc") -> DataFrame:
     """Dotted paths as text columns named like the paths."""
-    return df.select(*[field(df, p, "string", doc).alias(p) for p in paths])
+    parsed, value = with_parsed(df, paths, doc)
+    return parsed.select(*[value(p).alias(p) for p in paths])

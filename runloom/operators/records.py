@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import labels
+from runloom.plans.paths import with_parsed
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -86,8 +87,9 @@ SPREADSHEET = {
 }
 
 
-def spreadsheet(records: DataFrame, value: Callable[[str], Column]) -> DataFrame:
-    """The 26 spreadsheet columns, sorted by phase and id. ``value`` resolves a record path."""
+def spreadsheet(records: DataFrame, doc: str = "doc") -> DataFrame:
+    """The 26 spreadsheet columns, sorted by phase and id; the document is parsed once for all of them."""
+    records, value = with_parsed(records, list(SPREADSHEET.values()), doc)
     return records.select(*[value(path).alias(name) for name, path in SPREADSHEET.items()]).orderBy("Phase", "ID")
 
 

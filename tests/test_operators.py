@@ -315,11 +315,10 @@ def test_registry_prerequisites(spark):
 def test_spreadsheet_columns(spark):
     doc = {"phase": "P1", "exp_id": "E", "evaluation": {"all": {"pdm_score": 0.5}, "avg_nc": 0.9}}
     df = spark.createDataFrame([(json.dumps(doc),)], "doc string")
-    from runloom.plans.paths import field
-
-    sheet = records.spreadsheet(df, lambda p: field(df, p))
+    sheet = records.spreadsheet(df)
     row = sheet.first()
     assert len(sheet.columns) == 26 and (row["Phase"], row["ID"], row["Test_All"], row["NC"], row["TTC"]) == ("P1", "E", "0.5", "0.9", None)
+    assert sheet._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
 def test_listed_first_and_project(spark):

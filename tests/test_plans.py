@@ -10,9 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from runloom.operators import documents as D
-from runloom.plans.filters import matches
+from runloom.plans.filters import condition, matches
 from runloom.plans.ordering import exact_median, ordered_position, time_blocks, top_per_group
-from runloom.plans.paths import field, numeric_field, safe_identifier
+from runloom.plans.paths import field, numeric_field, safe_identifier, with_parsed
 
 DOCS = [
     {"status": "completed", "metrics": {"acc": 0.9, "n": 3}, "ok": True, "slurm": {"partition": "l40s_public"}, "created_at": "2026-01-01T10:00:00"},
@@ -154,3 +154,42 @@ def test_text_conditions_match_text_only(spark):
     for wanted in ({"total": "12"}, {"n": "==3"}, {"flag": "tru"}, {"n": "3"}):
         assert D.query(df, wanted).count() == 0
     assert D.query(df, {"s": "==3"}).count() == 1
+
+
+def test_conditions_on_json_text_share_one_parse(spark):
+    docs = [
+        {"name": "Run A", "n": 5, "m": {"score": 0.5, "tag": "7"}, "ok": True},
+        {"name": "run b", "n": "5", "m": {"score": 0.9, "tag": 7}, "ok": "true"},
+        {"name": 3, "n": 6.5, "m": {"score": "0.9"}, "ok": False},
+        {"name": "RUN", "n": 6, "m": 4},
+        {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(5, None), (6, "{bad")], "k int, doc string")
+
+    def hits(filters, **how):
+        shared = matches(df, filters, **how)
+        apart = df
+        for path, wanted in filters.items():  # the same conditions one after another
+            apart = apart.filter(condition(df, path, wanted, **how))
+        got = sorted(r["k"] for r in df.filter(shared).collect())
+        assert got == sorted(r["k"] for r in apart.collect())
+        return got
+
+    assert hits({"name": "run", "n": ">=5"}) == [0, 3]
+    assert hits({"n": 5, "m.score": "<0.8"}) == [0]
+    assert hits({"ok": True, "n": ">1"}) == [0]
+    assert hits({"m.tag": "7", "name": "run"}) == [0]
+    assert hits({"name": "Run A", "m.tag": "==7"}, exact=True) == [0]
+    assert hits({"m": ">3", "m.score": ">0.1"}) == [] and hits({"m": ">3", "n": ">3"}) == [3]
+    assert hits({"k": 1, "m.score": ">0.1", "name": "b"}) == [1]
+    plan = df.filter(matches(df, {"name": "run", "n": ">=5", "m.score": ">0"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_parsed_paths_equal_single_ones(spark):
+    docs = ['{"a": {"b": 1.50, "c": [1, 2]}, "t": "x", "z": null}', '{"a": "flat", "t": 1e-7}', '{"a": {"b": {"d": 1}}}', "[]", "", None]
+    df = spark.createDataFrame([(d, "col") for d in docs], "doc string, own string")
+    paths = ["a", "a.b", "a.c", "t", "z", "own", "none"]
+    parsed, value = with_parsed(df, paths)
+    assert parsed.select(*[value(p) for p in ("a.b", "a.c", "t", "z", "own", "none")]).collect() == df.select(
+        *[field(df, p) for p in ("a.b", "a.c", "t", "z", "own", "none")]).collect()

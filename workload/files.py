@@ -196,7 +196,7 @@ def spreadsheet(spark, sf):
         F.struct(c("p_brand").alias("backbone"), c("p_size").alias("freeze_percentage")).alias("architecture"),
         F.struct(c("p_retailprice").alias("avg_pdm_score")).alias("evaluation"), c("p_name").alias("notes")))
     docs = table(spark, sf, "part").select(text("P", c("p_partkey")).alias("exp_id"), F.when(c("p_size") > 25, "PHASE_1").otherwise("BASELINES").alias("phase"), doc.alias("doc"))
-    X.write_table(R.spreadsheet(docs, lambda p: field(docs, p)), path, "json")
+    X.write_table(R.spreadsheet(docs), path, "json")
     names = ", ".join(f"`{n}` string" for n in R.SPREADSHEET)
     rows = spark.read.schema(names).json(path)
     return rows.select("Phase", "ID", "Backbone", c("Avg_PDMS").cast("double").alias("Avg_PDMS"), c("`Freeze_%`").cast("bigint").alias("Freeze_%"), "Notes")

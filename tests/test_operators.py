@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.logtext import LogPatterns
 from runloom.operators import (
-    analysis, attempts, capacity, checkpoints, consistency, documents, grids, jobs, logs, pruning, records, runs, scopes, training)
+    analysis, attempts, capacity, checkpoints, consistency, documents, grids, jobs, logs, pruning, records, rules, runs, scopes, training)
 from runloom.operators.scopes import ScopeRules
 
 
@@ -324,3 +324,23 @@ def test_spreadsheet_columns(spark):
 def test_listed_first_and_project(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "f string")
     assert [r["f"] for r in documents.listed_first(df, "f", ["c"]).collect()] == ["c", "a", "b"]
+
+
+def test_rules_become_columns_with_their_failures(spark):
+    df = spark.createDataFrame([(1, "a", {"x": "1"}), (None, "b", None), (3, "c", {"x": None})], "n int, made string, m map<string,string>")
+
+    def rule(row):
+        if row["made"] == "c":
+            return {"twice": "six"}
+        return {"twice": row["n"] and 2 * row["n"], "keys": sorted(row["m"] or {}), "made": row["made"] * 2}
+
+    got = rules.with_rule(df, rule, ["n", "made", "m"], "twice bigint, keys array<string>, made string").orderBy(F.col("n").desc_nulls_last()).collect()
+    assert [(r["n"], r["twice"], r["keys"], r["made"], r["rule_error"] is None) for r in got] == [
+        (3, None, None, None, False), (1, 2, ["x"], "aa", True), (None, None, [], "bb", True)]
+    assert rules.with_rule(df.limit(0), rule, ["n", "made", "m"], "twice bigint").collect() == []
+    assert [r["rule_error"] is None for r in rules.with_rule(df, lambda row: 5, ["n"], "v int").collect()] == [False] * 3
+    named = rules.name_points(df, lambda p: p["n"] and f"N{p['n']}", ["n"]).orderBy("made").collect()
+    assert [(r["exp_id"], r["rule_error"] is None) for r in named] == [("N1", True), (None, False), ("N3", True)]
+    flat = spark.createDataFrame([(4,)], "eval_workers int")
+    advised = rules.recommend_resources(flat, lambda c: {"workers": c["eval_workers"], "mem": "8G"}).first()
+    assert (advised["workers"], advised["mem"], advised["time"], advised["rule_error"]) == (4, "8G", None, None)

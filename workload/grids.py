@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.labels import cell_status
 from runloom.operators import grids as G
+from runloom.operators import rules as U
 from workload.base import c, query, table, text
 
 AXES = {"lr": [0.001, 0.0001], "seed": [1, 2, 3]}
@@ -136,3 +137,32 @@ def leave_one_out(spark, sf):
 def cell_states(spark, sf):
     cells = table(spark, sf, "part").groupBy(c("p_brand").alias("method"), c("p_type").alias("dataset")).agg(F.max("p_size").alias("m"))
     return cells.select("method", "dataset", cell_status(c("m") > 40, c("m") > 48, c("m") > 45).alias("status"))
+
+
+@query("""SELECT s_suppkey AS key, seed, CASE WHEN seed < 3 OR s_acctbal >= 0 THEN 'S' || s_suppkey || '-' || upper(s_name[1:4]) || seed END AS exp_id,
+  CASE WHEN seed = 3 AND s_acctbal < 0 THEN 'no third seed in debt' END AS rule_error FROM supplier CROSS JOIN (VALUES (1), (2), (3)) b(seed)""")
+def grid_named(spark, sf):
+    def rule(point):
+        if point["seed"] == 3 and point["s_acctbal"] < 0:
+            raise ValueError("no third seed in debt")
+        return f"S{point['s_suppkey']}-{point['s_name'][:4].upper()}{point['seed']}"
+
+    grid = G.grid_points(table(spark, sf, "supplier"), {"seed": [1, 2, 3]})
+    named = U.name_points(grid, rule, ["s_suppkey", "s_name", "s_acctbal", "seed"])
+    return named.select(c("s_suppkey").alias("key"), "seed", "exp_id", "rule_error")
+
+
+@query("""SELECT p_partkey AS key, CAST(CASE WHEN p_size > 45 THEN NULL ELSE greatest(4, p_size // 2) END AS BIGINT) AS workers,
+  CASE WHEN p_size <= 45 THEN CASE WHEN p_type = 'SMALL' THEN '64G' ELSE (greatest(4, p_size // 2) * 2) || 'G' END END AS mem,
+  CASE WHEN p_size <= 45 THEN '01:30:00' END AS time, CASE WHEN p_size > 45 THEN 'no node of size ' || p_size END AS rule_error FROM part""")
+def eval_resources_custom(spark, sf):
+    def advisor(config):
+        size = int(config["size"])
+        if size > 45:
+            raise ValueError(f"no node of size {size}")
+        workers = max(4, size // 2)
+        return {"workers": workers, "mem": config.get("mem") or f"{2 * workers}G", "time": "01:30:00"}
+
+    mem = F.when(c("p_type") == "SMALL", F.create_map(F.lit("mem"), F.lit("64G"))).otherwise(F.create_map(F.lit("mem"), F.lit("")))
+    configs = table(spark, sf, "part").select(c("p_partkey").alias("key"), F.map_concat(F.create_map(F.lit("size"), c("p_size").cast("string")), mem).alias("config"))
+    return U.recommend_resources(configs, advisor).drop("config")

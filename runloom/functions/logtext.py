@@ -39,20 +39,20 @@ def _first_number(text: Column, patterns: Sequence[str], as_type: str) -> Column
         F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast(as_type) for p in patterns])
 
 
+def log_result(score: Column, scenarios: Column, failed: Column, succeeded: Column) -> Column:
+    """struct(score, scenarios, status): FAILED beats SUCCESS, a positive score implies SUCCESS."""
+    return F.struct(
+        score.alias("score"), F.coalesce(scenarios, F.lit(0).cast("bigint")).alias("scenarios"),
+        F.when(failed, "FAILED").when(succeeded, "SUCCESS").when(score > 0, "SUCCESS").otherwise("UNKNOWN").alias("status"))
+
+
 def parse_log(text: Column, patterns: LogPatterns = LogPatterns()) -> Column:
     """struct(score, scenarios, status); FAILED beats SUCCESS, a positive score implies SUCCESS.
 
     NULL text (an unreadable file) gives no score, 0 scenarios and UNKNOWN.
     """
-    score = _first_number(text, patterns.scores, "double")
-    return F.struct(
-        score.alias("score"),
-        F.coalesce(_first_number(text, patterns.scenarios, "bigint"), F.lit(0).cast("bigint")).alias("scenarios"),
-        F.when(text.rlike(patterns.failure), "FAILED")
-        .when(text.rlike(patterns.success), "SUCCESS")
-        .when(score > 0, "SUCCESS")
-        .otherwise("UNKNOWN").alias("status"),
-    )
+    return log_result(_first_number(text, patterns.scores, "double"), _first_number(text, patterns.scenarios, "bigint"),
+                      text.rlike(patterns.failure), text.rlike(patterns.success))
 
 
 def parse_training_log(text: Column) -> Column:

@@ -223,6 +223,18 @@ def read_logs(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
         file_path().alias("path"), F.col(FILE_TIME).alias("mtime"), "value")
 
 
+def read_log_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, start, line, value): the lines of log files, however large; (start, line) is their order within a file.
+
+    Files are split over tasks. ``start`` is the byte at which a line's split begins, ``line`` rises within a split.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("lineSep", "\n")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.text(path).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                                    F.monotonically_increasing_id().alias("line"), "value")
+
+
 def read_scalars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Training scalars (exp_id, tag, step, value) in long form."""
     schema = "exp_id string, tag string, step bigint, value double"

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from runloom.functions.logtext import LogPatterns
 from runloom.operators import logs as L
+from runloom.session import shared_dir
+from runloom.sources import readers as S
 from workload.base import c, query, table, text
 
 
@@ -77,3 +79,30 @@ def newest_log(spark, sf):
 def tail_lines(spark, sf):
     logs = table(spark, sf, "documents").select(c("doc_id").alias("key"), c("text").alias("value"))
     return L.tail_lines(logs, 3, key="key")
+
+
+def large_logs(spark, sf):
+    """The documents, one after the other, as a few large log files; their lines are read back."""
+    path = shared_dir(spark, "large-logs")
+    texts = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(8)).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    ordered = texts.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value")
+    ordered.write.partitionBy("part").option("lineSep", "\n").text(path)
+    lines = S.read_log_lines(spark, path)
+    return lines.withColumn("key", S.dir_of(c("path"), "part").cast("bigint"))
+
+
+LARGE = "(SELECT doc_id % 8 AS key, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1)"
+
+
+@query(f"""SELECT CAST(key AS BIGINT) AS key, s AS score, coalesce(TRY_CAST(nullif(regexp_extract(t, '([0-9]+) [a-z]', 1), '') AS BIGINT), 0) AS scenarios,
+  CASE WHEN contains(t, 'zzzz') THEN 'FAILED' WHEN contains(t, 'the ') THEN 'SUCCESS' WHEN s > 0 THEN 'SUCCESS' ELSE 'UNKNOWN' END AS status
+  FROM (SELECT *, TRY_CAST(nullif(regexp_extract(t, '([0-9]+)', 1), '') AS DOUBLE) AS s FROM {LARGE})""")
+def log_parse_lines(spark, sf):
+    patterns = LogPatterns(scores=["([0-9]+)"], scenarios=["([0-9]+) [a-z]"], success="the ", failure="zzzz")
+    return L.parsed_lines(large_logs(spark, sf), patterns, key="key")
+
+
+@query(f"""WITH l AS (SELECT key, len(a) AS n, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT key, string_split(t, chr(10)) AS a FROM {LARGE}))
+  SELECT CAST(key AS BIGINT) AS key, CAST(i AS BIGINT) AS line_no, line FROM l WHERE i > n - 20""")
+def tail_large_logs(spark, sf):
+    return L.tail_of_lines(large_logs(spark, sf), 20, key="key")

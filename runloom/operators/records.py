@@ -93,10 +93,10 @@ def spreadsheet(records: DataFrame, doc: str = "doc") -> DataFrame:
     return records.select(*[value(path).alias(name) for name, path in SPREADSHEET.items()]).orderBy("Phase", "ID")
 
 
-def scope_table(results: DataFrame, metrics: Sequence[str] = ("NC", "DAC", "EP", "TTC", "C")) -> DataFrame:
-    """Per-scope results as the CSV columns City, Scenarios, PDMS, sub-metrics, Status."""
+def scope_table(results: DataFrame, metrics: Sequence[str] = ("NC", "DAC", "EP", "TTC", "C"), keep: Sequence[str] = ()) -> DataFrame:
+    """Per-scope results as the CSV columns City, Scenarios, PDMS, sub-metrics, Status, behind columns to ``keep``."""
     label = F.concat(F.upper(F.substring("scope", 1, 1)), F.lower(F.substring(F.col("scope"), F.lit(2), F.length("scope"))))
-    return results.select(label.alias("City"), F.col("scenarios").alias("Scenarios"), F.col("score").alias("PDMS"),
+    return results.select(*keep, label.alias("City"), F.col("scenarios").alias("Scenarios"), F.col("score").alias("PDMS"),
                           *[F.col(m) for m in metrics], F.col("status").alias("Status"))
 
 

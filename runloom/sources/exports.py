@@ -8,7 +8,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators.analysis import metadata_keys, summary_table
 from runloom.operators.documents import project_fields, query
+from runloom.operators.records import scope_table
+from runloom.sources.readers import written
 
 DEFAULT_FIELDS = ("exp_id", "status", "created_at")
 
@@ -38,6 +41,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
         raise ValueError(f"unsupported format {fmt!r}: csv or json")
 
 
+def export_analysis(results: DataFrame, path: str, fmt: str = "csv", position: str = "name") -> list[str]:
+    """The results of an analysis, written as CSV or JSON lines; the metadata keys, in order of first appearance.
+
+    The CSV has five fixed columns and one for each metadata key that any row has; JSON keeps the map. Results are written
+    once before, so that handlers are not called again for the keys. The keys become columns, of which a table has few.
+    """
+    own = written(results, "analysis", results.sparkSession)
+    keys = metadata_keys(own, position)
+    write_table(summary_table(own, keys) if fmt == "csv" else own, path, fmt)
+    return keys
+
+
+def export_scopes(results: DataFrame, path: str, key: str = "exp_id",
+                  metrics: Sequence[str] = ("NC", "DAC", "EP", "TTC", "C")) -> None:
+    """Per-scope results as CSV files with header, in a folder ``key=value`` for each experiment."""
+    flat = scope_table(results, metrics, [key])
+    flat.hint("rebalance", key).write.mode("error").partitionBy(key).option("header", "true").csv(path)
+
+
 def write_grid(points: DataFrame, path: str, existing: DataFrame | None = None, exp_id: str = "exp_id",
                overwrite: bool = False) -> None:
     """Expanded configurations as JSON lines.

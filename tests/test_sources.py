@@ -280,3 +280,46 @@ def test_closed_windows_equal_the_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     batch = {tuple(r) for r in telemetry.windowed(df, "ts", "gpu", "util", "10 minutes").collect()}
     assert got < batch and len(batch - got) == 1
+
+
+def test_log_lines_equal_whole_logs(spark, tmp_path):
+    from runloom.operators import logs
+
+    draw = random.Random(5)
+    said = ["PDMS: 0.5", "PDMS: 1.2.3", "final_score = 0.75", "Final average score of valid results: 0.25", "Status: SUCCESS", "Status:  FAILED",
+            "Number of successful scenarios: 12.", "scenarios_evaluated=7", "", "noise é", "Epoch 3: train_loss=1.5", "epoch 9 loss: 0.5 Epoch 11 loss=.25",
+            "val_loss=2.5", "validation: 3.", "Epoch 4 val"]
+    for i in range(40):
+        write(tmp_path / f"{i}.log", "\n".join(draw.choices(said, k=draw.randint(1, 12))) + draw.choice(["", "\n"]))
+    write(tmp_path / "empty.log", "")
+    write(tmp_path / "big.log", "start\n" + "x" * 50 + "\n" + "filler line\n" * 20_000 + "PDMS: 0.125\nStatus: SUCCESS\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        whole, lines = readers.read_logs(spark, str(tmp_path)), readers.read_log_lines(spark, str(tmp_path))
+        assert lines.filter("path LIKE '%big.log'").select("start").distinct().count() > 5
+        columns = ["path", "score", "scenarios", "status"]
+        got = logs.parsed_lines(lines, logs=whole).select(columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, logs.parsed(whole).select(columns).collect()))
+        columns = ["path", "epochs", "train_loss", "val_loss"]
+        got = logs.parsed_training_lines(lines, logs=whole).select(columns)
+        # a loss on a line behind its "Epoch" belongs to no match within a line
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, logs.parsed_training(whole).select(columns).collect()))
+        columns = ["path", "line_no", "line"]
+        want = [r for r in logs.tail_lines(whole, 4).select(columns).collect() if not r["path"].endswith("empty.log")]
+        assert sorted(map(tuple, logs.tail_of_lines(lines, 4).select(columns).collect())) == sorted(map(tuple, want))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert logs.parsed_lines(lines.limit(0)).collect() == [] and logs.tail_of_lines(lines.limit(0), 2).collect() == []
+
+
+def test_analysis_export_has_every_key_once(spark, tmp_path):
+    schema = "name string, success boolean, checkpoint_path string, output_dir string, error string, metadata map<string,string>"
+    results = spark.createDataFrame([("b", True, "c", "o", None, {"z": "1", "a": "2"}), ("c", False, "c", "", "bad, \"x\"", {}),
+                                     ("d", True, "c", "o", None, {"k": "3", "z": "4"}), ("e", True, "c", "o", None, None)], schema)
+    keys = exports.export_analysis(results, str(tmp_path / "csv"))
+    assert set(keys[:2]) == {"z", "a"} and keys[2:] == ["k"]
+    back = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).orderBy("name").collect()
+    assert [(r["name"], r["z"], r["a"], r["k"]) for r in back] == [("b", "1", "2", None), ("c", None, None, None), ("d", "4", None, "3"), ("e", None, None, None)]
+    assert exports.export_analysis(results, str(tmp_path / "json"), "json") == keys
+    assert spark.read.json(str(tmp_path / "json")).filter("metadata.k = '3'").count() == 1
+    assert exports.export_analysis(results.limit(0), str(tmp_path / "none")) == []

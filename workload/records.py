@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from runloom.operators import analysis as U
 from runloom.operators import records as R
+from runloom.session import shared_dir
+from runloom.sources import exports as X
 from workload.base import c, query, table, text
 
 AGENTS = ["transfuser_agent", "diffusiondrive_ijepa_agent", "ego_status_mlp_agent", "my_constant_velocity", "law_agent", "other"]
@@ -82,6 +84,19 @@ def scope_csv_rows(spark, sf):
     return flat.select(c("_id").alias("exp_id"), "City", "Scenarios", F.round("PDMS", 6).alias("PDMS"), "NC", "Status")
 
 
+@query("""SELECT CAST(l_suppkey AS BIGINT) AS exp_id, upper(r[1:1]) || lower(substr(r, 2)) AS "City", CAST(count(*) AS BIGINT) AS "Scenarios", round(avg(l_quantity), 6) AS "PDMS", max(l_tax) AS "NC", 'SUCCESS' AS "Status"
+  FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 'boston' WHEN 'R' THEN 'VEGAS' ELSE 'all' END AS r FROM lineitem) GROUP BY l_suppkey, r""")
+def scope_csv_files(spark, sf):
+    scope = F.when(c("l_returnflag") == "A", "boston").when(c("l_returnflag") == "R", "VEGAS").otherwise("all")
+    results = table(spark, sf, "lineitem").groupBy(c("l_suppkey").alias("exp_id"), scope.alias("scope")).agg(
+        F.count(F.lit(1)).alias("scenarios"), F.avg("l_quantity").alias("score"), F.max("l_tax").alias("NC")).withColumn("status", F.lit("SUCCESS"))
+    path = shared_dir(spark, "scopes")
+    X.export_scopes(results, path, metrics=["NC"])
+    rows = spark.read.option("header", "true").csv(path)
+    return rows.select(c("exp_id").cast("bigint"), "City", c("Scenarios").cast("bigint").alias("Scenarios"), F.round(c("PDMS").cast("double"), 6).alias("PDMS"),
+                       c("NC").cast("double").alias("NC"), "Status")
+
+
 @query("""SELECT l_suppkey AS exp_id, max(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS a, max(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS n,
   max(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS r FROM lineitem GROUP BY 1""")
 def comparison_pivot(spark, sf):
@@ -115,6 +130,16 @@ def analysis_table(spark, sf):
     return U.summary_table(analysis_results(spark, sf), ["chars"])
 
 
+@query(f"""SELECT 'Doc ' || doc_id AS name, {DONE} AND lang <> 'de' AS success, CASE WHEN lang = 'es' THEN 'checkpoint not found' WHEN source = 'src3' THEN 'exp_config could not be loaded' WHEN lang = 'de' THEN 'no model for de' END AS error,
+  CASE WHEN {DONE} AND lang <> 'de' THEN CAST(length(text) AS BIGINT) END AS chars, CASE WHEN {DONE} AND lang <> 'de' THEN lang END AS lang,
+  'name,success,checkpoint_path,output_dir,error,chars,lang' AS header FROM documents""")
+def analysis_export(spark, sf):
+    path = shared_dir(spark, "analysis-csv")
+    X.export_analysis(analysis_results(spark, sf), path)
+    rows = spark.read.option("header", "true").csv(path)
+    return rows.select("name", c("success").cast("boolean"), "error", c("chars").cast("bigint"), "lang", F.lit(",".join(rows.columns)).alias("header"))
+
+
 @query(f"""SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER ({DONE} AND lang <> 'de') AS BIGINT) AS succeeded,
   CAST(count(*) FILTER (NOT ({DONE} AND lang <> 'de')) AS BIGINT) AS failed FROM documents""")
 def analysis_totals(spark, sf):

@@ -74,7 +74,7 @@ def allocation_score(available: Column, per_node: Column, queue: Column, wait: C
 
 
 def eval_resources(workers: Column, mem: Column, time: Column, *, default_workers: int = 32,
-                   default_time: str = "04:00:00", gb_per_worker: int = 4, gb_overhead: int = 32,
+                   default_time: str = "06:00:00", gb_per_worker: int = 4, gb_overhead: int = 32,
                    gb_cap: int = 200) -> Column:
     """Workers, memory and time of an evaluation job; explicit (non-empty) values win."""
     chosen = F.coalesce(F.nullif(workers.cast("bigint"), F.lit(0)), F.lit(default_workers).cast("bigint"))

@@ -68,7 +68,7 @@ def test_eval_resources(spark):
     none = F.lit(None)
     assert tuple(one(spark, Q.eval_resources(F.lit(16), F.lit("200G"), F.lit("08:00:00")))) == (16, "200G", "08:00:00")
     assert one(spark, Q.eval_resources(F.lit(64), none.cast("string"), none.cast("string")))["mem"] == "200G"
-    assert tuple(one(spark, Q.eval_resources(none, F.lit(""), F.lit("")))) == (32, "160G", "04:00:00")
+    assert tuple(one(spark, Q.eval_resources(none, F.lit(""), F.lit("")))) == (32, "160G", "06:00:00")
 
 
 def test_batch_split(spark):

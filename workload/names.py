@@ -189,7 +189,7 @@ def batch_shapes(spark, sf):
 
 
 @query("""SELECT p_partkey AS key, w AS workers, CASE WHEN p_type = 'SMALL' THEN '64G' ELSE least(w * 4 + 32, 200) || 'G' END AS mem,
-  CASE WHEN p_type = 'ECONOMY' THEN '08:00:00' ELSE '04:00:00' END AS time
+  CASE WHEN p_type = 'ECONOMY' THEN '08:00:00' ELSE '06:00:00' END AS time
   FROM (SELECT *, CAST(CASE WHEN p_size > 40 THEN 32 ELSE p_size END AS BIGINT) AS w FROM part)""")
 def eval_resource_rule(spark, sf):
     workers = F.when(c("p_size") <= 40, c("p_size"))

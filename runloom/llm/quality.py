@@ -1,13 +1,16 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other, then score together.
 
 The content view is a hashed bag of word shapes and repeats; the metadata view is source, language, length and line
-layout. Both are logistic regressions, trained in numpy on a bounded sample of labelled rows (``LABELLED``) and a bounded
-pool of unlabelled ones (``POOL``). In each round every view labels the pool rows it is surest of, and the other view
-learns from them. Each view is then calibrated on a fold of its own (Platt), and a last logistic layer joins the calibrated
+layout. Views are computed once for every document and written. Both classifiers are logistic regressions, trained in numpy
+on a bounded sample of labelled rows (``LABELLED``) and on pseudo-labels. Every unlabelled document of the corpus stands in
+the pool of one of the ``ROUNDS`` rounds; there both views score it, and those that a view is sure of are candidates for the
+other. Of these, each label takes an expected ``PICKS`` to learn from, in equal parts from all pairs of source and language
+(all candidates of a pair that has too few). Each view is then calibrated on a fold of its own (Platt), and a last logistic layer joins the calibrated
 views. Fold 2 of the id's crc32 is held out from all of it.
 
 NULL and empty texts have an empty content view and are scored by their metadata. Without rows of both labels every score
-is 0.5. Ids labelled twice take the higher label; NULL ids teach nothing. Repeated rows give a row each. Columns besides
+is 0.5. Ids labelled twice take the higher label; NULL ids teach nothing, and of several texts under a labelled id one
+does (the lowest by hash). Repeated rows give a row each and teach once. Columns besides
 doc_id, text, source, lang and n_chars are ignored.
 """
 
@@ -20,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.text import CALIBRATION_FOLD, HELD_OUT_FOLD, bounded_sample, fold, hashed_share, held_out, shipped
+from runloom.llm.text import CALIBRATION_FOLD, HELD_OUT_FOLD, bounded_sample, fold, hashed_share, held_out, shipped, written
 
-LABELLED, POOL = 4000, 6000
+LABELLED, PICKS = 4000, 150
 SHAPE_BUCKETS, NAME_BUCKETS = 512, 64
-ROUNDS, PER_ROUND, SURE = 4, 150, 0.95
+ROUNDS, SURE = 4, 0.95
 CACHE_WORDS = 200_000
 #: Features of each view.
 WIDTHS = {"content": SHAPE_BUCKETS + 3, "meta": 2 * NAME_BUCKETS + 4}
-FEATURES = "struct<content:array<double>,meta:array<double>>"
+FEATURES = "struct<content:array<float>,meta:array<float>>"
 
 
 class Shapes(dict):
@@ -94,26 +97,27 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class CoTrained:
     """Two views, their calibrations, and the layer that joins them."""
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, calibrates: np.ndarray, pool: list[np.ndarray]):
-        rows = [[v[~calibrates]] for v in views]
-        labels = [[y[~calibrates]] for _ in views]
-        left = np.ones(len(pool[0]), bool)
-        fit = lambda k: Logistic(np.concatenate(rows[k]), np.concatenate(labels[k]))
-        for _ in range(ROUNDS):
-            chosen = []
-            for k in range(2):
-                p = sigmoid(fit(k).odds(pool[k]))
-                for label, sure in ((1, p), (0, 1 - p)):
-                    best = np.argsort(-np.where(left, sure, -1), kind="stable")[:PER_ROUND]
-                    chosen.append((1 - k, label, best[(sure[best] >= SURE) & left[best]]))
-            for k, label, best in chosen:
-                rows[k].append(pool[k][best])
-                labels[k].append(np.full(len(best), label, float))
-                left[best] = False
-        self.views = [fit(0), fit(1)]
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, calibrates: np.ndarray):
+        self.known, self.y, self.calibrates = views, y, calibrates
+        self.rows = [[v[~calibrates]] for v in views]
+        self.labels = [[y[~calibrates]] for _ in views]
+
+    def fits(self) -> list[Logistic]:
+        return [Logistic(np.concatenate(rows), np.concatenate(labels)) for rows, labels in zip(self.rows, self.labels)]
+
+    def learn(self, k: int, rows: np.ndarray, labels: np.ndarray) -> None:
+        """Pseudo-labelled rows for the k-th view."""
+        self.rows[k].append(rows)
+        self.labels[k].append(labels)
+
+    def finish(self) -> "CoTrained":
+        """Calibrate and join the views; what they learned from is let go."""
+        self.views, y, calibrates = self.fits(), self.y, self.calibrates
         check = calibrates if len(set(y[calibrates])) == 2 else ~calibrates
-        self.platt = [Logistic(v.odds(x[check])[:, None], y[check]) for v, x in zip(self.views, views)]
-        self.joint = Logistic(np.c_[*(self._calibrated(k, v[check]) for k, v in enumerate(views))], y[check])
+        self.platt = [Logistic(v.odds(x[check])[:, None], y[check]) for v, x in zip(self.views, self.known)]
+        self.joint = Logistic(np.c_[*(self._calibrated(k, v[check]) for k, v in enumerate(self.known))], y[check])
+        del self.known, self.y, self.calibrates, self.rows, self.labels
+        return self
 
     def _calibrated(self, k: int, x: np.ndarray) -> np.ndarray:
         return self.platt[k].odds(self.views[k].odds(x)[:, None])
@@ -138,7 +142,7 @@ def featurizer():
         shapes = Shapes()
         for batch in batches:
             views = arrays(*batch, shapes)
-            yield pa.StructArray.from_arrays([pa.array(list(v), pa.list_(pa.float64())) for v in views], ["content", "meta"])
+            yield pa.StructArray.from_arrays([pa.array(list(v), pa.list_(pa.float32())) for v in views], ["content", "meta"])
 
     return features
 
@@ -146,35 +150,83 @@ def featurizer():
 INPUTS = ("text", "source", "lang", "n_chars")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, seed: int = 29) -> CoTrained | None:
-    """Co-train on bounded samples; None without rows of both labels."""
+def viewed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, key, content, meta): the two views of every row, written; key is a hash of what they show."""
+    own = docs.select("doc_id", "source", "lang", F.xxhash64(*INPUTS).alias("key"), featurizer()(*INPUTS).alias("f"))
+    return written(own.select("doc_id", "source", "lang", "key", "f.*"), "quality-views")
+
+
+def matrices(content: pa.Array, meta: pa.Array) -> list[np.ndarray]:
+    return [v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), w) for v, w in zip((content, meta), WIDTHS.values())]
+
+
+def voter(fits):
+    """Column function of the views -> the probability of a good document by each."""
+
+    @F.arrow_udf("array<double>")
+    def votes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own = fits()
+        for batch in batches:
+            p = np.c_[*(sigmoid(fit.odds(x)) for fit, x in zip(own, matrices(*batch)))]
+            yield pa.array(list(p), pa.list_(pa.float64()))
+
+    return votes
+
+
+def picked(pool: DataFrame, fits: list[Logistic], picks: int, seed: int) -> DataFrame:
+    """(view, label, content, meta): confident rows of the pool for the view that learns from them.
+
+    Expected are at most ``picks`` for each view and label, spread evenly over the pairs of source and language. Only numbers
+    of the candidates are shuffled; the views of the few picked ones are fetched by key.
+    """
+    views = range(len(fits))
+    told = F.array(*[F.struct(F.lit(1 - k).alias("view"), F.lit(label).alias("label"), (p if label else 1 - p).alias("sure"))
+                     for k in views for label, p in ((1, F.col("p")[k]), (0, F.col("p")[k]))])
+    sure = written(pool.select("key", "source", "lang", voter(shipped(pool.sparkSession, fits))("content", "meta").alias("p"))
+                   .select("key", "source", "lang", F.inline(told)).filter(F.col("sure") >= SURE).drop("sure"), "quality-sure")
+    pair = F.xxhash64("source", "lang").alias("pair")
+    counts = sure.groupBy("view", "label", pair).agg(F.count("*").alias("n"))
+    pairs = counts.groupBy("view", "label").agg(F.count("*").alias("pairs"))
+    share = counts.join(pairs, ["view", "label"]).select("view", "label", "pair", (F.lit(picks) / F.col("pairs") / F.col("n")).alias("share"))
+    chosen = (sure.select("view", "label", "key", pair).join(share, ["view", "label", "pair"])
+              .filter(hashed_share(F.col("key"), seed) < F.col("share")).select("view", "label", "key").distinct())
+    return (pool.select("key", "content", "meta").join(chosen, "key").groupBy("view", "label", "key")
+            .agg(F.first(F.struct("content", "meta")).alias("v")).select("view", "label", "key", "v.*"))
+
+
+def fit(views: DataFrame, labels: DataFrame, labelled: int = LABELLED, picks: int = PICKS, seed: int = 29) -> CoTrained | None:
+    """Co-train on the written views of all documents; None without rows of both labels.
+
+    To the driver come at most the labelled sample, a row for each id, and the picked rows of each round.
+    """
     rated = (labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("rated_id"))
              .agg(F.max("quality").alias("quality")).filter(fold("rated_id") != HELD_OUT_FOLD))
-    chosen = bounded_sample(rated, F.col("rated_id"), labelled, seed)
-    total = max(1, docs.count())
-    rows = (docs.filter(fold() != HELD_OUT_FOLD).join(F.broadcast(chosen), F.col("doc_id") == F.col("rated_id"), "left")
-            .filter(F.col("quality").isNotNull() | (hashed_share(F.col("doc_id"), seed + 1) < F.lit(pool / total)))
-            .select("doc_id", "quality", fold().alias("part"), featurizer()(*INPUTS).alias("f")).select("doc_id", "quality", "part", "f.*")
-            .toPandas().sort_values("doc_id", kind="stable"))
-    known = rows.quality.notna().to_numpy()
-    views = [np.array(rows[c].tolist(), float).reshape(len(rows), width) for c, width in WIDTHS.items()]
-    y = rows.quality.to_numpy(float)[known]
-    calibrates = (rows.part == CALIBRATION_FOLD).to_numpy()[known]
+    chosen = F.broadcast(bounded_sample(rated, F.col("rated_id"), labelled, seed))
+    learns = views.filter(fold() != HELD_OUT_FOLD)
+    own = F.col("doc_id") == F.col("rated_id")
+    rows = (learns.join(chosen, own).groupBy("doc_id", "quality").agg(F.min_by(F.struct("content", "meta"), "key").alias("v"))
+            .select("doc_id", "quality", fold().alias("part"), "v.*").toPandas().sort_values("doc_id", kind="stable"))
+    known = [np.array(rows[c].tolist(), float).reshape(len(rows), width) for c, width in WIDTHS.items()]
+    y, calibrates = rows.quality.to_numpy(float), (rows.part == CALIBRATION_FOLD).to_numpy()
     if len(set(y[~calibrates])) < 2:
         return None
-    return CoTrained([v[known] for v in views], y, calibrates, [v[~known] for v in views])
+    model, unlabelled = CoTrained(known, y, calibrates), learns.join(chosen, own, "left_anti")
+    for turn in range(ROUNDS):
+        pool = unlabelled.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(ROUNDS)) == turn)
+        taught = picked(pool, model.fits(), picks, seed + 2).toPandas().sort_values("key", kind="stable")
+        for k, (name, width) in enumerate(WIDTHS.items()):
+            mine = taught[taught.view == k]
+            model.learn(k, np.array(mine[name].tolist(), float).reshape(len(mine), width), mine.label.to_numpy(float))
+    return model.finish()
 
 
 def scorer(model):
     @F.arrow_udf("struct<score:double,content_score:double,meta_score:double>")
-    def score(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        own, shapes = model(), Shapes()
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own = model()
         for batch in batches:
-            views = arrays(*batch, shapes)
-            if own is None or not len(views[0]):
-                joint, parts = np.full(len(views[0]), 0.5), [np.full(len(views[0]), 0.5)] * 2
-            else:
-                joint, parts = own.score(list(views))
+            n = len(batch[0])
+            joint, parts = (np.full(n, 0.5), [np.full(n, 0.5)] * 2) if own is None or not n else own.score(matrices(*batch))
             yield pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (joint, *parts)], ["score", "content_score", "meta_score"])
 
     return score
@@ -182,6 +234,7 @@ def scorer(model):
 
 def score(docs: DataFrame, labels: DataFrame, **sizes) -> DataFrame:
     """doc_id, held_out, score, predicted and the two calibrated views of every document."""
-    model = shipped(docs.sparkSession, fit(docs, labels, **sizes))
-    return docs.select("doc_id", held_out().alias("held_out"), scorer(model)(*INPUTS).alias("s")).select(
+    views = viewed(docs)
+    model = shipped(docs.sparkSession, fit(views, labels, **sizes))
+    return views.select("doc_id", held_out().alias("held_out"), scorer(model)("content", "meta").alias("s")).select(
         "doc_id", "held_out", "s.*", (F.col("s.score") >= 0.5).cast("int").alias("predicted"))

@@ -473,3 +473,20 @@ def test_fold_is_crc32(spark):
     got = spark.range(50).select(F.col("id").alias("doc_id"), fold().alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in got)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pseudo_labels_come_from_all_pairs_and_copies_teach_once(spark):
+    import numpy as np
+
+    from runloom.llm import quality
+
+    rows = [(i, f"Good words number {i % 50} stand here.", "hot", "en", None) for i in range(400)] + [
+        (1000 + i, f"Good words stand {i}.", f"rare{i}", "fr", None) for i in range(6)]
+    views = quality.viewed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"))
+    sure = quality.Logistic(np.zeros((2, quality.WIDTHS["content"])), np.array([1.0, 1.0]))
+    unsure = quality.Logistic(np.zeros((2, quality.WIDTHS["meta"])), np.array([1.0, 0.0]))
+    got = quality.picked(views, [sure, unsure], 70, 3).toPandas()
+    assert set(zip(got.view, got.label)) == {(1, 1)}  # only the sure view teaches, and only the other one
+    assert got.key.is_unique
+    rare = {r["key"] for r in views.filter("lang = 'fr'").collect()}
+    assert rare <= set(got.key) and len(set(got.key) - rare) <= 50

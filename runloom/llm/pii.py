@@ -1,16 +1,20 @@
 """Personal data: fixed base patterns, and identifiers found by bootstrapped contexts.
 
-The base patterns give the seeds. The one or two words before a seed are a lexical pattern. Every pattern seen with
-``LEAST_SEEDS`` different seeds, however small its share, is looked up in every text: how often it occurs at all, and which
-identifier-like strings follow it. Tasks hold the patterns if their counted bytes fit; else all words and contexts are
-counted and joined with them, and the same goes for the trusted ones at the end. Spark scores this graph of
-patterns and instances in rounds: a pattern is as good as the share of its occurrences followed by trusted instances, an
-instance as good, for a pattern, as the best pattern that ends in another word. Patterns that end above ``LEAST_CONFIDENCE`` mark the identifier-like strings behind
-them as personal data. Base spans always stay.
+The base spans are the seeds. The one or two words before an identifier are a lexical pattern, the identifier is an instance, and
+both make a graph with an edge for each pattern and instance seen together, base spans and identifier-like strings alike. Spark
+scores it in rounds. A pattern is as good as the share of its occurrences as words that trusted instances follow; it is promoted
+from ``LEAST_CONFIDENCE`` on, with ``LEAST_SEEDS`` different trusted instances, however small its share of all. An instance that is
+no seed is as good, for a pattern, as the best promoted pattern that ends in another word. So promoted patterns trust unseen
+instances, and these promote further patterns that no seed was ever seen with. Patterns promoted in the last round mark the
+identifier-like strings behind them as personal data, of the kind that most of their trusted instances have. Base spans always stay.
+
+Occurrences are counted for those patterns that could still be promoted if every instance seen behind two different words were
+trusted; this loses none. Tasks hold these patterns if their counted bytes fit; else all words and contexts are counted and
+joined with them, and the same goes for the promoted ones at the end.
 
 NULL and empty texts have no spans. Empty tables and corpora without seeds have no patterns. Repeated rows count as often
-as they occur and give a row each; found spans never overlap base spans; ties in scores do not matter, as patterns are
-judged one by one. Other columns are ignored.
+as they occur and give a row each; found spans never overlap base spans; of kinds with equal weight the later name counts.
+Other columns are ignored.
 """
 
 import re
@@ -36,7 +40,7 @@ FROM_DIGIT = re.compile(r"[0-9@][\w.%+@/-]*")
 IN_RUN = re.compile(r"[\w.%+@/-]")
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
 
-#: Different seeds that a pattern must have been seen with.
+#: Different trusted instances, seeds included, that a promoted pattern must have been seen with.
 LEAST_SEEDS = 5
 LEAST_CONFIDENCE = 0.6
 ROUNDS = 4
@@ -132,28 +136,35 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[in
             yield a, b
 
 
-def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pattern, kind, instance, n) of every base span, summed per batch."""
+def summed(found: Counter, names: list[str]) -> pa.RecordBatch:
+    """A batch of the counter's keys, tuples of strings, and their counts."""
+    keys = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(len(names))]
+                                      + [pa.array([found[k] for k in keys], pa.int64())], [*names, "n"])
+
+
+def edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern, instance, kind, n) of base spans and, with kind '', of identifier-like runs, summed per batch."""
     for batch in batches:
         found: Counter = Counter()
         for text in batch.column(0):
             text = text.as_py()
-            for kind, a, b in base_spans(text):
+            if not text:
+                continue
+            base = base_spans(text)
+            for kind, a, b in [*base, *(("", a, b) for a, b in candidates(text, base))]:
                 for pattern in contexts(text, a):
-                    found[pattern, kind, instance_form(text[a:b])] += 1
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([found[k] for k in keys], pa.int64())],
-            ["pattern", "kind", "instance", "n"])
+                    found[pattern, instance_form(text[a:b]), kind] += 1
+        yield summed(found, ["pattern", "instance", "kind"])
 
 
-def lookup(patterns):
-    """Function of batches: (pattern, instance, known, n); instance '' counts the pattern's occurrences as words.
+def word_rows(patterns):
+    """Function of batches: (pattern, n), how often each pattern occurs as words.
 
     ``patterns`` gives the patterns to look for, None stands for all.
     """
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = patterns() if patterns else None
         ones = {p for p in wanted or () if " " not in p}
         firsts = defaultdict(set)
@@ -165,33 +176,21 @@ def lookup(patterns):
         for batch in batches:
             found: Counter = Counter()
             for text in batch.column(0):
-                text = text.as_py()
-                if not text:
-                    continue
                 last = None
-                for word in text.split():
+                for word in (text.as_py() or "").split():
                     form = forms.get(word)
                     if form is None:
                         if len(forms) > 200_000:
                             forms.clear()
                         form = forms[word] = word_form(word)
                     if wanted is None or form in ones:
-                        found[form, "", False] += 1
+                        found[form,] += 1
                     if last is not None if wanted is None else last in firsts.get(form, ()):
-                        found[f"{last} {form}", "", False] += 1
+                        found[f"{last} {form}",] += 1
                     last = form
-                base = base_spans(text)
-                for (a, b), known in [*(((a, b), True) for _, a, b in base), *((s, False) for s in candidates(text, base))]:
-                    for pattern in contexts(text, a):
-                        if wanted is None or pattern in wanted:
-                            found[pattern, instance_form(text[a:b]), known] += 1
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 pa.array([k[2] for k in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())],
-                ["pattern", "instance", "known", "n"])
+            yield summed(found, ["pattern"])
 
-    return look
+    return count
 
 
 def fits(patterns: DataFrame) -> bool:
@@ -199,45 +198,60 @@ def fits(patterns: DataFrame) -> bool:
     return (patterns.agg(F.sum(F.octet_length("pattern") + PATTERN_BYTES)).first()[0] or 0) <= BROADCAST_BYTES
 
 
+def promoted(graph: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
+    """(pattern, kind, score) of the patterns that end above the limits.
+
+    ``graph``: pattern, head (its last word), instance, kind ('' if no seed), n; ``totals``: pattern, total. One row a pattern.
+    """
+    spark = graph.sparkSession
+    trusted = graph.filter("kind != ''").withColumn("trust", F.lit(1.0))
+    for k in range(rounds):
+        per_kind = trusted.groupBy("pattern", "head", "kind").agg(
+            F.sum(F.col("n") * F.col("trust")).alias("good"), F.count("*").alias("instances"))
+        per_pattern = per_kind.groupBy("pattern", "head").agg(
+            F.sum("good").alias("good"), F.sum("instances").alias("instances"), F.max(F.struct("good", "kind"))["kind"].alias("kind"))
+        score = F.round(F.col("good") / F.col("total"), 9)
+        best = written(per_pattern.filter(F.col("instances") >= LEAST_SEEDS).join(totals, "pattern").withColumn("score", score)
+                       .filter(F.col("score") >= LEAST_CONFIDENCE).select("pattern", "kind", "score"), "promoted", spark)
+        n_best = best.count()
+        if not n_best or k == rounds - 1:
+            break
+        # Nothing confirms itself: "order" and "the order" are seen at the same places, so neither speaks for the other.
+        unseen = graph.filter("kind = ''").drop("kind")
+        by_head = unseen.join(small_side(best, n_best), "pattern").groupBy("instance", "head").agg(F.max(F.struct("score", "kind")).alias("s"))
+        top = by_head.groupBy("instance").agg(F.max(F.struct("s.score", "head", "s.kind")).alias("top"))
+        second = by_head.join(top, "instance").filter(F.col("head") != F.col("top.head")).groupBy("instance").agg(F.max("s").alias("second"))
+        other = F.col("top.head") != F.col("head")
+        more = unseen.join(top, "instance").join(second, "instance", "left").select(
+            "pattern", "head", "instance", F.when(other, F.col("top.kind")).otherwise(F.col("second.kind")).alias("kind"), "n",
+            F.when(other, F.col("top.score")).otherwise(F.col("second.score")).alias("trust")).filter("trust IS NOT NULL")
+        trusted = graph.filter("kind != ''").withColumn("trust", F.lit(1.0)).unionByName(more)
+    return best
+
+
 def learned(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind) of the trusted patterns: the kind of identifier each announces."""
     spark = docs.sparkSession
     texts = docs.select("text").filter(F.col("text").isNotNull())
-    seeds = written(texts.mapInArrow(seed_rows, "pattern string, kind string, instance string, n long")
-                    .groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "seeds", spark)
-    per_kind = seeds.groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("seeds"))
-    kept = written(per_kind.groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max(F.struct("n", "kind"))["kind"].alias("kind"))
-                   .filter(F.col("seeds") >= LEAST_SEEDS).select("pattern", "kind"), "patterns", spark)
-    n_kept = kept.count()
-    if not n_kept:
-        return kept
+    edges = written(texts.mapInArrow(edge_rows, "pattern string, instance string, kind string, n long")
+                    .groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")), "edges", spark)
+    head = F.element_at(F.split("pattern", " "), -1)
+    # An unseen instance with one word before it everywhere can never be trusted; it only counts as an occurrence.
+    several = edges.filter("kind = ''").groupBy("instance").agg(F.min(head).alias("a"), F.max(head).alias("b")).filter("a != b").select("instance")
+    alive = edges.filter("kind != ''").unionByName(edges.filter("kind = ''").join(several, "instance", "left_semi"))
+    matches = edges.groupBy("pattern").agg(F.sum("n").alias("matches"))
+    kept = written(alive.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("alive")).filter(F.col("instances") >= LEAST_SEEDS)
+                   .join(matches, "pattern").filter(F.col("alive") >= F.col("matches") * LEAST_CONFIDENCE).select("pattern", "matches"), "patterns", spark)
+    if kept.isEmpty():
+        return kept.select("pattern", F.lit("").alias("kind"))
     held = fits(kept)
-    look = lookup(shipped(spark, {r["pattern"] for r in kept.select("pattern").collect()}) if held else None)
-    looked = texts.mapInArrow(look, "pattern string, instance string, known boolean, n long")
-    edges = written((looked if held else looked.join(kept.select("pattern"), "pattern", "left_semi"))
-                    .groupBy("pattern", "instance").agg(F.max("known").alias("known"), F.sum("n").alias("n")), "edges", spark)
-    graph = edges.filter(F.col("instance") != "")
-    matches = graph.groupBy("pattern").agg(F.sum("n").alias("matches"))
-    totals = matches.join(edges.filter(F.col("instance") == "").select("pattern", F.col("n").alias("words")), "pattern", "left").select(
-        "pattern", F.greatest("matches", F.coalesce("words", F.lit(0))).alias("total"))
-    trust, head = F.col("known").cast("double"), F.element_at(F.split("pattern", " "), -1)
-    scores = None
-    for _ in range(rounds):
-        if scores is None:
-            trusted = graph.select("pattern", "n", trust.alias("trust"), "instance", "known")
-        else:
-            # Nothing confirms itself: an instance is trusted for a pattern as far as patterns that end in another word trust
-            # it. "order" and "the order" are seen at the same places, so neither speaks for the other.
-            by_head = graph.join(small_side(scores, n_kept), "pattern").groupBy("instance", head.alias("head")).agg(F.max("score").alias("score"))
-            top = by_head.groupBy("instance").agg(F.max(F.struct("score", "head")).alias("top"))
-            second = by_head.join(top, "instance").filter(F.col("head") != F.col("top.head")).groupBy("instance").agg(F.max("score").alias("second"))
-            others = F.when(F.col("top.head") != head, F.col("top.score")).otherwise(F.coalesce("second", F.lit(0.0)))
-            trusted = graph.join(top, "instance").join(second, "instance", "left").select(
-                "pattern", "n", F.when(F.col("known"), 1.0).otherwise(others).alias("trust"), "instance", "known")
-        scores = trusted.groupBy("pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("good")).join(totals, "pattern").select(
-            "pattern", (F.col("good") / F.col("total")).alias("score"))
-        scores = written(scores, "scores", spark)  # no more rows than patterns
-    return written(kept.join(scores.filter(F.col("score") >= LEAST_CONFIDENCE).select("pattern"), "pattern", "left_semi"), "trusted", spark)
+    count = word_rows(shipped(spark, {r["pattern"] for r in kept.select("pattern").collect()}) if held else None)
+    words = texts.mapInArrow(count, "pattern string, n long")
+    words = (words if held else words.join(kept.select("pattern"), "pattern", "left_semi")).groupBy("pattern").agg(F.sum("n").alias("words"))
+    totals = written(kept.join(words, "pattern", "left").select(
+        "pattern", F.greatest("matches", F.coalesce("words", F.lit(0))).alias("total")), "totals", spark)
+    graph = written(alive.join(small_side(totals.select("pattern"), totals.count()), "pattern", "left_semi").withColumn("head", head), "graph", spark)
+    return promoted(graph, totals, rounds).select("pattern", "kind")
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, str]:

@@ -336,6 +336,62 @@ def test_a_pattern_does_not_confirm_itself(spark):
     assert not any(r["found"] for r in pii.spans(docs).collect())
 
 
+def plain_patterns(texts, rounds):
+    """The promoted patterns and their kinds, by loops over the whole graph."""
+    edges, seen, words = {}, {}, {}
+    for text in texts:
+        base = pii.base_spans(text)
+        for kind, a, b in [*base, *(("", a, b) for a, b in pii.candidates(text, base))]:
+            for p in pii.contexts(text, a):
+                k, n = edges.get((p, text[a:b].lower()), ("", 0))
+                edges[p, text[a:b].lower()] = max(k, kind), n + 1
+                seen[p] = seen.get(p, 0) + 1
+        forms = [pii.word_form(w) for w in text.split()]
+        for p in forms + [f"{a} {b}" for a, b in zip(forms, forms[1:])]:
+            words[p] = words.get(p, 0) + 1
+    best = {}
+    for _ in range(rounds):
+        good, instances = {}, {}
+        for (p, i), (kind, n) in edges.items():
+            others = [(s, k) for (q, j), (own, _) in edges.items() if j == i and not own and q in best and q.split()[-1] != p.split()[-1]
+                      for k, s in [best[q]]]
+            trust, kind = (1.0, kind) if kind else max(others, default=(0, ""))
+            if trust:
+                good.setdefault(p, {}).setdefault(kind, 0)
+                good[p][kind] += n * trust
+                instances[p] = instances.get(p, 0) + 1
+        best = {p: (max((g, k) for k, g in by.items())[1], round(sum(by.values()) / max(seen[p], words.get(p, 0)), 9))
+                for p, by in good.items() if instances[p] >= pii.LEAST_SEEDS}
+        best = {p: (k, s) for p, (k, s) in best.items() if s >= pii.LEAST_CONFIDENCE}
+    return {p: k for p, (k, _) in best.items()}
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_found_instances_induce_patterns(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
+    # "node" never stands before an address: it is learned through the hosts that "server" announces too, "box" through "node".
+    texts = [f"the server 10.0.{i}.7 runs" for i in range(40)] + [f"a server HOST-{2000 + i} runs" for i in range(8)]
+    texts += [f"one node HOST-{2000 + i} fell" for i in range(8)] + [f"one node NODE-{3000 + i} fell" for i in range(2)]
+    texts += [f"in box HOST-{2000 + i} was" for i in range(6)] + [f"in box NODE-{3000 + i} was" for i in range(2)]
+    texts += [f"room ROOM-{4000 + i} is free" for i in range(9)] + ["that node XY-9999-1 fell", "some box QQ-8888 was", "order HOST-2001"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.learn(docs)
+    assert got == plain_patterns(texts, pii.ROUNDS) and got["node"] == got["server"] == "ip" and "room" not in got
+    assert "node" not in pii.learn(docs, 1)
+    found = {texts[r["doc_id"]][s["start"]:s["end"]] for r in pii.spans(docs).collect() for s in r["found"]}
+    assert {"HOST-2001", "XY-9999-1", "QQ-8888"} <= found and not any(f.startswith("ROOM") for f in found)
+
+
+def test_patterns_equal_the_plain_graph(spark):
+    rng = random.Random(11)
+    for _ in range(2):
+        names = [f"id-{1000 + i}" for i in range(25)] + [f"10.1.{i}.1" for i in range(15)] + [f"u{i}@x.org" for i in range(12)]
+        texts = [f"{rng.choice('pq')} {w} {rng.choice(names[k::4] if rng.random() < 0.8 else names)} end" for k, w in enumerate("abcd") for _ in range(60)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert pii.learn(docs) == plain_patterns(texts, pii.ROUNDS)
+
+
 def test_contexts_take_whole_words():
     assert pii.contexts("a" * 500 + " b:\t1", 504) == ["b:", "a" * 500 + " b:"]
     assert pii.contexts(" x", 1) == [] and pii.contexts("", 0) == []

@@ -42,18 +42,89 @@ def file_path() -> Column:
     return _plain(F.col(FILE_PATH))
 
 
+def _put_together(marked: DataFrame) -> DataFrame:
+    """(path, record, pieces): the pieces of every record in order, each a struct of start, line and the other columns.
+
+    ``marked``: path, start, line, ``begin`` (struct of start and line where a record begins, else NULL) and more. Pieces at the
+    head of a split belong to the last record begun in an earlier one; a row for each split carries it over.
+    """
+    others = [c for c in marked.columns if c not in ("path", "start", "line", "begin")]
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ends = marked.groupBy("path", "start").agg(F.max("begin").alias("end")).select(
+        "path", "start", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    owned = marked.withColumn("record", F.last("begin", ignorenulls=True).over(last)).join(ends, ["path", "start"]).select(
+        "path", F.coalesce("record", "carried").alias("record"), F.struct("start", "line", *others).alias("piece"))
+    return owned.groupBy("path", "record").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+
+
+def _count(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def _json_members(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """(path, value): each top-level member of the JSON object in a file as an object of its own; one row for a broken file.
+
+    Files are cut at every comma and so split over tasks, however large. A comma ends a member where it stands outside of
+    strings and one bracket deep. Both are running sums: whether a piece begins inside a string follows from the quotes before
+    it, its change of depth from that. They are summed in every split for either state that the split may begin in; the sums of
+    the splits before it, a row for each split, tell which of them holds.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("lineSep", ",")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    cut = reader.text(path).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                                   F.monotonically_increasing_id().alias("line"), "value")
+    bare = cut.withColumn("bare", F.regexp_replace("value", r"(?s)\\.", ""))  # a comma is never escaped: no piece begins within a pair
+    depth = lambda text: _count(text, "{[") - _count(text, "}]")
+    outside = lambda text: F.regexp_replace(text, '"[^"]*("|$)', "")
+    deltas = bare.select("path", "start", "line", "value", (_count(F.col("bare"), '"') % 2).alias("odd"),
+                         depth(outside(F.col("bare"))).alias("if_out"),
+                         depth(outside(F.regexp_replace("bare", '^[^"]*("|$)', ""))).alias("if_in"))
+    before = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    even = F.col("quotes") % 2 == 0
+    either = deltas.withColumn("quotes", F.coalesce(F.sum("odd").over(before), F.lit(0))).select(
+        "path", "start", "line", "value", "odd", "quotes", F.when(even, F.col("if_out")).otherwise(F.col("if_in")).alias("from_out"),
+        F.when(even, F.col("if_in")).otherwise(F.col("if_out")).alias("from_in"))
+    summed = either.withColumns({f"sum_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("from_out", "from_in")})
+    pieces = written(summed, "json-pieces", spark)
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.groupBy("path", "start").agg(*[F.sum(c).alias(f"n_{c}") for c in ("odd", "from_out", "from_in")])
+    states = sums.withColumn("began_in", F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)) % 2 == 1).withColumn(
+        "own", F.when(F.col("began_in"), F.col("n_from_in")).otherwise(F.col("n_from_out"))).select(
+        "path", "start", "began_in", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("deep"))
+    choose = lambda a, b: F.when(F.col("began_in"), F.col(a)).otherwise(F.col(b))
+    known = pieces.join(states, ["path", "start"]).withColumn("depth", F.col("deep") + choose("sum_from_in", "sum_from_out"))
+    text_inside = (F.col("quotes") + F.col("began_in").cast("int")) % 2 == 1
+    marked = known.select("path", "start", "line", "value", "depth", (F.col("depth") + choose("from_in", "from_out")).alias("after"),
+                          F.when(~text_inside & (F.col("depth") <= 1), F.struct("start", "line")).alias("begin"))
+    members = _put_together(marked)
+    first, last = F.col("pieces")[0], F.element_at("pieces", -1)
+    body = F.array_join(F.transform("pieces", lambda p: p["value"]), ",")
+    opened = F.when(first["depth"] == 0, F.lit("")).otherwise(F.lit("{"))
+    closed = F.when(last["after"] == 0, F.lit("")).otherwise(F.lit("}"))
+    # A file that ends inside a string or a bracket has no reading.
+    total = marked.groupBy("path").agg(F.max(F.struct("start", "line", "after"))["after"].alias("left")).filter("left <> 0").select("path")
+    torn = total.union(sums.groupBy("path").agg(F.sum("n_odd").alias("n")).filter("n % 2 = 1").select("path")).distinct()
+    return members.join(torn, "path", "left_anti").select("path", F.concat(opened, body, closed).alias("value")).unionByName(
+        torn.select("path", F.lit("{").alias("value")))
+
+
 def _json_objects(spark: SparkSession, path: str, value_type: str, whole: bool, glob: str | None) -> DataFrame:
-    """Entries of JSON objects keyed by id; unreadable objects drop out."""
-    body = _texts(spark, path, whole, glob).select(
-        F.from_json("value", T.MapType(T.StringType(), T.DataType.fromDDL(value_type))).alias("m"))
-    return body.select(F.explode("m").alias("exp_id", "entry"))
+    """Entries of JSON objects keyed by id; unreadable objects drop out with all their entries."""
+    entries = F.from_json("value", T.MapType(T.StringType(), T.DataType.fromDDL(value_type))).alias("m")
+    if not whole:
+        return _texts(spark, path, False, glob).select(entries).select(F.explode("m").alias("exp_id", "entry"))
+    parsed = _json_members(spark, path, glob).select("path", entries)
+    unreadable = parsed.filter("m IS NULL").select("path").distinct()
+    return parsed.join(unreadable, "path", "left_anti").select(F.explode("m").alias("exp_id", "entry"))
 
 
 def read_state(spark: SparkSession, path: str, whole: bool = True, glob: str | None = None) -> DataFrame:
     """Runtime state (exp_id, state VARIANT) of JSON objects keyed by experiment id.
 
-    One object is one row of the scan, so large installations should keep many files, or one
-    object per line (``whole=False``), which Spark splits.
+    A file is one object, which is split over tasks at its members; only an entry has to fit a row. With ``whole=False`` each
+    line is an object.
     """
     return _json_objects(spark, path, "variant", whole, glob).withColumnRenamed("entry", "state")
 
@@ -159,12 +230,7 @@ def _csv_records(lines: DataFrame) -> DataFrame:
         "path", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     place = F.struct("start", "line")
     marked = inside.join(splits, ["path", "start"]).withColumn("begin", F.when((F.col("own") + F.col("before")) % 2 == 0, place))
-    last = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    ends = marked.groupBy("path", "start").agg(F.max("begin").alias("end")).select(
-        "path", "start", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
-    owned = marked.withColumn("record", F.last("begin", ignorenulls=True).over(last)).join(ends, ["path", "start"]).select(
-        "path", F.coalesce("record", "carried").alias("record"), F.struct("start", "line", "value").alias("piece"))
-    pieces = owned.groupBy("path", "record").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    pieces = _put_together(marked.select("path", "start", "line", "value", "begin"))
     return pieces.select("path", F.array_join(F.transform("pieces", lambda p: p["value"]), "\n").alias("value"))
 
 

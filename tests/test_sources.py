@@ -1,5 +1,6 @@
 """Files, change log, exports and streams."""
 
+import json
 import os
 import random
 import re
@@ -32,6 +33,34 @@ def test_state_and_registry(spark, tmp_path):
     assert [(r["pos"], r["path"], r["epoch"]) for r in rows] == [(0, "a", 1), (1, "b", None)]
 
 
+def test_large_objects_are_read_at_their_members(spark, tmp_path):
+    rng = random.Random(9)
+    odd = ['a,"b', "{", "}]", "\\", '\\"', "\n,\n", "é,", "", "x"]
+    value = lambda d: rng.choice([rng.randrange(99), None, True, rng.choice(odd), [] if d else [value(d + 1), value(d + 1)],
+                                  {} if d else {rng.choice(odd): value(d + 1) for _ in range(3)}])
+    want = []
+    for i, indent in enumerate([None, 2, None, 0]):
+        state = {f"{i}-{k}{rng.choice(odd)}": {"v": value(0), "s": rng.choice(odd), "n": k} for k in range(60)}
+        write(tmp_path / f"s{i}.json", json.dumps(state, indent=indent, ensure_ascii=i < 2, separators=(",", ":") if i == 2 else None) + "\n" * (i % 2))
+        want += [(k, e["s"], str(e["n"])) for k, e in state.items()]
+    write(tmp_path / "empty.json", " { } ")
+    write(tmp_path / "nothing.json", "")
+    for name, text in (("cut", '{"a": {"n": 1}, "b": {"n"'), ("torn", '{"a": {"n": 1}, "b": "x'), ("bad", '{"a": {"n": 1}, "b": nope, "c": {}}'), ("list", '[1, {"a": 2}]')):
+        write(tmp_path / f"{name}.json", text)
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("97", "1000", small[0]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            state = readers.state_columns(readers.read_state(spark, str(tmp_path)), {"s": "string", "n": "string"})
+            assert sorted(map(tuple, state.collect())) == sorted(want)
+            splits = readers.read_log_lines(spark, str(tmp_path)).select("path", "start").distinct().count()
+            assert size == small[0] or splits > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", small[1])
+
+
 def test_configs_keep_odd_names(spark, tmp_path):
     write(tmp_path / "a+b #1.yaml", "lr: 0.1\ntags: [x, y]\n")
     write(tmp_path / "bad.yaml", "a: [1\n")

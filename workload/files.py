@@ -27,6 +27,40 @@ def read_state_json(spark, sf):
     return S.state_columns(S.read_state(spark, path, whole=False), {"status": "string", "train_job_id": "bigint"})
 
 
+def object_files(df, label, group, key, entry):
+    """One JSON object per group, a member a line: an opening member named after the group, then ``key`` with ``entry``.
+
+    The lines begin with a blank, a comma or a closing bracket, which is their order.
+    """
+    path = shared_dir(df.sparkSession, label)
+    groups = df.select(group.alias("g")).distinct()
+    lines = df.select(group.alias("g"), text(', "', key, '" : ', F.to_json(entry)).alias("value"))
+    lines = lines.union(groups.select("g", text(' {"all, {', c("g"), '\\"": []'))).union(groups.select("g", F.lit("}")))
+    lines.repartition("g").sortWithinPartitions("g", "value").write.partitionBy("g").text(path)
+    return path
+
+
+OBJECT_KEYS = "SELECT DISTINCT 'all, {' || o_orderstatus || '\"' AS exp_id, NULL AS comment, NULL AS train_job_id FROM orders"
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS exp_id, '}},{{"' || o_orderpriority AS comment, CAST(o_custkey AS BIGINT) AS train_job_id FROM orders
+  UNION ALL {OBJECT_KEYS}""")
+def read_state_object(spark, sf):
+    """Few large objects, read at their members; brackets, commas and quotes stand inside of strings too."""
+    entry = F.struct(text('},{"', c("o_orderpriority")).alias("comment"), c("o_custkey").alias("train_job_id"), F.array(F.lit(1), F.lit(2)).alias("more"))
+    path = object_files(table(spark, sf, "orders"), "state-object", c("o_orderstatus"), c("o_orderkey"), entry)
+    return S.state_columns(S.read_state(spark, path), {"comment": "string", "train_job_id": "bigint"})
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS exp_id, CAST(i AS INTEGER) AS pos, CASE i WHEN 0 THEN 'ck/' || o_custkey || ',x' ELSE 'ck/[last' END AS path,
+  CASE i WHEN 0 THEN CAST(o_custkey AS INTEGER) END AS epoch FROM orders CROSS JOIN (VALUES (0), (1)) v(i)""")
+def read_registry_object(spark, sf):
+    first = F.struct(text("ck/", c("o_custkey"), ",x").alias("path"), c("o_custkey").cast("int").alias("epoch"))
+    last = F.struct(F.lit("ck/[last").alias("path"), F.lit(None).cast("int").alias("epoch"))
+    path = object_files(table(spark, sf, "orders"), "registry-object", c("o_orderstatus"), c("o_orderkey"), F.array(first, last))
+    return S.read_registry(spark, path).select("exp_id", "pos", "path", "epoch")
+
+
 @query("""SELECT p_brand AS exp_id, CAST(count(*) AS BIGINT) AS num, max(p_name) AS backbone, CAST(min(p_size) + 0.5 AS DOUBLE) AS rate, p_brand AS tag, '[1,2]' AS sizes FROM part GROUP BY p_brand""")
 def read_yaml(spark, sf):
     path = shared_dir(spark, "configs")

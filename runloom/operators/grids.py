@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.merging import override_map
+from runloom.session import shared_dir
 
 
 def grid_points(base: DataFrame, axes: Mapping[str, Sequence[Any]], position: str = "position") -> DataFrame:
@@ -75,29 +77,96 @@ def inject_registry(points: DataFrame, registry: DataFrame, param: str, config:
     return joined.withColumn(config, F.when(value.isNotNull(), merged).otherwise(F.col(config))).drop("_s")
 
 
+def _glob_regex(glob: Column) -> Column:
+    """The pattern of a wildcard path or of one part of it."""
+    pattern = F.regexp_replace(glob, r"([.+()\[\]{}^$|\\])", r"\\$1")
+    for wild, regex in ((r"\*\*/", "\u0001"), (r"\*\*", "\u0002"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(.*/)?"), ("\u0002", ".*")):
+        pattern = F.regexp_replace(pattern, wild, regex)
+    return F.concat(F.lit("^"), pattern, F.lit("$"))
+
+
+def _trie(paths: DataFrame) -> DataFrame:
+    """(parent, part, node, ends): every beginning of a ``path`` by whole parts, each with a ``/`` in front; the root is empty."""
+    parts = F.split("path", "/")
+    upto = lambda n: F.concat_ws("/", F.lit(""), F.slice(parts, 1, n))
+    edges = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(
+        F.when(n == 1, F.lit("")).otherwise(upto(n - 1)).alias("parent"), F.get(parts, n - 1).alias("part"), upto(n).alias("node"),
+        (n == F.size(parts)).alias("ends")))
+    return paths.select(F.inline(edges)).groupBy("parent", "part", "node").agg(F.max("ends").alias("ends"))
+
+
+def _matched_globs(globs: DataFrame, files: DataFrame) -> DataFrame:
+    """Those of the distinct wildcard ``path`` values that match a file.
+
+    Patterns and files are tries that are walked together, a part at a time, so what patterns share is matched once. A plain part
+    meets its folder's entries by equality; one with ``*`` or ``?`` meets those that begin as it does, and only these are
+    tested; ``**`` goes to all folders below. States of a level are a table: a row for each two beginnings that match.
+    """
+    spark = globs.sparkSession
+
+    def saved(df: DataFrame, label: str) -> DataFrame:
+        path = shared_dir(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    wild = F.col("part").rlike(r"[*?]")
+    head = F.regexp_extract("part", r"^[^*?]*", 0)
+    steps = saved(_trie(globs).select("parent", "part", F.col("node").alias("glob"), "ends", (F.col("part") == "**").alias("deep"),
+                                      wild.alias("wild"), head.alias("head"), _glob_regex(F.col("part")).alias("regex")), "globs")
+    entries = saved(_trie(files), "entries")
+    lengths = [r[0] for r in steps.filter("wild AND NOT deep").select(F.length("head")).distinct().collect()]  # of file names
+    depth = globs.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+    begins = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("part")),
+                         lambda n: F.struct(n.alias("n"), F.substring("part", F.lit(1), n).alias("begin")))
+    folder, place = F.col("node").alias("_folder"), F.col("node").alias("place")
+    plain = entries.select(F.col("parent").alias("_folder"), F.col("part").alias("_part"), place)
+    begun = entries.select(F.col("parent").alias("_folder"), F.col("part").alias("_part"), place, F.explode(begins).alias("b")).select(
+        "_folder", "_part", "place", "b.begin") if lengths else None
+    parts = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    below = entries.select(F.explode(above).alias("_folder"), place)
+    leaves = entries.filter("ends").select(folder)
+    states = spark.range(1).select(F.lit("").alias("glob"), F.lit("").alias("place"), F.lit(True).alias("strict"))
+    found = []
+    for _ in range(depth):
+        at = states.select(F.col("glob").alias("parent"), F.col("place").alias("at")).join(steps, "parent")
+        stays = [at.filter("deep").select("glob", F.col("at").alias("place"), F.lit(False).alias("strict"))]
+        on = F.col("at") == F.col("_folder")
+        moves = [at.filter("NOT wild").join(plain, on & (F.col("part") == F.col("_part"))), at.filter("deep").join(below, on)]
+        if begun is not None:
+            moves.append(at.filter("wild AND NOT deep").join(begun, on & (F.col("head") == F.col("begin"))).filter("_part RLIKE regex"))
+        reached = functools.reduce(DataFrame.union, stays + [m.select("glob", "place", F.lit(True)) for m in moves])
+        states = saved(reached.groupBy("glob", "place").agg(F.max("strict").alias("strict")), "states")
+        # A closing ** stands for at least one part: the folder itself is no match.
+        found.append(states.filter("strict").join(leaves, F.col("place") == F.col("_folder"), "left_semi").select("glob"))
+    if not found:
+        return globs.limit(0)
+    ends = functools.reduce(DataFrame.union, found).distinct()
+    return globs.join(ends, F.concat(F.lit("/"), F.col("path")) == F.col("glob"), "left_semi")
+
+
 def missing_prerequisites(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Registry entries whose path matches no file.
 
-    ``*`` and ``?`` stand for characters of one path part, ``**`` for any parts. Plain paths are an anti-join. A wildcard
-    path meets the files below the folder in front of its first wildcard, the pattern being the join's condition: a match
-    ends the search and no pairs are kept.
+    ``*`` and ``?`` stand for characters of one path part, ``**`` for any parts. Plain paths are an anti-join, wildcard paths
+    are walked through the tree of the files. Beside a name in its own part ``**`` is tested against whole paths below the
+    folder in front of the first wildcard.
     """
     wild = F.col("path").rlike(r"[*?]")
     plain = registry.filter(~wild).join(files.select("path"), "path", "left_anti").select("value", "path")
-    escaped = F.regexp_replace(F.col("path"), r"([.+()\[\]{}^$|\\])", r"\\$1")
-    pattern = escaped
-    for glob, regex in ((r"\*\*/", "\u0001"), (r"\*\*", "\u0002"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(.*/)?"), ("\u0002", ".*")):
-        pattern = F.regexp_replace(pattern, glob, regex)
     before = F.regexp_extract("path", r"^([^*?]*/)?[^/]*[*?]", 1)
-    patterns = registry.filter(wild).select("path").distinct().withColumns(
-        {"_below": before, "_pattern": F.concat(F.lit("^"), pattern, F.lit("$"))})
+    globs = registry.filter(wild).select("path").distinct().withColumn("_below", before)
     parts = F.split("path", "/")
     below = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(
         F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
-    listed = (files.select(F.col("path").alias("_file"), F.explode(F.array_distinct(below)).alias("_folder"))
-              .join(patterns.select(F.col("_below").alias("_folder")).distinct(), "_folder", "left_semi"))
-    unmatched = patterns.join(listed, F.expr("_below = _folder AND _file RLIKE _pattern"), "left_anti").select("path")
-    return plain.unionByName(registry.join(unmatched, "path", "left_semi").select("value", "path"))
+    folders = files.select(F.col("path").alias("_file"), F.explode(F.array_distinct(below)).alias("_folder"))
+    glued = F.exists(parts, lambda p: F.contains(p, F.lit("**")) & (p != "**"))
+    held = folders.join(globs.filter(~glued).select(F.col("_below").alias("_folder")).distinct(), "_folder", "left_semi")
+    matched = _matched_globs(globs.filter(~glued).select("path"), held.select(F.col("_file").alias("path")).distinct())
+    whole = globs.filter(glued).withColumn("_regex", _glob_regex(F.col("path")))
+    listed = folders.join(whole.select(F.col("_below").alias("_folder")).distinct(), "_folder", "left_semi")
+    matched = matched.union(whole.join(listed, F.expr("_below = _folder AND _file RLIKE _regex"), "left_semi").select("path"))
+    return plain.unionByName(registry.filter(wild).join(matched, "path", "left_anti").select("value", "path"))
 
 
 def status_grid(points: DataFrame, state: DataFrame, exp_id: str = "exp_id", status: str = "status") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.functions.names import id_candidates, id_prefixes
+from runloom.functions.names import id_prefixes, is_name_of
 
 # Live states in order of precedence. Both spellings of "not started" count.
 LIVE_ORDER = ["running", "pending", "queued", "configuring", "completing"]
@@ -49,9 +49,23 @@ def jobs_by_name(queue: DataFrame, experiments: DataFrame, key: str = "exp_id",
     return queue.withColumn(key, F.explode(id_prefixes(F.col(name)))).join(experiments, key)
 
 
+def anchored(experiments: DataFrame, key: str = "exp_id", anchor: str = "_anchor") -> DataFrame:
+    """Experiments with the ``_``-delimited token of their id that the fewest ids hold; the first of equals."""
+    tokens = experiments.select(key).distinct().select(key, F.explode(F.array_distinct(F.split(key, "_"))).alias(anchor))
+    counts = tokens.groupBy(anchor).agg(F.count(F.lit(1)).alias("_ids"))
+    rarest = tokens.join(counts, anchor).groupBy(key).agg(F.min(F.struct("_ids", anchor))[anchor].alias(anchor))
+    return experiments.join(rarest, key)
+
+
 def dirs_by_id(dirs: DataFrame, experiments: DataFrame, key: str = "exp_id", name: str = "dir_name") -> DataFrame:
-    """Directories holding an id as whole ``_``-delimited tokens; an equi-join on token runs."""
-    return dirs.withColumn(key, F.explode(id_candidates(F.col(name)))).join(experiments, key)
+    """Directories holding an id as whole ``_``-delimited tokens.
+
+    Each id stands in the index under its rarest token; a name probes it once for each of its different tokens and the whole id
+    is compared with the name. Names are not shuffled more often than they have tokens.
+    """
+    probes = dirs.drop(key).withColumn("_anchor", F.explode(F.array_distinct(F.split(name, "_"))))
+    met = probes.join(anchored(experiments, key), "_anchor").filter(is_name_of(F.col(name), F.col(key)))
+    return met.select(key, *[c for c in met.columns if c not in (key, "_anchor")])
 
 
 def cancel_set(ids: DataFrame, queue: DataFrame, experiments: DataFrame, key: str = "exp_id") -> DataFrame:

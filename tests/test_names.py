@@ -122,6 +122,18 @@ def test_strict_join_equals_the_pairwise_rule(spark):
     assert {(r["dir_name"], r["exp_id"]) for r in got.collect()} == {(n, e) for n in names for e in exps if _strict(n, e)}
 
 
+def test_strict_join_keeps_columns_and_repeated_rows(spark):
+    rng = random.Random(3)
+    exps = [("_".join(rng.choices(["g1", "g2", "h1", "h2", "seed"], k=rng.randrange(1, 4))), i) for i in range(40)] + [(None, -1)]
+    names = [("_".join(["eval", *rng.choices(["g1", "g2", "h1", "h2", "seed"], k=rng.randrange(0, 6))]), i, "old") for i in range(60)] + [(None, -1, "")]
+    dirs = spark.createDataFrame(names, "dir_name string, n long, exp_id string")
+    got = J.dirs_by_id(dirs, spark.createDataFrame(exps, "exp_id string, m long"))
+    assert got.columns == ["exp_id", "dir_name", "n", "m"]
+    assert sorted(map(tuple, got.collect())) == sorted((e, d, n, m) for d, n, _ in names[:-1] for e, m in exps[:-1] if _strict(d, e))
+    anchors = J.anchored(spark.createDataFrame([("a_x",), ("a_y",), ("a_y_b",), ("y",)], "exp_id string"))
+    assert {r["exp_id"]: r["_anchor"] for r in anchors.collect()} == {"a_x": "x", "a_y": "a", "a_y_b": "b", "y": "y"}
+
+
 def test_job_name_join_equals_the_pairwise_rule(spark):
     rng = random.Random(2)
     names = sorted({"".join(rng.choices("ab_-.", k=rng.randrange(1, 7))) for _ in range(150)})

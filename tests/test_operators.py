@@ -1,6 +1,8 @@
 """Operators on small hand-made tables."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -312,6 +314,23 @@ def test_registry_prerequisites(spark):
     assert rows(grids.missing_prerequisites(deep, there), "value") == [("c",), ("d",), ("f",)]
 
 
+def _plain_glob(path):
+    for glob, regex in (("**/", "\1"), ("**", "\2"), ("*", "[^/]*"), ("?", "[^/]"), ("\1", "(.*/)?"), ("\2", ".*")):
+        path = path.replace(glob, regex)
+    return re.compile(path)
+
+
+def test_wildcards_equal_the_plain_patterns(spark):
+    rng = random.Random(6)
+    some = lambda parts, most: sorted({rng.choice(["", "", "/"]) + "/".join(rng.choices(parts, k=rng.randrange(1, most))) for _ in range(150)})
+    files = some(["a", "ab", "b", "ba", ""], 5)
+    globs = some(["a", "ab", "b", "c", "*", "a*", "?", "?b", "**", "**", "*a", "b**", ""], 5)
+    reg = spark.createDataFrame([(g, g) for g in globs] + [("none", None)], "value string, path string")
+    got = rows(grids.missing_prerequisites(reg, spark.createDataFrame([(f,) for f in files], "path string")), "value")
+    assert got == sorted((g,) for g in globs if not any(_plain_glob(g).fullmatch(f) for f in files))
+    assert rows(grids.missing_prerequisites(reg.limit(0), spark.createDataFrame([], "path string")), "value") == []
+
+
 def test_spreadsheet_columns(spark):
     doc = {"phase": "P1", "exp_id": "E", "evaluation": {"all": {"pdm_score": 0.5}, "avg_nc": 0.9}}
     df = spark.createDataFrame([(json.dumps(doc),)], "doc string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.llm import (bpe, counts, decontam, dialogues, langid, linedup, neardup, partcodes, pii, quality, rules, toxicity,
                          urlrules)
-from runloom.llm.text import written
+from runloom.llm.text import BROADCAST_ROWS, small_side, written
 from runloom.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -106,10 +106,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules_of = {counts.BLANK_WORDS: counts.blank_words, counts.PLAIN_WORDS: counts.plain_words}
     low = labels.filter("quality = 0").select("doc_id").distinct()
     toxic = labels.filter("toxic = 1").select("doc_id").distinct().join(low, "doc_id", "left_anti")
-    # Both counts of every text in one scan, so that only numbers meet the labels.
+    # All counts come from one scan of the texts, so that only numbers meet the labels; digits go in toxic texts alone, where
+    # the ids of these are few enough for every task to hold.
+    texts, chosen = docs.select("doc_id", "source", "lang", "text"), F.lit(True)
+    if (n_toxic := toxic.count()) <= BROADCAST_ROWS:
+        texts, chosen = texts.join(small_side(toxic.withColumn("toxic", F.lit(True)), n_toxic), "doc_id", "left"), F.col("toxic")
     clean = F.regexp_replace("text", "[0-9]+", "")
-    counted = written(docs.select("doc_id", "source", "lang", *[f(F.col("text")).alias(v) for v, f in rules_of.items()],
-                                  *[f(clean).alias(f"clean-{v}") for v, f in rules_of.items()]), "counts", spark)
+    counted = written(texts.select("doc_id", "source", "lang", *[f(F.col("text")).alias(v) for v, f in rules_of.items()],
+                                   *[F.when(chosen, f(clean)).alias(f"clean-{v}") for v, f in rules_of.items()]), "counts", spark)
     redacted = counted.join(toxic, "doc_id", "left_semi")
     rollup = counts.Rollup(spark, shared_dir(spark, "rollup"))
     for version in rules_of:

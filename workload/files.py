@@ -190,6 +190,18 @@ def list_files(spark, sf):
     return files.groupBy("dir_name").agg(F.bool_and(c("length") > 0).alias("filled"))
 
 
+@query("""SELECT 'o_orderstatus=' || o_orderstatus AS dir_name, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS bytes, TRUE AS placed, TRUE AS dated
+  FROM orders GROUP BY 1""")
+def list_files_sizes(spark, sf):
+    """Sizes, paths and times of an inventory: each line is a key and its end."""
+    path = shared_dir(spark, "inventory-sizes")
+    table(spark, sf, "orders").select("o_orderstatus", c("o_orderkey").cast("string").alias("value")).write.partitionBy("o_orderstatus").option("lineSep", "\n").text(path)
+    now = F.current_timestamp()
+    return S.list_files(spark, path, "*.txt").groupBy("dir_name").agg(
+        F.sum("length").alias("bytes"), F.bool_and(c("path").endswith(F.concat_ws("/", F.lit(""), "dir_name", "file_name"))).alias("placed"),
+        F.bool_and(c("mtime").between(now - F.expr("INTERVAL 1 DAY"), now + F.expr("INTERVAL 1 DAY"))).alias("dated"))
+
+
 @query("""SELECT count(*) / 10000.0 AS score, CAST(count(*) AS BIGINT) AS scenarios, CASE WHEN o_orderstatus = 'P' THEN 'FAILED' ELSE 'SUCCESS' END AS status
   FROM orders GROUP BY o_orderstatus, o_orderpriority""")
 def read_logs(spark, sf):

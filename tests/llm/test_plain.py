@@ -7,6 +7,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,29 @@ def test_rule_counts():
                                                    len(lines) - len(set(lines)), len(hit)]
 
 
+def test_rules_count_all_rows_and_learn_the_limit_from_all_labels(spark):
+    roll = lambda k: (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1000)) / 1000).alias(f"f{k}")
+    stats = spark.range(30_000).select(F.col("id").alias("doc_id"), *[F.lit(60).cast("long").alias(c) for c in rules.COUNTS],
+                                       F.array(*[roll(k) for k in range(rules.N_FEATURES)]).alias("features"))
+    labels = stats.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(9)) > 0).cast("int").alias("quality"))
+    forest, limit = rules.fit(stats, labels)
+    got = stats.join(labels, "doc_id").toPandas()
+    features, good = np.array(got.features.tolist()), got.quality.to_numpy() == 1
+    leaves = forest.leaves(features)
+    own = np.bincount(leaves.ravel(), minlength=len(forest.feature)) * (forest.size / len(features))
+    is_leaf = forest.child[:, 0] == np.arange(len(forest.child))
+    assert own[is_leaf].sum() == pytest.approx(forest.size * len(forest.roots))
+    lengths = forest.length.copy()
+    nodes = np.unique(leaves)
+    forest.settle(nodes, np.bincount(leaves.ravel())[nodes], len(features))
+    assert np.allclose(lengths, forest.length)
+    scores = forest.score(features)
+    assert (scores[good] > limit).sum() <= good.sum() * rules.MAX_FALSE_REJECTS
+    lowest = np.sort(scores[good])[::-1][int(good.sum() * rules.MAX_FALSE_REJECTS)]
+    bad = scores[~good & (scores > lowest)]
+    assert limit == pytest.approx((lowest + bad.min()) / 2 if len(bad) else lowest + 1e-9, abs=1e-12)
+
+
 @tables
 def test_rules_keep_good_and_reject_junk(spark):
     sf = "/root/testdata/sf0.01"

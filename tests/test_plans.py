@@ -110,6 +110,18 @@ def test_median_with_a_dominant_value_and_group(spark):
     assert got == {"hot": statistics.median(v for g, v in rows if g == "hot"), "cold": 1.5}
 
 
+def test_median_brackets_go_to_the_rows(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 1.0).alias("v"))
+        got = exact_median(df, ["g"], "v", accuracy=500)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r["g"]: r["median"] for r in got.collect()} == {0: 499.5, 1: 499.0, 2: 500.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_positions_of_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.6 else f"g{rng.randrange(4)}",

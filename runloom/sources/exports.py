@@ -13,6 +13,8 @@ from runloom.operators.documents import project_fields, query
 from runloom.operators.records import scope_table
 from runloom.sources.readers import written
 
+#: Folders that one task writes, about.
+FOLDERS_PER_TASK = 500
 DEFAULT_FIELDS = ("exp_id", "status", "created_at")
 
 
@@ -55,9 +57,13 @@ def export_analysis(results: DataFrame, path: str, fmt: str = "csv", position: s
 
 def export_scopes(results: DataFrame, path: str, key: str = "exp_id",
                   metrics: Sequence[str] = ("NC", "DAC", "EP", "TTC", "C")) -> None:
-    """Per-scope results as CSV files with header, in a folder ``key=value`` for each experiment."""
-    flat = scope_table(results, metrics, [key])
-    flat.hint("rebalance", key).write.mode("error").partitionBy(key).option("header", "true").csv(path)
+    """Per-scope results as CSV files with header, in a folder ``key=value`` for each experiment.
+
+    An experiment has few rows, so opening files takes the time: tasks are dealt by the number of folders, not by bytes.
+    """
+    flat = written(scope_table(results, metrics, [key]), "scope-rows", results.sparkSession)
+    tasks = -(-flat.select(key).distinct().count() // FOLDERS_PER_TASK) or 1
+    flat.repartition(tasks, key).write.mode("error").partitionBy(key).option("header", "true").csv(path)
 
 
 def write_grid(points: DataFrame, path: str, existing: DataFrame | None = None, exp_id: str = "exp_id",

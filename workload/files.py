@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runloom.functions.logtext import parse_log
@@ -27,16 +28,22 @@ def read_state_json(spark, sf):
     return S.state_columns(S.read_state(spark, path, whole=False), {"status": "string", "train_job_id": "bigint"})
 
 
-def object_files(df, label, group, key, entry):
-    """One JSON object per group, a member a line: an opening member named after the group, then ``key`` with ``entry``.
+#: Rows of a table for each object of a group: objects stay large, but one task writes no whole group.
+OBJECT_ROWS = 4_000_000
+
 
-    The lines begin with a blank, a comma or a closing bracket, which is their order.
-    """
+def object_files(df, label, group, key, entry):
+    """JSON objects, as many a group as the table's rows ask for, a member a line; the first opens with a member named after the group."""
     path = shared_dir(df.sparkSession, label)
+    blocks = max(1, -(-df.count() // OBJECT_ROWS))
     groups = df.select(group.alias("g")).distinct()
-    lines = df.select(group.alias("g"), text(', "', key, '" : ', F.to_json(entry)).alias("value"))
-    lines = lines.union(groups.select("g", text(' {"all, {', c("g"), '\\"": []'))).union(groups.select("g", F.lit("}")))
-    lines.repartition("g").sortWithinPartitions("g", "value").write.partitionBy("g").text(path)
+    lines = df.select(group.alias("g"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), text('"', key, '" : ', F.to_json(entry)).alias("value"))
+    lines = lines.union(groups.select("g", F.lit(0), text(' {"all, {', c("g"), '\\"": []'))).union(
+        groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.lit("}")))
+    # The lines' order: the opening member begins with a blank, members with a quote; the closing bracket follows.
+    first = F.row_number().over(Window.partitionBy("g", "block").orderBy(c("value").asc_nulls_last())) == 1
+    opened = F.when(c("value").startswith(" "), "").when(first & (c("block") > 0), " {").when(c("value") == "}", "").otherwise(", ")
+    lines.select("g", "block", F.concat(opened, "value").alias("value")).write.partitionBy("g", "block").text(path)
     return path
 
 

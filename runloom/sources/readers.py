@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,72 +44,155 @@ def file_path() -> Column:
     return _plain(F.col(FILE_PATH))
 
 
-def _put_together(marked: DataFrame) -> DataFrame:
-    """(path, record, pieces): the pieces of every record in order, each a struct of start, line and the other columns.
-
-    ``marked``: path, start, line, ``begin`` (struct of start and line where a record begins, else NULL) and more. Pieces at the
-    head of a split belong to the last record begun in an earlier one; a row for each split carries it over.
+#: Splits whose states are sent to all tasks; more are joined and their rows sorted again.
+BROADCAST_SPLITS = 1_000_000
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """The batches cut where a split begins, told by file and start; the flag is set where a new one does."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column("file")), np.asarray(batch.column("start"))], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for begin, end in zip(cuts, cuts[1:]):
+            key = tuple(keys[begin])
+            yield key != last, batch.slice(begin, end - begin)
+            last = key
+
+
+def _before(steps: np.ndarray) -> np.ndarray:
+    """Running sums without the own step."""
+    return np.cumsum(steps) - steps
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [np.asarray(batch.column(n)).astype(np.int64) for n in names]
+
+
+def _depth_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every split the sums of quotes and of changes of depth, the latter if it begins outside of a string and inside."""
+    names = ["file", "start", "n_odd", "n_from_out", "n_from_in"]
+    own: list[list[int]] = []
+    for new, part in _splits(batches):
+        if new:
+            own.append([part.column("file")[0].as_py(), part.column("start")[0].as_py(), 0, 0, 0])
+        odd, if_out, if_in = _numbers(part, "odd", "if_out", "if_in")
+        inside = (own[-1][2] + _before(odd)) % 2 == 1
+        for k, step in ((2, odd), (3, np.where(inside, if_in, if_out)), (4, np.where(inside, if_out, if_in))):
+            own[-1][k] += int(step.sum())
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own)] or [pa.array([], pa.int64())] * 5, names)
+
+
+RECORD = "file bigint, start bigint, line bigint, begins boolean, edge boolean, opens boolean, closes boolean, value string"
+
+
+def _records_of(separator: str):
+    """Pieces of a file in order, with the state their split begins in, as records; a split's first and last ones may go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, odd_before, depth = [], [], 0, 0  # the open record: file, start, line, begins, edge, opens; its pieces
+        closes = False
+        for new, part in _splits(batches):
+            done = []
+            if new:
+                if held:
+                    done.append((*place[:4], True, place[5], closes, separator.join(held)))
+                place, held = [], []
+                odd_before, depth = part.column("began_in")[0].as_py(), part.column("deep")[0].as_py()
+            odd, if_out, if_in, line = _numbers(part, "odd", "if_out", "if_in", "line")
+            value = part.column("value").to_pylist()
+            inside = (odd_before + _before(odd)) % 2 == 1
+            change = np.where(inside, if_in, if_out)
+            deep = depth + _before(change)
+            odd_before, depth = odd_before + int(odd.sum()), depth + int(change.sum())
+            after = deep + change
+            split = part.column("file")[0].as_py(), part.column("start")[0].as_py()
+            begins = np.flatnonzero(~inside & (deep <= 1)).tolist()
+            for at, end in zip([0, *begins], [*begins, len(value)]):
+                if at == end:
+                    continue
+                if (begun := bool(begins) and at >= begins[0]) or not held:
+                    if held:
+                        done.append((*place[:5], place[5], closes, separator.join(held)))
+                    # The first record of a split may be the rest of one begun before.
+                    place, held = [*split, int(line[at]), begun, not begun, bool(deep[at] == 0)], []
+                held += value[at:end]
+                closes = bool(after[end - 1] == 0)
+            if done:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, kind) for c, kind in zip(zip(*done), [pa.int64()] * 3 + [pa.bool_()] * 4 + [pa.string()])], RECORD_NAMES)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(
+                (*place[:4], True, place[5], closes, separator.join(held)), [pa.int64()] * 3 + [pa.bool_()] * 4 + [pa.string()])], RECORD_NAMES)
+
+    return run
+
+
+RECORD_NAMES = [field.split()[0] for field in RECORD.split(", ")]
+
+
+def _put_together(pieces: DataFrame, states: DataFrame, separator: str, ordered: bool = True) -> DataFrame:
+    """(file, opens, closes, value): the pieces of every record joined.
+
+    ``pieces``: file, start, line, value, and by how much a piece changes the number of quotes (``odd``) and the depth in
+    brackets, beginning outside of a string (``if_out``) or inside (``if_in``). ``states``: a row for each split with the state
+    it begins in (``began_in``, ``deep``). A record begins outside of strings and at most one bracket deep.
+
+    Rows of a scan come split by split and in order (``ordered``), so records are joined as they stream by, without a shuffle;
+    only the records at the ends of splits, two a split, are brought together.
     """
-    others = [c for c in marked.columns if c not in ("path", "start", "line", "begin")]
-    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    ends = marked.groupBy("path", "start").agg(F.max("begin").alias("end")).select(
-        "path", "start", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
-    owned = marked.withColumn("record", F.last("begin", ignorenulls=True).over(last)).join(ends, ["path", "start"]).select(
-        "path", F.coalesce("record", "carried").alias("record"), F.struct("start", "line", *others).alias("piece"))
-    return owned.groupBy("path", "record").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    few = states.count() <= BROADCAST_SPLITS
+    met = pieces.join(F.broadcast(states) if few else states, ["file", "start"]).select(
+        "file", "start", "line", "value", "odd", "if_out", "if_in", "began_in", "deep")
+    if not (few and ordered):
+        met = met.repartition("file", "start").sortWithinPartitions("file", "start", "line")
+    records = written(met.mapInArrow(_records_of(separator), RECORD), "records", pieces.sparkSession)
+    place = F.struct("start", "line")
+    upto = Window.partitionBy("file").orderBy("start", "line").rowsBetween(Window.unboundedPreceding, 0)
+    ends = records.filter("edge").withColumn("record", F.last(F.when(F.col("begins"), place), ignorenulls=True).over(upto))
+    whole = ends.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", "line", "opens", "closes", "value"))).alias("p")).select(
+        "file", F.col("p")[0]["opens"].alias("opens"), F.element_at("p", -1)["closes"].alias("closes"),
+        F.array_join(F.transform("p", lambda p: p["value"]), separator).alias("value"))
+    return records.filter("not edge").select("file", "opens", "closes", "value").unionByName(whole)
 
 
 def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _json_members(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    """(path, value): each top-level member of the JSON object in a file as an object of its own; one row for a broken file.
+def _json_members(spark: SparkSession, path: str, glob: str | None) -> tuple[DataFrame, DataFrame]:
+    """(file, value): each top-level member of the JSON object in a file as an object of its own; and the files torn off.
 
     Files are cut at every comma and so split over tasks, however large. A comma ends a member where it stands outside of
     strings and one bracket deep. Both are running sums: whether a piece begins inside a string follows from the quotes before
     it, its change of depth from that. They are summed in every split for either state that the split may begin in; the sums of
-    the splits before it, a row for each split, tell which of them holds.
+    the splits before it, a row for each split, tell which of them holds. A second scan then joins the pieces.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("lineSep", ",")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    cut = reader.text(path).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
+    cut = reader.text(path).select(F.xxhash64(FILE_PATH).alias("file"), F.col("_metadata.file_block_start").alias("start"),
                                    F.monotonically_increasing_id().alias("line"), "value")
     bare = cut.withColumn("bare", F.regexp_replace("value", r"(?s)\\.", ""))  # a comma is never escaped: no piece begins within a pair
     depth = lambda text: _count(text, "{[") - _count(text, "}]")
     outside = lambda text: F.regexp_replace(text, '"[^"]*("|$)', "")
-    deltas = bare.select("path", "start", "line", "value", (_count(F.col("bare"), '"') % 2).alias("odd"),
+    pieces = bare.select("file", "start", "line", "value", (_count(F.col("bare"), '"') % 2).alias("odd"),
                          depth(outside(F.col("bare"))).alias("if_out"),
                          depth(outside(F.regexp_replace("bare", '^[^"]*("|$)', ""))).alias("if_in"))
-    before = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    even = F.col("quotes") % 2 == 0
-    either = deltas.withColumn("quotes", F.coalesce(F.sum("odd").over(before), F.lit(0))).select(
-        "path", "start", "line", "value", "odd", "quotes", F.when(even, F.col("if_out")).otherwise(F.col("if_in")).alias("from_out"),
-        F.when(even, F.col("if_in")).otherwise(F.col("if_out")).alias("from_in"))
-    summed = either.withColumns({f"sum_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("from_out", "from_in")})
-    pieces = written(summed, "json-pieces", spark)
-    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    sums = pieces.groupBy("path", "start").agg(*[F.sum(c).alias(f"n_{c}") for c in ("odd", "from_out", "from_in")])
-    states = sums.withColumn("began_in", F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)) % 2 == 1).withColumn(
-        "own", F.when(F.col("began_in"), F.col("n_from_in")).otherwise(F.col("n_from_out"))).select(
-        "path", "start", "began_in", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("deep"))
-    choose = lambda a, b: F.when(F.col("began_in"), F.col(a)).otherwise(F.col(b))
-    known = pieces.join(states, ["path", "start"]).withColumn("depth", F.col("deep") + choose("sum_from_in", "sum_from_out"))
-    text_inside = (F.col("quotes") + F.col("began_in").cast("int")) % 2 == 1
-    marked = known.select("path", "start", "line", "value", "depth", (F.col("depth") + choose("from_in", "from_out")).alias("after"),
-                          F.when(~text_inside & (F.col("depth") <= 1), F.struct("start", "line")).alias("begin"))
-    members = _put_together(marked)
-    first, last = F.col("pieces")[0], F.element_at("pieces", -1)
-    body = F.array_join(F.transform("pieces", lambda p: p["value"]), ",")
-    opened = F.when(first["depth"] == 0, F.lit("")).otherwise(F.lit("{"))
-    closed = F.when(last["after"] == 0, F.lit("")).otherwise(F.lit("}"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.select("file", "start", "odd", "if_out", "if_in").mapInArrow(
+        _depth_sums, "file bigint, start bigint, n_odd bigint, n_from_out bigint, n_from_in bigint")
+    began_in = F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)) % 2
+    states = written(sums.withColumn("began_in", began_in).withColumn(
+        "own", F.when(F.col("began_in") == 1, F.col("n_from_in")).otherwise(F.col("n_from_out"))).select(
+        "file", "start", "began_in", "n_odd", "own", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("deep")), "json-splits", spark)
     # A file that ends inside a string or a bracket has no reading.
-    total = marked.groupBy("path").agg(F.max(F.struct("start", "line", "after"))["after"].alias("left")).filter("left <> 0").select("path")
-    torn = total.union(sums.groupBy("path").agg(F.sum("n_odd").alias("n")).filter("n % 2 = 1").select("path")).distinct()
-    return members.join(torn, "path", "left_anti").select("path", F.concat(opened, body, closed).alias("value")).unionByName(
-        torn.select("path", F.lit("{").alias("value")))
+    torn = states.groupBy("file").agg(F.sum("n_odd").alias("quotes"), F.sum("own").alias("left")).filter("quotes % 2 = 1 OR left <> 0").select("file")
+    members = _put_together(pieces, states.select("file", "start", "began_in", "deep"), ",")
+    opened, closed = F.when(F.col("opens"), F.lit("")).otherwise(F.lit("{")), F.when(F.col("closes"), F.lit("")).otherwise(F.lit("}"))
+    return members.select("file", F.concat(opened, "value", closed).alias("value")), torn
 
 
 def _json_objects(spark: SparkSession, path: str, value_type: str, whole: bool, glob: str | None) -> DataFrame:
@@ -115,9 +200,13 @@ def _json_objects(spark: SparkSession, path: str, value_type: str, whole: bool,
     entries = F.from_json("value", T.MapType(T.StringType(), T.DataType.fromDDL(value_type))).alias("m")
     if not whole:
         return _texts(spark, path, False, glob).select(entries).select(F.explode("m").alias("exp_id", "entry"))
-    parsed = _json_members(spark, path, glob).select("path", entries)
-    unreadable = parsed.filter("m IS NULL").select("path").distinct()
-    return parsed.join(unreadable, "path", "left_anti").select(F.explode("m").alias("exp_id", "entry"))
+    members, torn = _json_members(spark, path, glob)
+    parsed = members.select("file", entries)
+    unreadable = written(parsed.filter("m IS NULL").select("file").union(torn).distinct(), "json-unreadable", spark)
+    bad = unreadable.count()
+    if bad:
+        parsed = parsed.join(F.broadcast(unreadable) if bad <= BROADCAST_SPLITS else unreadable, "file", "left_anti")
+    return parsed.select(F.explode("m").alias("exp_id", "entry"))
 
 
 def read_state(spark: SparkSession, path: str, whole: bool = True, glob: str | None = None) -> DataFrame:
@@ -206,32 +295,28 @@ BROADCAST_HEADERS = 100_000
 
 
 def _csv_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(path, start, line, value): the lines of CSV files with the place of their split in the file and in the order of the scan."""
+    """(file, start, line, value, raw): the lines of CSV files with the place of their split in the file and in the order of the scan."""
     lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(path))
-    return lines.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
-                        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return lines.select(F.xxhash64(FILE_PATH).alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "\r$", "").alias("value"), F.col(FILE_PATH).alias("raw"))
 
 
 def _odd_quotes(value: Column) -> Column:
     return (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2
 
 
-def _csv_records(lines: DataFrame) -> DataFrame:
-    """(path, value): the lines put together where a quoted value goes over several.
+def _csv_records(lines: DataFrame, ordered: bool) -> DataFrame:
+    """(file, value): the lines put together where a quoted value goes over several.
 
-    A record begins where the quotes before it in the file are even. They are summed up in every split, and the sums of the
-    splits before it, a row for each split, are added.
+    A record begins where the quotes before it in the file are even: the sums of the splits before its own, a row for each split,
+    tell how a split begins.
     """
-    odd = lines.withColumn("odd", _odd_quotes(F.col("value")))
-    upto = Window.partitionBy("path", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    inside = odd.withColumn("own", F.coalesce(F.sum("odd").over(upto), F.lit(0)))
-    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = odd.groupBy("path", "start").agg(F.sum("odd").alias("n")).select(
-        "path", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    place = F.struct("start", "line")
-    marked = inside.join(splits, ["path", "start"]).withColumn("begin", F.when((F.col("own") + F.col("before")) % 2 == 0, place))
-    pieces = _put_together(marked.select("path", "start", "line", "value", "begin"))
-    return pieces.select("path", F.array_join(F.transform("pieces", lambda p: p["value"]), "\n").alias("value"))
+    pieces = lines.select("file", "start", "line", "value", _odd_quotes(F.col("value")).alias("odd"), F.lit(0).alias("if_out"), F.lit(0).alias("if_in"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    states = written(pieces.groupBy("file", "start").agg(F.sum("odd").alias("n")).select(
+        "file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) % 2).cast("bigint").alias("began_in"), F.lit(0).cast("bigint").alias("deep")),
+        "csv-splits", lines.sparkSession)
+    return _put_together(pieces, states, "\n", ordered).select("file", "value")
 
 
 def read_eval_rows_mixed(spark: SparkSession, path: str, columns: Sequence[str], token: str = "token",
@@ -243,14 +328,14 @@ def read_eval_rows_mixed(spark: SparkSession, path: str, columns: Sequence[str],
     files with a value over several lines are brought in order again.
     """
     lines = _csv_lines(spark, path, glob)
+    # Headers, and which files have values over several lines, come from one scan.
+    headers = lines.groupBy("file", "raw").agg(F.min(F.when(F.col("start") == 0, F.struct("line", "value"))).alias("h"),
+                                               F.max(_odd_quotes(F.col("value"))).alias("torn")).filter("h IS NOT NULL")
+    headers = headers.select("file", _plain(F.col("raw")).alias("path"), F.col("h.line").alias("header_line"), F.col("h.value").alias("header"), "torn")
     if newest_only:
-        lines = lines.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
-    first = lines.filter(F.col("start") == 0).groupBy("path").agg(F.min(F.struct("line", "value")).alias("h"))
-    # Which files have values over several lines comes from the same scan of all lines.
-    torn = lines.groupBy("path").agg(F.max(_odd_quotes(F.col("value"))).alias("torn"))
-    headers = first.join(torn, "path").select("path", F.col("h.line").alias("header_line"), F.col("h.value").alias("header"), "torn")
+        headers = headers.join(newest_file_per_dir(list_files(spark, path, glob)).select("path"), "path", "left_semi")
     own = written(headers, "csv-headers", spark)
-    facts = own.agg(F.count("*").alias("files"), F.max("torn").alias("torn"), F.max(
+    facts = own.agg(F.count("*").alias("files"), F.max("torn").alias("torn"), F.min("torn").alias("all_torn"), F.max(
         F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))).alias("commas")).first()
     width = (facts["commas"] or 0) + 1
     schema, options = ", ".join(f"c{k} string" for k in range(width)), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
@@ -259,14 +344,15 @@ def read_eval_rows_mixed(spark: SparkSession, path: str, columns: Sequence[str],
         parsed = F.from_csv(line, F.lit(schema), options)
         return F.array(*[parsed[f"c{k}"] for k in range(width)])
 
-    names = own.select("path", "header_line", "torn", cells("header").alias("_names"))
-    met = lines.join(F.broadcast(names) if facts["files"] <= BROADCAST_HEADERS else names, "path")
-    body = met.filter(F.col("line") != F.col("header_line"))
-    records = body.filter("torn = 0").select("path", "_names", "value")
+    few = facts["files"] <= BROADCAST_HEADERS
+    sent = F.broadcast if few else (lambda t: t)
+    names = own.select("file", "path", cells("header").alias("_names"))
+    body = lines.drop("raw").join(sent(own.select("file", "header_line", "torn")), "file").filter(F.col("line") != F.col("header_line"))
+    records = body.filter("torn = 0").select("file", "value")
     if facts["torn"]:
-        whole = _csv_records(body.filter("torn = 1").select("path", "start", "line", "value"))
-        records = records.unionByName(whole.join(names.select("path", "_names"), "path"))
-    rows = records.filter("value <> ''").select("path", "_names", cells("value").alias("_cells"))
+        whole = _csv_records(body.filter("torn = 1"), few)
+        records = whole if facts["all_torn"] else records.unionByName(whole)
+    rows = records.filter("value <> ''").join(sent(names), "file").select("path", "_names", cells("value").alias("_cells"))
 
     def named(name: str) -> Column:
         at = F.array_position("_names", F.lit(name))

@@ -61,6 +61,59 @@ def test_large_objects_are_read_at_their_members(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", small[1])
 
 
+def test_no_task_writes_a_whole_group_of_members(spark, monkeypatch):
+    from workload import files
+
+    monkeypatch.setattr(files, "OBJECT_ROWS", 100)
+    df = spark.range(1000).select((F.col("id") % 2).cast("string").alias("g"), F.floor(F.col("id") / 2).alias("k"))  # ids of both groups
+    path = files.object_files(df, "objects", F.col("g"), F.col("k"), F.struct(F.col("k").alias("n")))
+    written = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).collect()
+    assert len(written) == 20
+    keys = [k for r in written for k, _ in json.loads(r["value"], object_pairs_hook=list)]
+    assert sorted(keys) == sorted([str(i // 2) for i in range(1000)] + ['all, {0"', 'all, {1"'])
+    assert readers.read_state(spark, path).count() == 1002
+
+
+def test_records_are_put_together_without_a_shuffle_of_the_pieces(spark, tmp_path):
+    plans = []
+    original = readers.written
+    write(tmp_path / "a" / "r.csv", 'score,token\n1.5,"x\ny"\n2.5,plain\n')
+    write(tmp_path / "s.json", '{"a": {"n": [1, 2]}, "b": {"n": 2}}')
+
+    def kept(df, label, session):
+        if label == "records":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, label, session)
+
+    readers.written = kept
+    try:
+        assert readers.read_eval_rows_mixed(spark, str(tmp_path), ["score"], glob="*.csv").count() == 2
+        assert readers.read_state(spark, str(tmp_path), glob="*.json").count() == 2
+    finally:
+        readers.written = original
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_records_of_many_splits_are_sorted_again(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(readers, "BROADCAST_SPLITS", limit)
+    monkeypatch.setattr(readers, "BROADCAST_HEADERS", limit)
+    for name in "abc":
+        write(tmp_path / name / "r.csv", "score,token\n" + "".join(f'{k},"x{k}\ny"\n' for k in range(50)))
+    rows = readers.read_eval_rows_mixed(spark, str(tmp_path), ["score"]).collect()
+    assert sorted((r["dir_name"], r["score"], r["token"]) for r in rows) == sorted(
+        (name, float(k), f"x{k}\ny") for name in "abc" for k in range(50))
+
+
+def test_scope_folders_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exports, "FOLDERS_PER_TASK", 10)
+    rows = spark.range(100).select(F.col("id").alias("exp_id"), F.lit("all").alias("scope"), F.lit(1).alias("scenarios"),
+                                   F.lit(0.5).alias("score"), F.lit("SUCCESS").alias("status"))
+    exports.export_scopes(rows, str(tmp_path / "scopes"), metrics=[])
+    parts = {re.search(r"part-(\d+)", name)[1] for _, _, names in os.walk(tmp_path / "scopes") for name in names if name.startswith("part-")}
+    assert len(parts) > 5 and spark.read.option("header", "true").csv(str(tmp_path / "scopes")).count() == 100
+
+
 def test_configs_keep_odd_names(spark, tmp_path):
     write(tmp_path / "a+b #1.yaml", "lr: 0.1\ntags: [x, y]\n")
     write(tmp_path / "bad.yaml", "a: [1\n")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from runloom.functions.names import slug
 
+#: Rows that are turned into a handler's arguments, and its results into a frame, at once.
+ROWS_AT_ONCE = 500
 RESULT_SCHEMA = ("name string, success boolean, checkpoint_path string, output_dir string, error string, "
                  "metadata map<string,string>")
 
@@ -46,8 +48,10 @@ def run_handler(experiments: DataFrame, handler: Callable[[dict[str, Any]], dict
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([one(row) for row in batch.astype(object).where(batch.notna(), None).to_dict("records")],
-                               columns=["name", "success", "checkpoint_path", "output_dir", "error", "metadata"])
+            for begin in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[begin:begin + ROWS_AT_ONCE]
+                yield pd.DataFrame([one(row) for row in part.astype(object).where(part.notna(), None).to_dict("records")],
+                                   columns=["name", "success", "checkpoint_path", "output_dir", "error", "metadata"])
 
     return experiments.withColumn("output_dir", folder).mapInPandas(run, RESULT_SCHEMA)
 

@@ -460,6 +460,43 @@ def test_toxic_words_of_a_rare_language_are_learned():
     assert share(big, big_bad) > 0.95 and share(big, None) < 0.05
 
 
+@pytest.mark.parametrize("own_rows", [1 << 17, 3000])
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch, own_rows):
+    from runloom.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "OWN_ROWS", own_rows)
+    rng = random.Random(4)
+    words = [f"plain{i}" for i in range(40)]
+    bad = lambda i: i % 4 == 0
+    rows = [(i, " ".join([*rng.sample(words, 5), *(["awful"] if bad(i) else []), f"own{i}"]), "en") for i in range(9000)]
+    rows += [(9000, None, "en"), (9001, "", None), (None, "awful", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r[0] is None or bad(r[0]))) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, piece_words=6000)  # five pieces
+    taught = [r["doc_id"] for r in docs.filter(fold().isin(0, 1) & (F.col("doc_id") < 9000)).select("doc_id").collect()]
+    rows_of = toxicity.Rows(model.row_of_hash, model.shared)
+    held = [rows_of[f"own{i}"] for i in taught]
+    assert len(taught) > 4200 and all(held)  # each of these words stands in one document
+    assert (sum(r >= model.shared for r in held) > 1000) if own_rows == 3000 else model.shared == 0
+    got = toxicity.score(docs, labels, piece_words=6000).filter("doc_id < 9000 and held_out")
+    assert got.filter((F.col("predicted") == 1) != (F.col("doc_id") % 4 == 0)).count() < 0.01 * got.count()
+
+
+def test_toxicity_sums_of_pieces_do_not_depend_on_partitions(spark):
+    import numpy as np
+
+    from runloom.llm import toxicity
+
+    rng = random.Random(8)
+    rows = [(i % 500, " ".join(rng.choices("abcdefghijklm", k=12)) + (" vile" if i % 5 == 0 else ""), rng.choice(["en", "de", None]))
+            for i in range(700)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (toxicity.fit(d, labels, piece_words=900) for d in (docs.repartition(1), docs.repartition(7, "text")))
+    assert all(np.array_equal(a, b) for a, b in zip([one.network.embed, *one.network.dense()], [two.network.embed, *two.network.dense()]))
+    assert one.thresholds == two.thresholds and one.row_of_hash == two.row_of_hash
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_contexts_of_few_seeds_count_beside_a_hot_kind(spark, monkeypatch, limit):
     if limit is not None:

@@ -117,15 +117,18 @@ def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def open_rows(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """Rows of buckets with more than one component: key, node, component, size, and a node of another component.
 
-    The nodes compared with are two components of the bucket, drawn anew in every turn; most members of a large group of near
-    copies so meet one of that group, whatever else the bucket holds.
+    The node compared with is drawn from all nodes of the bucket anew in every turn, so a large component is met at a member that
+    changes, and by most of the rest. The members of the drawn node's component meet another component, drawn as well.
     """
     own = with_components(buckets.select("key", "node"), labels)
+    member = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("by"), "node", "component")
     # A component is named by one of its nodes, so the drawn components are nodes to compare with.
     drawn = F.struct(F.xxhash64(F.lit(turn), "key", "component").alias("by"), "component")
-    ends = own.groupBy("key").agg(F.min(drawn)["component"].alias("low"), F.max(drawn)["component"].alias("high"), F.count("*").alias("size"))
+    ends = own.groupBy("key").agg(F.min(member).alias("met"), F.min(drawn)["component"].alias("low"), F.max(drawn)["component"].alias("high"),
+                                  F.count("*").alias("size"))
     return own.join(ends.filter(F.col("low") != F.col("high")), "key").select(
-        "key", "node", "component", "size", F.when(F.col("component") != F.col("low"), F.col("low")).otherwise(F.col("high")).alias("other"))
+        "key", "node", "component", "size", F.when(F.col("component") != F.col("met.component"), F.col("met.node"))
+        .when(F.col("component") != F.col("low"), F.col("low")).otherwise(F.col("high")).alias("other"))
 
 
 def open_components(rows: DataFrame) -> int:
@@ -194,9 +197,16 @@ def block_pairs(rows: DataFrame, maps: DataFrame) -> DataFrame:
 
     A bucket's classes are dealt to blocks; a row holds the numbers and bitmaps of two blocks' lines and compares these inside
     array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. A pair comes out once.
+    The bucket's largest component has blocks of its own, which meet the others' blocks alone.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("mine"))
+    shares = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    in_main, n_rest, n_main = F.col("component") == F.col("main.component"), blocks(F.col("size") - F.col("main.n")), blocks(F.col("main.n"))
+    place = F.xxhash64("node", "key")
+    dealt = rows.join(largest, "key").select(
+        "key", "node", "component", F.when(in_main, n_rest).otherwise(n_rest + n_main).alias("blocks"),
+        F.when(in_main, n_rest + F.pmod(place, n_main)).otherwise(F.pmod(place, n_rest)).cast("int").alias("mine"))
     spread = (dealt.join(maps, "node")
               .select("key", F.struct("node", "component", "mine", "n", *[f"b{k}" for k in range(MAPS)]).alias("member"),
                       "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))

@@ -199,6 +199,25 @@ def test_line_dedup_takes_every_run_of_characters(spark, monkeypatch, progress):
     assert got == {i: ",".join(map(str, v)) for i, v in want.items()}
 
 
+def test_star_rounds_meet_many_members_of_a_large_component(spark):
+    buckets = spark.createDataFrame([(7, i) for i in range(120)], "key long, node long")
+    labels = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
+    met = [linedup.open_rows(buckets, labels, turn).filter("node >= 100").select("other").distinct().collect() for turn in range(12)]
+    assert len({r["other"] for rows in met for r in rows if r["other"] < 100}) >= 5  # component 0 was met at its node 0 alone
+
+
+def test_blocks_of_the_largest_component_meet_the_others_alone(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "BLOCK", 4)
+    base = [f"{i} the quick brown fox jumps over the lazy dog and runs away {i % 3}" for i in range(70)]
+    texts = spark.createDataFrame(list(enumerate(base)), "node long, norm string")
+    rows = spark.createDataFrame([(1, i, 0 if i < 60 else i, 70) for i in range(70)], "key long, node long, component long, size long")
+    got = linedup.block_pairs(rows, linedup.bitmaps(texts))
+    sets = [frozenset(t[k:k + linedup.SHINGLE] for k in range(len(t) - linedup.SHINGLE + 1)) for t in base]
+    near = {(a, b) for a in range(60, 70) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = [(r["a"], r["b"]) for r in got.collect()]
+    assert near and near <= set(found) and len(found) == len(set(found)) and all(a >= 60 for a, _ in found)
+
+
 def test_line_bands_meet_as_often_as_stated_on_small_sets(spark):
     # Four of five shingles are shared: (1 - 0.8^2)^8 < 3e-4 of such pairs may miss, so about one of 4,000.
     rng = random.Random(12)

@@ -7,9 +7,10 @@ minima over independent hashes of its shingles; classes that share a band are ca
 100 * intersection >= PERCENT * union of the whole shingle sets. A pair at the limit is missed with probability
 (1 - 0.8^2)^8 < 3e-4, one of similarity 0.9 with 2e-6.
 
-Star rounds check every class against one drawn class of each of its buckets and contract what they confirm. Buckets that still
-hold several components are then checked in full, in blocks of ``BLOCK`` x ``BLOCK`` classes, first by bitmaps of the sets,
-which rule pairs out without loss, then by the whole sets, each built once. A distributed union-find names the components, and of each component the first line by (doc_id, line number) stays.
+Every class is first checked against the centre of each of its buckets, the class that meets the most others. Star rounds then
+check it against one drawn class of each and contract what they confirm. Buckets that still hold several components are at last
+checked in full, in blocks of ``BLOCK`` x ``BLOCK`` classes, first by sizes and bitmaps of the sets, which rule pairs out without
+loss, then by the whole sets. A pair is checked once, however many buckets hold it. A distributed union-find names the components, and of each component the first line by (doc_id, line number) stays.
 
 Blank lines are no lines: they always stay. NULL and empty texts have none. NULL ids come last in the order. Rows repeated
 whole share their verdict, so their lines stay or go together. Ties between texts under one id are broken by the text's
@@ -29,6 +30,8 @@ BANDS, ROWS = 8, 2
 BLOCK = 256
 #: 64-bit words of a set's bitmap; with fewer, sets of some hundred shingles would fill it and rule nothing out.
 MAPS = 32
+#: Words of the bitmaps of lines that are compared in blocks: the fewer elements share a bit, the fewer pairs are left to the sets.
+FINE_MAPS = 64
 #: Star rounds go on while they remove at least this share of the components in open buckets.
 PROGRESS = 0.03
 LAST = (1 << 63) - 1
@@ -49,30 +52,34 @@ def fixed_width(norm: Column) -> Column:
 
 
 def starts(body: Column) -> Column:
-    """Numbers of the characters that shingles begin at."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(body) / 4).cast("int") - SHINGLE))
+    """Byte numbers, from 1, of the characters that shingles begin at."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(body) - 4 * SHINGLE + 1), F.lit(4))
 
 
-def shingle_at(body: Column, i: Column) -> Column:
-    """The hash of the shingle that begins at a character."""
-    return F.xxhash64(F.substring(body, 4 * i + 1, F.lit(4 * SHINGLE)))
+def shingle_at(body: Column, at: Column) -> Column:
+    """The hash of the shingle that begins at a byte."""
+    return F.xxhash64(F.substring(body, at, F.lit(4 * SHINGLE)))
 
 
 def shingle_hashes(norm: Column) -> Column:
-    """The distinct hashes of all shingles of a line."""
+    """The hashes of all shingles of a line, repeated ones as often as they occur."""
     # The outer transform binds the encoded line: inside the inner one it would be encoded again for every shingle.
-    return F.array_distinct(F.flatten(F.transform(F.array(fixed_width(norm)), lambda body: F.transform(
-        starts(body), lambda i: shingle_at(body, i)))))
+    return F.flatten(F.transform(F.array(fixed_width(norm)), lambda body: F.transform(starts(body), lambda at: shingle_at(body, at))))
+
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, h): a row for each shingle of a line. They are rows only inside the task that holds the line."""
+    body = F.col("body")
+    return (texts.select("node", fixed_width(F.col("norm")).alias("body")).select("node", "body", F.explode(starts(body)).alias("at"))
+            .select("node", shingle_at(body, F.col("at")).alias("h")))
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
-    """(node, bands): hashed bands of minima. Shingles are rows only inside the task that holds the line."""
+    """(node, bands): hashed bands of minima."""
     # One hash per shingle, hashed again with a constant for every band; its halves are the band's two coordinates. Flipping
     # bits alone would not do: with complementary top bits, a shingle alone in its half of the range decides every band.
     h = F.col("h")
-    rows = (distinct.select("node", fixed_width(F.col("norm")).alias("body"))
-            .select("node", "body", F.explode(starts(F.col("body"))).alias("i")).select("node", shingle_at(F.col("body"), F.col("i")).alias("h")))
-    hashed = rows.select("node", *[F.xxhash64(h.bitwiseXOR(F.lit(hash_constant(b)))).alias(f"h{b}") for b in range(BANDS)])
+    hashed = shingle_rows(distinct).select("node", *[F.xxhash64(h.bitwiseXOR(F.lit(hash_constant(b)))).alias(f"h{b}") for b in range(BANDS)])
     minima = hashed.groupBy("node").agg(*[m for b in range(BANDS) for m in (
         F.min(F.shiftright(f"h{b}", 32)).alias(f"high{b}"), F.min(F.col(f"h{b}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"low{b}"))])
     return minima.select("node", F.array(*[F.xxhash64(F.lit(b), f"high{b}", f"low{b}") for b in range(BANDS)]).alias("bands"))
@@ -85,27 +92,40 @@ def hash_constant(k: int) -> int:
 
 
 def similar(a: Column, b: Column) -> Column:
-    """100 * intersection >= PERCENT * union, with the union written as both sizes less the intersection."""
-    return (100 + PERCENT) * F.size(F.array_intersect(a, b)).cast("long") >= PERCENT * (F.size(a) + F.size(b))
+    """100 * intersection >= PERCENT * union."""
+    return 100 * F.size(F.array_intersect(a, b)).cast("long") >= PERCENT * F.size(F.array_union(a, b))
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """(node, n, b0, …): the size of each line's set and its bitmap, one bit for each hash."""
-    sets = texts.select("node", shingle_hashes(F.col("norm")).alias("hashes"))
+def bitmaps(texts: DataFrame, words: int = MAPS) -> DataFrame:
+    """(node, n, b0, …): the number of each line's shingles, repeated ones too, and the bitmap of their set, one bit for each hash."""
     h = F.col("h")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    slot = F.shiftright(h, 6).bitwiseAND(F.lit(MAPS - 1))
-    return sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).groupBy("node", "n").agg(
-        *[F.bit_or(F.when(slot == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(MAPS)])
+    slots = shingle_rows(texts).groupBy("node", F.shiftright(h, 6).bitwiseAND(F.lit(words - 1)).alias("slot")).agg(
+        F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
+    return slots.groupBy("node").agg(F.sum("n").alias("n"), *[
+        F.bit_or(F.when(F.col("slot") == k, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(words)])
+
 
+def fine_bitmaps(texts: DataFrame) -> DataFrame:
+    """Bitmaps of ``FINE_MAPS`` words with the size of the set itself as n."""
+    sizes = texts.select("node", F.size(F.array_distinct(shingle_hashes(F.col("norm")))).alias("n"))
+    return bitmaps(texts, FINE_MAPS).drop("n").join(sizes, "node")
 
-def bits_apart(x: Column, y: Column) -> Column:
-    return sum((F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(1, MAPS)), F.bit_count(x["b0"].bitwiseXOR(y["b0"])))
 
+def bits_apart(x: Column, y: Column, words: int = MAPS) -> Column:
+    """Bits in which the first words of two bitmaps differ, summed as a balanced tree: array functions walk it for every pair."""
+    terms = [F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(words)]
+    while len(terms) > 1:
+        terms = [sum(terms[k + 1:k + 2], terms[k]) for k in range(0, len(terms), 2)]
+    return terms[0]
 
-def may_be_similar(x: Column, y: Column) -> Column:
-    """False only for sets that cannot reach the limit: every bit in which their bitmaps differ is an element of one only."""
-    return (100 + PERCENT) * bits_apart(x, y) <= (100 - PERCENT) * (x["n"] + y["n"])
+
+def may_be_similar(x: Column, y: Column, words: int = MAPS) -> Column:
+    """False only for sets that cannot reach the limit: every bit in which their bitmaps differ is an element of one only.
+
+    The sets have at most ``n`` elements each.
+    """
+    return (100 + PERCENT) * bits_apart(x, y, words) <= (100 - PERCENT) * (x["n"] + y["n"])
 
 
 def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -136,13 +156,46 @@ def open_components(rows: DataFrame) -> int:
     return rows.select("key", "component").distinct().count()
 
 
+def centre_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every node with the one of its bucket whose own buckets hold the most rows.
+
+    In a group of near copies that is a line near all others, and mostly the same one in all of the group's buckets.
+    """
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = buckets.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    return (buckets.join(centres, "key").filter(F.col("node") != F.col("centre"))
+            .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
+
+
+def not_ruled_out(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps do not rule out."""
+    return (pairs.join(maps.select(F.struct("*").alias("x")), F.col("a") == F.col("x.node"))
+            .join(maps.select(F.struct("*").alias("y")), F.col("b") == F.col("y.node"))
+            .filter(may_be_similar(F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends (a, b) lie in different components (at_a, at_b); other columns stay."""
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}"))
+    return (pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+            .withColumns({"at_a": F.coalesce("at_a", "a"), "at_b": F.coalesce("at_b", "b")}).filter("at_a != at_b"))
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after the links ``found``: only the components that these join are named anew."""
+    joined = components(apart(found, labels).select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct())
+    named = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("name")), "component", "left").select(
+        "node", F.coalesce("name", "component").alias("component"))
+    return written(named.unionByName(joined.join(labels, "node", "left_anti")), "line-labels", labels.sparkSession)
+
+
 def linked_lines(own: DataFrame) -> DataFrame | None:
-    """(node, component) of the classes of ``lines`` that are linked with others; None if there is none."""
+    """(node, component) of the classes of ``lines`` that are linked with others; None if no band is shared."""
     spark = own.sparkSession
     distinct = own.groupBy("node").agg(F.max("norm").alias("norm"))
     signed = written(signatures(distinct), "line-bands", spark)
     keys = signed.select("node", F.explode("bands").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys", spark)
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "line-keys", spark)
     n_shared = shared.count()
     if not n_shared:
         return None
@@ -154,33 +207,27 @@ def linked_lines(own: DataFrame) -> DataFrame | None:
 
     # A line's bitmap is built once, however many buckets hold the line.
     maps = written(bitmaps(texts), "line-maps", spark)
-    links, labels, turn = None, None, 0
-    rows = written(open_rows(buckets, labels, turn), "line-open", spark)
-    n_open = open_components(rows)
+    labels = components(written(confirmed(not_ruled_out(centre_pairs(buckets), maps), texts), "line-links", spark))
+    # The only pair of a bucket of two has been checked.
+    rows = written(open_rows(buckets.filter("n > 2"), labels, 0), "line-open", spark)
+    n_open, turn = open_components(rows), 0
     while n_open:
         turn += 1
         pairs = rows.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        possible = (pairs.join(maps.select(F.struct("*").alias("x")), F.col("a") == F.col("x.node"))
-                    .join(maps.select(F.struct("*").alias("y")), F.col("b") == F.col("y.node"))
-                    .filter(may_be_similar(F.col("x"), F.col("y"))).select("a", "b"))
-        found = confirmed(possible, texts)
-        links = written(found if links is None else links.unionByName(found), "line-links", spark)
-        labels = components(links)
+        labels = merged(labels, written(confirmed(not_ruled_out(pairs, maps), texts), "line-links", spark))
         rows = written(open_rows(rows, labels, turn), "line-open", spark)
         before, n_open = n_open, open_components(rows)
         if before - n_open < PROGRESS * before:
             break
     if n_open:
-        pairs = written(block_pairs(rows, maps), "line-pairs", spark)
+        still_open = rows.select("node").distinct()
+        fine = written(fine_bitmaps(texts.join(still_open, "node", "left_semi")), "line-fine-maps", spark)
+        pairs = written(block_pairs(rows, fine), "line-pairs", spark)
         # One pair for each two components first, the one of the closest bitmaps: most pairs then lie within one component.
         first = pairs.groupBy("of_a", "of_b").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
-        links = written(links.unionByName(confirmed(first, texts)), "line-links", spark)
-        labels = components(links)
-        at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}"))
-        rest = (pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
-                .filter(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"))
-        links = written(links.unionByName(confirmed(rest, texts)), "line-links", spark)
-        labels = components(links)
+        labels = merged(labels, written(confirmed(first, texts), "line-links", spark))
+        rest = apart(pairs.select("a", "b"), labels).select("a", "b").join(first, ["a", "b"], "left_anti")
+        labels = merged(labels, written(confirmed(rest, texts), "line-links", spark))
     return labels
 
 
@@ -196,9 +243,11 @@ def block_pairs(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in the open buckets that their bitmaps do not rule out, with these (of_a, of_b).
 
     A bucket's classes are dealt to blocks; a row holds the numbers and bitmaps of two blocks' lines and compares these inside
-    array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. A pair comes out once.
+    array functions. The arrays have at most about ``BLOCK`` members each, whatever the bucket's size. A pair comes out once,
+    in the smallest key that both have: near copies share most of their buckets, and all that hold both are open.
     The bucket's largest component has blocks of its own, which meet the others' blocks alone.
     """
+    words = len(maps.columns) - 2
     shares = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -207,8 +256,9 @@ def block_pairs(rows: DataFrame, maps: DataFrame) -> DataFrame:
     dealt = rows.join(largest, "key").select(
         "key", "node", "component", F.when(in_main, n_rest).otherwise(n_rest + n_main).alias("blocks"),
         F.when(in_main, n_rest + F.pmod(place, n_main)).otherwise(F.pmod(place, n_rest)).cast("int").alias("mine"))
-    spread = (dealt.join(maps, "node")
-              .select("key", F.struct("node", "component", "mine", "n", *[f"b{k}" for k in range(MAPS)]).alias("member"),
+    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most BANDS of them
+    spread = (dealt.join(maps.join(keys, "node"), "node")
+              .select("key", F.struct("node", "component", "mine", "n", "keys", *[f"b{k}" for k in range(words)]).alias("member"),
                       "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
               .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "member"))
     groups = spread.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
@@ -216,15 +266,21 @@ def block_pairs(rows: DataFrame, maps: DataFrame) -> DataFrame:
     def of(side: str) -> Column:
         return F.filter("members", lambda m: m["mine"] == F.col(side)).alias(f"of_{side}")
 
+    def possible(x: Column, y: Column) -> Column:
+        # The cheap tests come first: sizes, a quarter of the bitmap, all of it.
+        sizes = (100 * x["n"] >= PERCENT * y["n"]) & (100 * y["n"] >= PERCENT * x["n"])
+        once = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
+        return ((x["component"] != y["component"]) & (~F.col("same") | (x["node"] < y["node"])) & sizes
+                & may_be_similar(x, y, words // 4) & may_be_similar(x, y, words) & once)
+
     def pair(x: Column, y: Column) -> Column:
         higher, by_component = x["node"] > y["node"], [x["component"], y["component"]]
         return F.struct(F.when(higher, x["node"]).otherwise(y["node"]).alias("a"), F.when(higher, y["node"]).otherwise(x["node"]).alias("b"),
-                        F.greatest(*by_component).alias("of_a"), F.least(*by_component).alias("of_b"), bits_apart(x, y).alias("apart"))
+                        F.greatest(*by_component).alias("of_a"), F.least(*by_component).alias("of_b"), bits_apart(x, y, words).alias("apart"))
 
-    sides = groups.select((F.col("i") == F.col("j")).alias("same"), of("i"), of("j"))
-    pairs = F.flatten(F.transform("of_i", lambda x: F.transform(F.filter("of_j", lambda y: (
-        (x["component"] != y["component"]) & (~F.col("same") | (x["node"] < y["node"])) & may_be_similar(x, y))), lambda y: pair(x, y))))
-    return sides.select(F.inline(pairs)).distinct()
+    sides = groups.select("key", (F.col("i") == F.col("j")).alias("same"), of("i"), of("j"))
+    pairs = F.flatten(F.transform("of_i", lambda x: F.transform(F.filter("of_j", lambda y: possible(x, y)), lambda y: pair(x, y))))
+    return sides.select(F.inline(pairs))
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -218,6 +218,27 @@ def test_blocks_of_the_largest_component_meet_the_others_alone(spark, monkeypatc
     assert near and near <= set(found) and len(found) == len(set(found)) and all(a >= 60 for a, _ in found)
 
 
+def test_copies_of_a_line_meet_its_centre_in_all_buckets(spark):
+    # 0 is in all four buckets, every other node in two: each meets 0 alone, and a pair in two buckets comes once.
+    rows = [(k, 0, 60) for k in range(4)] + [(k, i, 60) for i in range(1, 119) for k in ((0, 1) if i % 2 else (2, 3))]
+    got = linedup.centre_pairs(spark.createDataFrame(rows, "key long, node long, n long"))
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(i, 0) for i in range(1, 119)]
+
+
+def test_a_pair_comes_out_of_one_of_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "BLOCK", 4)
+    texts = spark.createDataFrame([(i, f"the quick brown fox jumps over the lazy dog and runs away {i}") for i in range(12)], "node long, norm string")
+    rows = spark.createDataFrame([(key, i, i, 12) for key in range(5) for i in range(12)], "key long, node long, component long, size long")
+    got = linedup.block_pairs(rows, linedup.fine_bitmaps(texts))
+    assert "Aggregate" not in got._jdf.queryExecution().analyzed().toString().split("Generate inline")[0]  # not made five times and thinned
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(a, b) for a in range(12) for b in range(a)]
+
+
+def test_fine_bitmaps_count_repeated_shingles_once(spark):
+    texts = spark.createDataFrame([(1, "en. " * 40), (2, "short")], "node long, norm string")
+    assert {r["node"]: r["n"] for r in linedup.fine_bitmaps(texts).collect()} == {1: 4, 2: 1}
+
+
 def test_line_bands_meet_as_often_as_stated_on_small_sets(spark):
     # Four of five shingles are shared: (1 - 0.8^2)^8 < 3e-4 of such pairs may miss, so about one of 4,000.
     rng = random.Random(12)

@@ -537,6 +537,27 @@ def test_toxicity_sums_of_pieces_do_not_depend_on_partitions(spark):
     assert one.thresholds == two.thresholds and one.row_of_hash == two.row_of_hash
 
 
+def test_toxicity_reads_one_piece_at_a_time(spark, monkeypatch):
+    import numpy as np
+    from pyarrow import parquet
+
+    from runloom.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "trained", lambda texts, *_: texts)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words "), 20), "id").alias("text"), F.lit("en").alias("lang"))
+    texts = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), piece_words=1000)
+    words = texts.words()
+    texts.place(np.unique(words["word"]).astype(np.int32), 0)
+
+    def groups(df):
+        files = [parquet.read_metadata(f.removeprefix("file:")) for f in df.inputFiles()]
+        return [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+
+    assert set(groups(texts.train)) == {1} and len(groups(texts.train)) == texts.train.count() + texts.judged.count() > 30
+    assert max(groups(texts.rows)) <= 512 and sum(groups(texts.rows)) == texts.rows.count() > 1200
+    assert words["n"].sum() == sum(int(p["words"]) for p in texts.train.selectExpr("size(ids) words").collect())
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_contexts_of_few_seeds_count_beside_a_hot_kind(spark, monkeypatch, limit):
     if limit is not None:

@@ -369,6 +369,35 @@ def read_json_results(spark: SparkSession, path: str, schema: str | T.StructType
             .select("*", file_path().alias("path")))
 
 
+#: Folders of scope results that are listed and read at once.
+FOLDERS_AT_ONCE = 10_000
+
+
+def read_scopes(spark: SparkSession, path: str, metrics: Sequence[str] = ("NC", "DAC", "EP", "TTC", "C"), key: str = "exp_id") -> DataFrame:
+    """All rows of the per-scope CSVs of ``export_scopes``, as texts behind the key of their folder.
+
+    An index of all files would grow in the driver with the number of experiments, several KB each. Here it holds the folders'
+    names, and an index of ``FOLDERS_AT_ONCE`` folders at a time, whose rows go to a table.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "*=*"))
+    folders = spark._jvm.scala.runtime.ScalaRunTime.genericWrapArray(spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found))
+    parts = [folders.slice(at, at + FOLDERS_AT_ONCE).mkString("\n") for at in range(0, len(found), FOLDERS_AT_ONCE)]
+    del found, folders
+    kinds = {c: T.StringType() for c in [key, "City", "Scenarios", "PDMS", *metrics, "Status"]}
+    schema = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()])
+    out, own = shared_dir(spark, "scope-files"), spark.newSession()
+    # By default every folder is listed in a task of its own.
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(8 * spark.sparkContext.defaultParallelism))
+    own.createDataFrame([], schema).write.parquet(out)
+    for part in parts:
+        # The schema that is given has the file's columns first, as its header has them.
+        rows = own.read.schema(T.StructType([*schema.fields[1:], schema.fields[0]])).option("header", "true").option("basePath", path).csv(part.split("\n"))
+        # A task keeps something of every file it read, so many tasks read and few write.
+        rows.select(*kinds).hint("rebalance").write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
+
+
 def read_logs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole log texts with path and modification time; bad bytes become replacement characters."""
     return _texts(spark, path, True, glob).select(

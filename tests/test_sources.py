@@ -114,6 +114,32 @@ def test_scope_folders_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
     assert len(parts) > 5 and spark.read.option("header", "true").csv(str(tmp_path / "scopes")).count() == 100
 
 
+def test_scope_folders_are_read_some_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "FOLDERS_AT_ONCE", 7, raising=False)
+    ids = [*(f"E{i}" for i in range(20)), "007", "7", "a/b c%2F", "x,{y}[z]*?=\\", "ü 日", None]
+    rows = spark.createDataFrame([(i, s, n, 0.1 * n, "SUCCESS", None if n == 2 else n / 7) for i in ids for n, s in ((1, "boston"), (2, "ALL, \"x\""))],
+                                 "exp_id string, scope string, scenarios int, score double, status string, NC double")
+    exports.export_scopes(rows.unionByName(rows.filter("exp_id = 'E3'")), str(tmp_path / "scopes"), metrics=["NC"])
+    indexes = []
+
+    class Reader(type(spark.read)):
+        def csv(self, path, *more, **options):
+            indexes.append(len(path) if isinstance(path, list) else 0)
+            return super().csv(path, *more, **options)
+
+    monkeypatch.setattr(type(spark), "read", property(lambda self: Reader(self)))
+    got = readers.read_scopes(spark, str(tmp_path / "scopes"), ["NC"])
+    assert got.columns == ["exp_id", "City", "Scenarios", "PDMS", "NC", "Status"] and indexes == [7, 7, 7, 5]
+    want = [(i, c, str(n), str(0.1 * n), None if n == 2 else str(n / 7), "SUCCESS") for i in [*ids, "E3"] for n, c in ((1, "Boston"), (2, "All, \"x\""))]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_no_scope_folders_have_no_rows(spark, tmp_path):
+    rows = spark.createDataFrame([], "exp_id string, scope string, scenarios int, score double, status string")
+    exports.export_scopes(rows, str(tmp_path / "scopes"), metrics=[])
+    assert readers.read_scopes(spark, str(tmp_path / "scopes"), []).collect() == []
+
+
 def test_configs_keep_odd_names(spark, tmp_path):
     write(tmp_path / "a+b #1.yaml", "lr: 0.1\ntags: [x, y]\n")
     write(tmp_path / "bad.yaml", "a: [1\n")

@@ -8,6 +8,7 @@ from runloom.operators import analysis as U
 from runloom.operators import records as R
 from runloom.session import shared_dir
 from runloom.sources import exports as X
+from runloom.sources import readers as S
 from workload.base import c, query, table, text
 
 AGENTS = ["transfuser_agent", "diffusiondrive_ijepa_agent", "ego_status_mlp_agent", "my_constant_velocity", "law_agent", "other"]
@@ -92,7 +93,7 @@ def scope_csv_files(spark, sf):
         F.count(F.lit(1)).alias("scenarios"), F.avg("l_quantity").alias("score"), F.max("l_tax").alias("NC")).withColumn("status", F.lit("SUCCESS"))
     path = shared_dir(spark, "scopes")
     X.export_scopes(results, path, metrics=["NC"])
-    rows = spark.read.option("header", "true").csv(path)
+    rows = S.read_scopes(spark, path, ["NC"])
     return rows.select(c("exp_id").cast("bigint"), "City", c("Scenarios").cast("bigint").alias("Scenarios"), F.round(c("PDMS").cast("double"), 6).alias("PDMS"),
                        c("NC").cast("double").alias("NC"), "Status")
 
